@@ -6,12 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessitura.llm.cooccur import cooccurrence
-from tessitura.llm.lookalike import same_look
+from tessitura.llm.encode import count_tokens, encode
+from tessitura.llm.lookalike import consistent_form, same_look
+from tessitura.llm.packing import pack
 from tessitura.operators.gaptree import gap_sessions
 from tessitura.tables import table
 
 #: Chi-squared with one degree of freedom at 5 %.
 SIGNIFICANT = 3.841458820694124
+#: Tokens in a container of problem 7.
+CONTAINER = 2_048
 
 
 def baskets(spark: SparkSession, folder: str) -> DataFrame:
@@ -37,7 +41,24 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return same_look(table(spark, folder, "streaming_history"), "event_id", "artist_name", listed, "ref_id", "name").select(F.col("id").alias("event_id"), F.col("ref").alias("ref_id"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found}
+def p2_forms(spark: SparkSession, folder: str) -> DataFrame:
+    """Each different event with the consistent form of its artist's name: a spelling of the public lists, or by table."""
+    listed = [r["name"] for r in table(spark, folder, "public_listening_row").where("dimension = 'artists' and name is not null").select("name").collect()]
+    events = table(spark, folder, "streaming_history").select("event_id", "artist_name").dropDuplicates(["event_id"])
+    return consistent_form(events, "artist_name", listed, "artist_form").select("event_id", "artist_form")
+
+
+def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return encode(table(spark, folder, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
+def p7_bins(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, part, n_tokens, bin_id: documents in containers of 2,048 tokens."""
+    bins = pack(count_tokens(table(spark, folder, "documents"), "doc_id", "text"), "id", "size", CONTAINER)
+    return bins.select(F.col("id").alias("doc_id"), "part", F.col("size").alias("n_tokens"), F.col("bin").alias("bin_id"))
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_forms": p2_forms, "p6_ids": p6_ids, "p7_bins": p7_bins}
 
 _P1 = """
 WITH q AS (SELECT DISTINCT query_id AS b, unnest(candidate_track_uris) AS item FROM track_reranking_split),
