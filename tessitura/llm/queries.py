@@ -9,6 +9,7 @@ from tessitura.llm.cooccur import cooccurrence
 from tessitura.llm.encode import count_tokens, encode
 from tessitura.llm.lookalike import consistent_form, same_look
 from tessitura.llm.packing import pack
+from tessitura.llm.residue import find_residue, train_residue_model
 from tessitura.operators.gaptree import gap_sessions
 from tessitura.tables import table
 
@@ -58,7 +59,19 @@ def p7_bins(spark: SparkSession, folder: str) -> DataFrame:
     return bins.select(F.col("id").alias("doc_id"), "part", F.col("size").alias("n_tokens"), F.col("bin").alias("bin_id"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_forms": p2_forms, "p6_ids": p6_ids, "p7_bins": p7_bins}
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = train_residue_model(docs, "doc_id", "text", "source")
+    return find_residue(docs, "doc_id", "text", model).select(F.col("id").alias("doc_id"))
+
+
+def p8_validation(spark: SparkSession, folder: str) -> DataFrame:
+    """How the classifier does on sentences of hosts that took no part in its fit, against the weak labels."""
+    found = train_residue_model(table(spark, folder, "documents"), "doc_id", "text", "source").validation
+    return spark.createDataFrame(sorted(found.items()), "measure string, value double")
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_forms": p2_forms, "p6_ids": p6_ids, "p7_bins": p7_bins, "p8_found": p8_found, "p8_validation": p8_validation}
 
 _P1 = """
 WITH q AS (SELECT DISTINCT query_id AS b, unnest(candidate_track_uris) AS item FROM track_reranking_split),
