@@ -6,9 +6,10 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence
 
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Letters of other scripts with the shape of a Latin letter, in pairs. Accented letters are decomposed first.
@@ -179,15 +180,13 @@ def consistent_form(df: DataFrame, column: str, vocabulary: Sequence[str], into:
     """
     words = list(vocabulary)
 
-    def form(values: Iterator):  # -> Iterator[pd.Series]
-        import pandas as pd
-
+    @F.pandas_udf("string")
+    def form(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
         trie = Trie(words)
         for series in values:
             yield pd.Series(_each(pa.array(series, pa.string()), lambda x: consistent(x, trie, budget)), dtype=object)
 
-    apply: Column = F.pandas_udf(form, "string", F.PandasUDFType.SCALAR_ITER)(F.col(column).cast("string"))
-    return df.withColumn(into, apply)
+    return df.withColumn(into, form(F.col(column).cast("string")))
 
 
 def same_look(texts: DataFrame, ident: str, column: str, names: DataFrame, ref: str, name: str, *, most_names: int = 100_000) -> DataFrame:
@@ -203,7 +202,11 @@ def same_look(texts: DataFrame, ident: str, column: str, names: DataFrame, ref:
     listed = names.select(F.col(ref).alias("ref"), F.col(name).cast("string").alias("name")).where("name is not null and ref is not null").distinct()
     known = _vocabulary(listed, most_names)
     if known is None:
-        look = F.pandas_udf(lambda s: s.map(glyphs), "string")
+
+        @F.pandas_udf("string")
+        def look(values: pd.Series) -> pd.Series:
+            return values.map(glyphs)
+
         pairs = wanted.withColumn("look", look("text")).join(listed.withColumn("look", look("name")), "look")
         return pairs.where("look <> '' and text <> name").select("id", "ref").distinct()
     id_type = pa.int64() if dict(texts.dtypes)[ident] == "bigint" else None

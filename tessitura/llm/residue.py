@@ -45,7 +45,7 @@ SCRIPT = r"(?:java ?script|\bjs\b|\bscripts?\b|client-side scripting)"
 SWITCH = r"(?:enable|disabled|turned o|switched o|requires|need to|allow|blocked|not support|aktivieren|benötigt|activa|activer|nécessite|necesita|precisa|ative|включите|有効)"
 NOTICES = [rf"{SCRIPT}.{{0,40}}?{SWITCH}", rf"{SWITCH}.{{0,20}}?{SCRIPT}", r"enable it and refresh", r"disable your blocker", r"turn it on in your browser", r"schalten sie es in ihrem browser"]
 #: What tells of such texts instead of being one; such sentences are labelled as content.
-MENTIONS = r"`[^`]*`|\"[^\"]{8,60}\",? |\b(?:single|song|titre|título|faixa|zine|guide|verse|sleeve|importer|sync job|refuses|principle|chorus|band|interview|projector|ticket site|cuenta|groupe|release notes)\b"
+MENTIONS = r"`[^`]*`|\"[^\"/]{8,60}\",? |\b(?:single|song|titre|título|faixa|zine|guide|verse|sleeve|importer|sync job|refuses|principle|chorus|band|interview|projector|ticket site|cuenta|groupe|release notes)\b"
 LATIN = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur"
 KEYS = r"\b(?:asdf\w*|sdfsdf\w*|qwer\w*|zxcv\w*|jkl|fghj\w*|hjkl\w*|xxx+|blah|test)\b"
 # Tags of markup; other words in angle brackets are no tags.
@@ -124,9 +124,13 @@ def text_features(sentence: str) -> list[int]:
 
 
 def place_features(sentence: str, at: int, of: int, share: float) -> list[int]:
-    """Hashed: title or not, first or not, length of the document in sentences, share of it."""
+    """Hashed: title or not, first or not, length of the document in sentences, most of it or not."""
+    return _hashed(_place(sentence, at, of, share).split())
+
+
+def _place(sentence: str, at: int, of: int, share: float) -> str:
     title = sentence.startswith("#") or (at == 0 and of > 1 and sentence.istitle())
-    return _hashed([f"p{_bucket(of)}", f"h{title}", f"f{at == 0}", f"r{int(share * 4)}"])
+    return f"p{min(_bucket(of), 3)} h{title} f{at == 0} r{share > 0.5}"
 
 
 def _placed(text: str) -> list[tuple[str, int, int, float]]:
@@ -194,12 +198,12 @@ def _fit(rows: list[list[int]], labels: np.ndarray, weights: np.ndarray, *, pena
     return w.astype(np.float32), bias
 
 
-def train_residue_model(docs: DataFrame, ident: str, text: str, host: str, *, most_documents: int = 40_000, most_sentences: int = 60_000, penalty: float = 1e-7, rounds: int = 60) -> ResidueModel:
+def train_residue_model(docs: DataFrame, ident: str, text: str, host: str, *, most_documents: int = 40_000, most_sentences: int = 100_000, penalty: float = 1e-7, rounds: int = 60) -> ResidueModel:
     """Fit on weak labels of a bounded sample; validate on hosts that were left out.
 
     The sample: about most_documents documents, by a hash of their id, and of their different sentences most_sentences
-    at most, those with a label first, then the most frequent; sentences that differ in numbers (unlabelled ones: in names) are one, which
-    weighs the square root of its frequency. These bounds are parameters; only fitting uses them. One host of five (by hash;
+    at most, those with a label first, then the most frequent; sentences in like places that differ in numbers (unlabelled ones: in names) are one,
+    which weighs the square root of its frequency. These bounds are parameters; only fitting uses them. One host of five (by hash;
     no host is a host of its own) is held out: precision, recall and F1 against the weak labels are measured there. An empty or unlabelled table gives a model that finds nothing.
     """
     count = docs.count()
@@ -210,10 +214,13 @@ def train_residue_model(docs: DataFrame, ident: str, text: str, host: str, *, mo
         for batch in batches:
             out: dict[tuple[str, int], list] = {}
             for doc, fold in zip(batch["text"].to_pylist(), batch["fold"].to_pylist()):
+                mentions: set[int] = set()  # the start of a sentence that tells of residue is none either
                 for s, *place in _placed(doc):
                     if len(s) <= 2_000:
-                        kind = weak_label(s)
-                        form = _form(s, names=kind != 0)
+                        kind = -1 if place[0] in mentions else weak_label(s)
+                        if kind < 0:
+                            mentions.add(place[0])
+                        form = f"{_form(s, names=kind != 0)} {_place(s, *place)}"
                         out.setdefault((form, fold), [form, s, fold, kind, *place, 0])[-1] += 1
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out.values())], ["form", "sentence", "fold", "label", "at", "of", "share", "times"])
