@@ -28,7 +28,7 @@ def w4_calendar(spark: SparkSession, folder: str) -> DataFrame:
 
 def w5_w6_item_history(spark: SparkSession, folder: str) -> DataFrame:
     found = q.item_history(history(spark, folder), STREAM)
-    return found.select("event_id", "item_play_count", F.round("hours_since_item", 6).alias("hours_since_item"), "plays_since_item", F.round("item_skip_rate", 9).alias("item_skip_rate"), F.round("item_skip_smooth", 9).alias("item_skip_smooth"))
+    return found.select("event_id", "item_play_count", "hours_since_item", "plays_since_item", F.round("item_skip_rate", 9).alias("item_skip_rate"), F.round("item_skip_smooth", 9).alias("item_skip_smooth"))
 
 
 def w7_streaks(spark: SparkSession, folder: str) -> DataFrame:
@@ -120,7 +120,7 @@ ORACLE = {
     + """, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) - 1 AS row_idx FROM h),
 x AS (SELECT *, row_number() OVER w - 1 AS n, coalesce(sum(skip::INT) OVER (PARTITION BY user_id, artist ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k,
   lag(us) OVER w AS before, lag(row_idx) OVER w AS before_row FROM r WINDOW w AS (PARTITION BY user_id, artist ORDER BY us, event_id))
-SELECT event_id, n AS item_play_count, round(coalesce(greatest((us - before) / 1000000.0::DOUBLE / 3600, 0), 0), 6) AS hours_since_item, coalesce(row_idx - before_row, row_idx + 1) AS plays_since_item,
+SELECT event_id, n AS item_play_count, coalesce(greatest((us - before) / 1000000.0::DOUBLE / 3600, 0), 0) AS hours_since_item, coalesce(row_idx - before_row, row_idx + 1) AS plays_since_item,
   round(CASE WHEN n > 0 THEN k::DOUBLE / n ELSE 0 END, 9) AS item_skip_rate, round((k + 1)::DOUBLE / (n + 2), 9) AS item_skip_smooth FROM x""",
     "w7_streaks": _H
     + """, f AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) - row_number() OVER (PARTITION BY user_id, skip ORDER BY us, event_id) AS island FROM h),
