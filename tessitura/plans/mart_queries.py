@@ -106,7 +106,7 @@ def a50_mean_spread(spark: SparkSession, folder: str) -> DataFrame:
 
 def w20_rank_present(spark: SparkSession, folder: str) -> DataFrame:
     c = table(spark, folder, "creator_ranking_opportunities").dropDuplicates(["opportunity_id"]).withColumn("score", F.nanvl("opportunity_score", F.lit(None)))
-    return relations.rank_present(c, ["report_family_id"], "score", "place").select("opportunity_id", "place")
+    return relations.rank_present(c, ["report_family_id"], "score", "place").select("opportunity_id", F.coalesce("place", F.lit(0)).alias("place"))
 
 
 def w21_top_one(spark: SparkSession, folder: str) -> DataFrame:
@@ -201,7 +201,7 @@ g AS (SELECT month, lag(month) OVER (ORDER BY month) AS before FROM (SELECT DIST
   LEFT JOIN s a ON a.month = g.month AND a.platform = p.platform LEFT JOIN s b ON b.month = g.before AND b.platform = p.platform WHERE g.before IS NOT NULL AND (a.s IS NOT NULL OR b.s IS NOT NULL))
 SELECT month, round(0.5 * sum(abs(d)), 9) AS shift, arg_min(platform, (-d, platform)) AS gain, arg_min(platform, (d, platform)) AS loss FROM c GROUP BY month""",
     "a50_mean_spread": "SELECT c_mktsegment, c_nationkey, count(c_acctbal) AS n, round(avg(c_acctbal), 6) AS mean, round(coalesce(stddev_samp(c_acctbal), 0), 6) AS std, round(1.96 * coalesce(stddev_samp(c_acctbal), 0) / sqrt(count(c_acctbal)), 6) AS ci95 FROM customer GROUP BY ALL",
-    "w20_rank_present": f"WITH {_C}, s AS (SELECT *, CASE WHEN isnan(opportunity_score) THEN NULL ELSE opportunity_score END AS v FROM c) SELECT opportunity_id, CASE WHEN v IS NOT NULL THEN dense_rank() OVER (PARTITION BY report_family_id ORDER BY v DESC NULLS LAST) END AS place FROM s",
+    "w20_rank_present": f"WITH {_C}, s AS (SELECT *, CASE WHEN isnan(opportunity_score) THEN NULL ELSE opportunity_score END AS v FROM c) SELECT opportunity_id, CASE WHEN v IS NOT NULL THEN dense_rank() OVER (PARTITION BY report_family_id ORDER BY v DESC NULLS LAST) ELSE 0 END AS place FROM s",
     "w21_top_one": "SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) = 1",
     "w28_w29_transitions": _H
     + """, s AS (SELECT lag(artist) OVER (PARTITION BY user_id ORDER BY us, event_id) AS source, artist AS target FROM h WHERE artist <> ''), n AS (SELECT source, target, count(*) AS n FROM s WHERE source IS NOT NULL AND source <> target GROUP BY ALL),
