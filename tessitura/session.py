@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,3 +52,21 @@ def forget(spark: SparkSession) -> None:
     """Delete all tables that materialize() wrote in the shared folder."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/tessitura")
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the workers of this application the package, once, for clusters where it isn't installed."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    with tempfile.TemporaryDirectory(prefix="tessitura-") as folder:
+        zipped = Path(folder, "tessitura_package.zip")
+        with zipfile.ZipFile(zipped, "w", zipfile.ZIP_DEFLATED) as archive:
+            for file in sorted(package.rglob("*.py")):
+                archive.write(file, file.relative_to(package.parent))
+        context.addPyFile(str(zipped))  # the driver keeps a copy and serves it to the workers
+    _shipped.add(context.applicationId)
