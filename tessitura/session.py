@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -63,10 +65,11 @@ def ship(spark: SparkSession) -> None:
     if context.applicationId in _shipped:
         return
     package = Path(__file__).resolve().parent
-    with tempfile.TemporaryDirectory(prefix="tessitura-") as folder:
-        zipped = Path(folder, "tessitura_package.zip")
-        with zipfile.ZipFile(zipped, "w", zipfile.ZIP_DEFLATED) as archive:
-            for file in sorted(package.rglob("*.py")):
-                archive.write(file, file.relative_to(package.parent))
-        context.addPyFile(str(zipped))  # the driver keeps a copy and serves it to the workers
+    folder = tempfile.mkdtemp(prefix="tessitura-")  # the driver serves the file from here while it runs
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    zipped = Path(folder, "tessitura_package.zip")
+    with zipfile.ZipFile(zipped, "w", zipfile.ZIP_DEFLATED) as archive:
+        for file in sorted(package.rglob("*.py")):
+            archive.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(zipped))
     _shipped.add(context.applicationId)
