@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import logging
 import shutil
 import tempfile
 import uuid
@@ -42,20 +43,29 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """df written once to the shared folder and read again.
 
     Cuts the lineage, so that a lost executor costs no recomputation of what lies before, and lets several branches
-    read one result. The files stay until forget() or the end of the cluster's own cleaning.
+    read one result. The files stay until forget() or the end of the driver.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tessitura/{name}-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(forget, spark)
+    _written.add(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def forget(spark: SparkSession) -> None:
-    """Delete all tables that materialize() wrote in the shared folder."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/tessitura")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete the tables that materialize() wrote for this driver."""
+    try:
+        for path in list(_written):
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            _written.discard(path)
+    except Exception:  # the session has ended: what is left lies in the cluster's folder for checkpoints
+        logging.getLogger(__name__).debug("tables in the shared folder are left", exc_info=True)
 
 
+_written: set[str] = set()
 _shipped: set[str] = set()
 
 
