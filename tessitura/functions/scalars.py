@@ -73,7 +73,7 @@ def listed(c: Column) -> Column:
     """A list from JSON, else from text joined by pipes; blank entries are left out."""
     parsed = F.from_json(c, "array<string>")
     parts = F.when(F.trim(c).startswith("["), parsed).otherwise(F.split(c, "\\|"))
-    return F.filter(F.transform(F.coalesce(parts, F.array().cast("array<string>")), F.trim), lambda x: x.isNotNull() & (x != ""))
+    return F.filter(F.transform(F.coalesce(parts, F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
 
 
 def label_by(value: Column, steps: Sequence[tuple[float, str]], rest: str) -> Column:

@@ -19,12 +19,12 @@ def stream_sessions(events: DataFrame, entity: str, time: str, gap: str = "30 mi
     return events.withWatermark(time, late).groupBy(entity, window.alias("w")).agg(F.count(F.lit(1)).alias("event_count"), F.max(time).alias("last")).select(entity, F.col("w.start").alias("start"), F.col("last").alias("end"), "event_count")
 
 
-def apply_versions(events: DataFrame, timeout_ms: int = 3_600_000) -> DataFrame:
+def apply_versions(events: DataFrame, timeout_ms: int | None = None) -> DataFrame:
     """Events (session_id, event_id, expected_version long, payload) applied one by one per session.
 
     outcome: applied (the session's version rises by one), replayed (same event and payload again), conflict (same
-    event, other payload) or stale (expected_version isn't the session's). A session's state goes timeout_ms after its
-    last event, in processing time.
+    event, other payload) or stale (expected_version isn't the session's). With timeout_ms, a session's state goes that
+    long after its last event, in processing time (the stream then runs batches without data).
     """
 
     def apply(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -44,10 +44,11 @@ def apply_versions(events: DataFrame, timeout_ms: int = 3_600_000) -> DataFrame:
                     payloads[e.event_id] = e.payload
                 out.append((key[0], e.event_id, version, outcome))
         state.update((version, payloads))
-        state.setTimeoutDuration(timeout_ms)
+        if timeout_ms is not None:
+            state.setTimeoutDuration(timeout_ms)
         yield pd.DataFrame(out, columns=["session_id", "event_id", "version", "outcome"])
 
-    return events.groupBy("session_id").applyInPandasWithState(apply, RESULT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.groupBy("session_id").applyInPandasWithState(apply, RESULT, STATE, "append", GroupStateTimeout.NoTimeout if timeout_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def unique_events(events: DataFrame, time: str, late: str = "1 hour") -> DataFrame:
