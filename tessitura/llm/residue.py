@@ -96,12 +96,12 @@ def _bucket(x: float) -> int:
     return int(math.log2(x + 1))
 
 
-def _hashed(found: list[str]) -> list[int]:
-    return list({crc32(x.encode()) >> (32 - BITS) for x in found})
+def _bucket_of(feature: str) -> int:
+    return crc32(feature.encode()) >> (32 - BITS)
 
 
-def text_features(sentence: str) -> list[int]:
-    """Hashed n-grams of words and of the shapes of marked words, and length. A name within a sentence is one word, a number another."""
+def text_features(sentence: str) -> set[str]:
+    """N-grams of words and of the shapes of marked words, and length. A name within a sentence is one word, a number another."""
     words, first = ["^"], True
     for w in _WORDS.findall(sentence):
         if w[0].isdigit():
@@ -120,15 +120,12 @@ def text_features(sentence: str) -> list[int]:
         shape = re.sub(r"\d+", "0", re.sub(r"[^\W\d_A-Z]+", "a", re.sub(r"[A-Z]+", "A", mark)))
         found.append(f"s{shape[:24]}")
         found += [f"g{shape[i : i + 3]}" for i in range(min(len(shape) - 2, 24))]
-    return _hashed([*found, f"l{_bucket(len(sentence))}", f"n{_bucket(len(words))}"])
-
-
-def place_features(sentence: str, at: int, of: int, share: float) -> list[int]:
-    """Hashed: title or not, first or not, length of the document in sentences, most of it or not."""
-    return _hashed(_place(sentence, at, of, share).split())
+    found += (f"l{_bucket(len(sentence))}", f"n{_bucket(len(words))}")
+    return set(found)
 
 
 def _place(sentence: str, at: int, of: int, share: float) -> str:
+    """Features of the place: title or not, first or not, length of the document in sentences, most of it or not."""
     title = sentence.startswith("#") or (at == 0 and of > 1 and sentence.istitle())
     return f"p{min(_bucket(of), 3)} h{title} f{at == 0} r{share > 0.5}"
 
@@ -144,6 +141,19 @@ def _placed(text: str) -> list[tuple[str, int, int, float]]:
     return placed
 
 
+class _Weights(dict):
+    """Weight of each feature seen so far, by its bucket."""
+
+    def __init__(self, weights: np.ndarray) -> None:
+        self.weights = weights
+
+    def __missing__(self, feature: str) -> float:
+        if len(self) > 500_000:
+            self.clear()
+        self[feature] = found = float(self.weights[_bucket_of(feature)])
+        return found
+
+
 @dataclass
 class ResidueModel:
     """A linear classifier of sentences. validation: on sentences of hosts that took no part in the fit."""
@@ -154,6 +164,10 @@ class ResidueModel:
 
     def __post_init__(self) -> None:
         self.known: dict[str, float] = {}
+        self.weight = _Weights(self.weights)
+
+    def __reduce__(self):  # what is remembered stays behind
+        return ResidueModel, (self.weights, self.bias, self.validation)
 
     def of_sentence(self, sentence: str) -> float:
         """The part of the log-odds that comes from the words; remembered, as sentences recur."""
@@ -161,12 +175,13 @@ class ResidueModel:
         if found is None:
             if len(self.known) > 100_000:
                 self.known.clear()
-            found = self.known[sentence] = float(self.weights[text_features(sentence)].sum())
+            found = self.known[sentence] = sum(map(self.weight.__getitem__, text_features(sentence)))
         return found
 
     def score(self, text: str) -> float:
         """The log-odds of the text's most suspicious sentence."""
-        return max((self.bias + self.of_sentence(s) + float(self.weights[place_features(s, *place)].sum()) for s, *place in _placed(text)), default=-math.inf)
+        weight = self.weight.__getitem__
+        return max((self.bias + self.of_sentence(s) + sum(map(weight, _place(s, *place).split())) for s, *place in _placed(text)), default=-math.inf)
 
 
 def _flat(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -228,7 +243,7 @@ def train_residue_model(docs: DataFrame, ident: str, text: str, host: str, *, mo
     labelled = sample.mapInArrow(label, "form string, sentence string, fold long, label long, at long, of long, share double, times long")
     alike = labelled.groupBy("form", (F.col("fold") == 0).alias("held"), "label").agg(F.min_by(F.struct("sentence", "at", "of", "share"), F.struct("sentence", "at")).alias("one"), F.sum("times").alias("times"))
     rows = alike.select("one.*", "held", "label", "times").orderBy((F.col("label") == 0).cast("int"), F.desc("times"), F.xxhash64("sentence")).limit(most_sentences).collect()
-    cases = [text_features(r["sentence"]) + place_features(r["sentence"], r["at"], r["of"], r["share"]) for r in rows]
+    cases = [[_bucket_of(x) for x in (*text_features(r["sentence"]), *_place(r["sentence"], r["at"], r["of"], r["share"]).split())] for r in rows]
     labels, times = np.array([r["label"] == 1 for r in rows], float), np.array([r["times"] for r in rows], float)
     held, hard = np.array([r["held"] for r in rows], bool), np.array([r["label"] == -1 for r in rows], bool)
     if not labels[~held].any():
