@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessitura.operators.graph import dot
 from tessitura.operators.relations import until_stable
 
 
@@ -104,11 +105,36 @@ def sign_codes(vectors: DataFrame, ident: str, vector: str, dims: int, bits: int
     return vectors.select(F.col(ident), code.alias("code"))
 
 
+def sign_tables(vectors: DataFrame, ident: str, vector: str, dims: int, bits: int, tables: int, seed: int = 0) -> DataFrame:
+    """(id, table, code): codes as of sign_codes in several hash tables, table t with the planes of seed + t."""
+    planes = [(t, np.random.default_rng(seed + t).standard_normal((bits, dims)).tolist()) for t in range(tables)]
+    sets = vectors.sparkSession.createDataFrame(planes, "table int, _p array<array<double>>")
+    powers = F.array(*(F.lit(1 << b).cast("long") for b in range(bits)))
+    side = lambda p, power: F.when(dot(p, F.col(vector)) > 0, power).otherwise(F.lit(0).cast("long"))
+    code = F.aggregate(F.zip_with("_p", powers, side), F.lit(0).cast("long"), lambda s, x: s + x)
+    return vectors.select(ident, vector).crossJoin(F.broadcast(sets)).select(ident, "table", code.alias("code"))
+
+
 def lsh_candidates(codes: DataFrame, ident: str, queries: DataFrame, bits: int) -> DataFrame:
-    """(query, candidate): rows whose code differs from the query's in one bit at most: each query probes its bucket and those one bit away."""
+    """(query, candidate): rows whose code differs from the query's in one bit at most: each query probes its bucket and those one bit away.
+
+    With codes of several tables, rows that are found in any of them.
+    """
+    keys = ["table", "code"] if "table" in codes.columns else ["code"]
     flips = F.array(F.lit(0).cast("long"), *(F.lit(1 << b).cast("long") for b in range(bits)))
-    probes = queries.select(F.col(ident).alias("query"), F.explode(F.transform(flips, lambda f: F.col("code").bitwiseXOR(f))).alias("code"))
-    return probes.join(codes.select(F.col(ident).alias("candidate"), "code"), "code").where("query <> candidate").select("query", "candidate").distinct()
+    probes = queries.select(F.col(ident).alias("query"), *keys[:-1], F.explode(F.transform(flips, lambda f: F.col("code").bitwiseXOR(f))).alias("code"))
+    return probes.join(codes.select(F.col(ident).alias("candidate"), *keys), keys).where("query <> candidate").select("query", "candidate").distinct()
+
+
+def ranked_candidates(candidates: DataFrame, vectors: DataFrame, ident: str, vector: str, queries: DataFrame, least: int) -> DataFrame:
+    """(query, candidate, cosine, place): all candidates of each query by cosine, of equals the smaller id; a query with under `least` gets all rows."""
+    unit = lambda df, i, v: df.select(F.col(ident).alias(i), F.transform(vector, lambda x: x.cast("double") / F.sqrt(dot(vector, vector))).alias(v))
+    enough = candidates.groupBy("query").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least)
+    few = queries.select(F.col(ident).alias("query")).distinct().join(enough, "query", "left_anti")
+    rest = few.crossJoin(vectors.select(F.col(ident).alias("candidate"))).where("query <> candidate")
+    pairs = candidates.join(enough, "query", "left_semi").unionByName(rest)
+    scored = pairs.join(unit(vectors, "candidate", "_v"), "candidate").join(unit(queries, "query", "_q"), "query").select("query", "candidate", F.round(dot("_v", "_q"), 9).alias("cosine"))
+    return scored.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("cosine"), "candidate")).cast("long"))
 
 
 def session_votes(history: DataFrame, current: DataFrame, session: str, item: str, k: int, neighbours: int) -> DataFrame:

@@ -110,9 +110,11 @@ def m21_m22_fusion_recall(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def m24_lsh(spark: SparkSession, folder: str) -> DataFrame:
-    """Candidates of every row divisible by 50, among all."""
-    codes = retrieval.sign_codes(table(spark, folder, "embeddings"), "vec_id", "embedding", 64, 8)
-    return retrieval.lsh_candidates(codes, "vec_id", codes.where("vec_id % 50 = 0"), 8)
+    """Candidates of every row divisible by 50, among all, from 32 hash tables and ranked by cosine."""
+    e = table(spark, folder, "embeddings")
+    codes, asked = retrieval.sign_tables(e, "vec_id", "embedding", 64, 8, 32), e.where("vec_id % 50 = 0")
+    found = retrieval.lsh_candidates(codes, "vec_id", codes.where("vec_id % 50 = 0"), 8)
+    return retrieval.ranked_candidates(found, e, "vec_id", "embedding", asked, 5)
 
 
 def m27_session_votes(spark: SparkSession, folder: str) -> DataFrame:

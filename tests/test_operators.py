@@ -138,6 +138,27 @@ def test_retrieval(spark):
     assert all((300 + i, i) in hits for i in range(40))  # same directions always share the bucket
 
 
+def _hash_recall(spark, folder):
+    from tessitura.plans import catalogue
+
+    near = {(r["query"], r["neighbour"]) for r in catalogue.QUERIES["t9_neighbours"](spark, folder).collect()}
+    found = {(r["query"], r["candidate"]) for r in catalogue.QUERIES["m24_lsh"](spark, folder).where("place <= 5").collect()}
+    return len(near & found) / len(near)
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.1").exists(), reason="no test data here")
+def test_hash_tables_find_the_nearest_rows(spark):
+    assert _hash_recall(spark, "/root/testdata/sf0.1") >= 0.9
+
+
+def test_queries_with_few_candidates_get_all_rows(spark):
+    v = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(4)], "id long, v array<double>")
+    asked = v.where("id < 2")
+    some = spark.createDataFrame([(0, 2), (0, 3)], "query long, candidate long")
+    rows = retrieval.ranked_candidates(some, v, "id", "v", asked, 2).orderBy("query", "place").collect()
+    assert [(r["query"], r["candidate"]) for r in rows] == [(0, 2), (0, 3), (1, 2), (1, 3), (1, 0)]
+
+
 DATA = Path("/root/testdata/sf0.001")
 
 
