@@ -62,17 +62,29 @@ def supported(interactions: DataFrame, user: str, item: str, least_items: int, l
 
 
 def negative_samples(positives: DataFrame, user: str, item: str, items: DataFrame, per_positive: int, seed: int = 0) -> DataFrame:
-    """(user, item, negative): items the user has not had, drawn by hash: the same on every run.
+    """(user, item, negative): per_positive items that the user has not had for each positive, drawn by hash: the same on every run.
 
-    Candidates are positions in the numbered item list, so users and items are never crossed; a draw that hits one of
-    the user's items is left out.
+    The r-th of the items a user lacks is drawn, so that no draw is lost: its position in the numbered item list is r and
+    the number of the user's own items before it, which one window over the user's items and draws counts. Draws of a
+    positive may be equal; of users with half of the items or more they differ, if enough are left. Users with all have none.
     """
-    numbered = items.select(item).distinct().withColumn("_i", F.row_number().over(Window.orderBy(item)) - 1)
+    numbered = items.select(F.col(item).alias("negative")).distinct().withColumn("_i", F.row_number().over(Window.orderBy("negative")).cast("long") - 1)
     n = numbered.count()
-    draws = positives.select(user, item).distinct().withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(per_positive - 1)))).withColumn("_i", F.pmod(F.xxhash64(user, item, "_k", F.lit(seed)), F.lit(max(n, 1))).cast("int"))
-    drawn = draws.join(numbered.select("_i", F.col(item).alias("negative")), "_i")
-    had = positives.select(user, F.col(item).alias("negative")).distinct()
-    return drawn.join(had, [user, "negative"], "left_anti").select(user, item, "negative")
+    pairs = positives.select(user, item).distinct()
+    had = pairs.select(user, F.col(item).alias("negative")).join(numbered, "negative")
+    # the j-th own item, at position p, lies before the r-th lacking item if p - j <= r
+    own = had.select(user, (F.col("_i") - F.row_number().over(Window.partitionBy(user).orderBy("_i")) + 1).alias("_r"))
+    lacks = F.lit(n) - F.coalesce("_own", F.lit(0))
+    left = pairs.join(own.groupBy(user).agg(F.count(F.lit(1)).alias("_own")), user, "left").withColumn("_lacks", lacks.cast("long")).where("_lacks > 0")
+    differ = (F.col("_lacks") * 2 <= n) & (F.col("_lacks") >= per_positive)
+    drawn = lambda k: F.pmod(F.xxhash64(user, item, k, F.lit(seed)), F.col("_lacks") - F.when(differ, k).otherwise(0))
+    past = lambda done, r: F.aggregate(done, r, lambda x, c: F.when(c <= x, x + 1).otherwise(x))
+    more = lambda done, k: F.array_sort(F.concat(done, F.array(F.when(differ, past(done, drawn(k))).otherwise(drawn(k)))))
+    ranks = F.aggregate(F.sequence(F.lit(0), F.lit(per_positive - 1)), F.array().cast("array<bigint>"), more)
+    draws = left.select(user, item, F.explode(ranks).alias("_r"), F.lit(True).alias("_draw"))
+    both = draws.unionByName(own.withColumn("_draw", F.lit(False)), allowMissingColumns=True)
+    before = F.sum(F.when(F.col("_draw"), 0).otherwise(1)).over(Window.partitionBy(user).orderBy("_r").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    return both.withColumn("_i", F.col("_r") + before).where("_draw").join(numbered, "_i").select(user, item, "negative")
 
 
 def reciprocal_fusion(pools: Sequence[DataFrame], query: str, item: str, place: str, k: int, constant: int = 60) -> DataFrame:

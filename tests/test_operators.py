@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from datetime import UTC, date, datetime, timedelta
 from pathlib import Path
 
@@ -138,6 +139,17 @@ def test_retrieval(spark):
     assert all((300 + i, i) in hits for i in range(40))  # same directions always share the bucket
 
 
+def test_every_positive_has_all_its_negatives(spark):
+    rows = [(u, i) for u, had in enumerate((range(1), range(0, 20, 2), range(3, 19), range(19), range(20))) for i in had]
+    b = spark.createDataFrame(rows, "u long, i long")
+    for per in (1, 2, 4):
+        found = [tuple(r) for r in retrieval.negative_samples(b, "u", "i", b, per).collect()]
+        assert Counter(r[:2] for r in found) == {r: per for r in rows if r[0] != 4}  # user 4 has every item
+        assert not {(u, n) for u, _, n in found} & set(rows) and {n for *_, n in found} <= set(range(20))
+        assert all(len({n for *k, n in found if k == [2, i]}) == per for i in range(3, 19))  # drawn without repeats where few are left
+    assert {n for u, _, n in found if u == 2} == {0, 1, 2, 19} and {n for u, _, n in found if u == 3} == {19}
+
+
 def _hash_recall(spark, folder):
     from tessitura.plans import catalogue
 
