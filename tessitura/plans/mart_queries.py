@@ -9,6 +9,7 @@ from tessitura.functions.scalars import leading, listed, similarity_label
 from tessitura.operators import graph, relations, similarity
 from tessitura.operators.quality import history_quality
 from tessitura.plans.history import SQL, history
+from tessitura.plans.sequence_queries import sessions
 from tessitura.tables import table
 
 
@@ -118,6 +119,12 @@ def w28_w29_transitions(spark: SparkSession, folder: str) -> DataFrame:
     return graph.transitions(h, ["user_id"], ["ts", "event_id"], "artist").where("n >= 2")
 
 
+def w28_w29_session_transitions(spark: SparkSession, folder: str) -> DataFrame:
+    """All artist transitions within one session, also those seen once."""
+    h = sessions(spark, folder).where("artist <> ''")
+    return graph.transitions(h, ["user_id", "session_id"], ["ts", "event_id"], "artist")
+
+
 def w30_node_profile(spark: SparkSession, folder: str) -> DataFrame:
     h = history(spark, folder).where("platform is not null")
     return graph.node_profile(graph.transitions(h, ["user_id"], ["ts", "event_id"], "platform", allow_same=True), 12)
@@ -134,7 +141,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         a1_daily_activity, a3_first_seen_mode, a16_weighted_score, a23_ranked_artists, a25_a29_daily_similarity, w23_w24_trends, w26_anomalies, a33_weekly_mean, a27_media_mix, a32_fractional_shares, a36_min_max, a45_quality, a49_regime_shifts,
-        a50_mean_spread, w20_rank_present, w21_top_one, w28_w29_transitions, w30_node_profile, w36_snapshot_deltas,
+        a50_mean_spread, w20_rank_present, w21_top_one, w28_w29_transitions, w28_w29_session_transitions, w30_node_profile, w36_snapshot_deltas,
     )
 }
 

@@ -174,6 +174,29 @@ def test_queries_with_few_candidates_get_all_rows(spark):
 DATA = Path("/root/testdata/sf0.001")
 
 
+@pytest.mark.skipif(not DATA.exists(), reason="no test data here")
+def test_session_transitions_are_whole(spark):
+    from tessitura.plans import catalogue
+    from tessitura.plans.history import history
+
+    wanted, last = Counter(), {}
+    for r in history(spark, str(DATA)).orderBy("user_id", "ts", "event_id").collect():
+        at, artist = last.get(r["user_id"], (None, None))
+        if at is not None and (r["ts"] - at).total_seconds() > 1800:
+            artist = None
+        if r["artist"]:
+            if artist and artist != r["artist"]:
+                wanted[artist, r["artist"]] += 1
+            artist = r["artist"]
+        last[r["user_id"]] = r["ts"], artist
+    out, into = Counter(), Counter()
+    for (a, b), n in wanted.items():
+        out[a] += n
+        into[b] += n
+    found = catalogue.QUERIES["w28_w29_session_transitions"](spark, str(DATA)).collect()
+    assert 1 in wanted.values() and {(r["source"], r["target"]): (r["n"], r["out_share"], r["in_share"]) for r in found} == {(a, b): (n, round(n / out[a], 9), round(n / into[b], 9)) for (a, b), n in wanted.items()}
+
+
 @pytest.mark.skipif(not DATA.exists(), reason="no test data here")
 def test_every_query_with_sql_matches_it(spark):
     duckdb = pytest.importorskip("duckdb")
