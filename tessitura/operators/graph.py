@@ -22,11 +22,20 @@ def transitions(events: DataFrame, partition: Sequence[str], order: Sequence[str
 def node_profile(edges: DataFrame, nodes: int) -> DataFrame:
     """Per source: out, different targets and the entropy of its steps, smoothed by one for each of `nodes` targets."""
     total = F.sum("n") + nodes
-    unseen = nodes - F.count(F.lit(1))
-    entropy = F.log(total.cast("double")) - (F.sum((F.col("n") + 1) * F.log((F.col("n") + 1).cast("double"))) + unseen * 0.0) / total
+    entropy = F.log(total.cast("double")) - F.sum((F.col("n") + 1) * F.log((F.col("n") + 1).cast("double"))) / total  # targets not seen add 1 * ln 1 = 0
     return edges.groupBy("source").agg(F.sum("n").alias("out"), F.count(F.lit(1)).alias("targets"), F.round(entropy, 9).alias("entropy"))
 
 
+def degree_profile(edges: DataFrame, nodes: DataFrame, node: str) -> DataFrame:
+    """Per node, also those without steps: out, in, different targets and the entropy of node_profile over as many targets as there are nodes."""
+    every = nodes.select(F.col(node).alias("source")).distinct()
+    n = every.count()
+    into = edges.groupBy(F.col("target").alias("source")).agg(F.sum("n").alias("in"))
+    found = every.join(node_profile(edges, n), "source", "left").join(into, "source", "left")
+    zero = {c: F.coalesce(c, F.lit(0)).cast("long") for c in ("out", "in", "targets")}
+    return found.withColumns(zero | {"entropy": F.coalesce("entropy", F.round(F.log(F.lit(float(n))), 9))}).select(F.col("source").alias(node), "out", "in", "targets", "entropy")
+
+
 def dot(a: str, b: str):
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 

@@ -130,6 +130,12 @@ def w30_node_profile(spark: SparkSession, folder: str) -> DataFrame:
     return graph.node_profile(graph.transitions(h, ["user_id"], ["ts", "event_id"], "platform", allow_same=True), 12)
 
 
+def w30_artist_profile(spark: SparkSession, folder: str) -> DataFrame:
+    """Degrees and entropy of every artist, of steps within one session."""
+    h = sessions(spark, folder).where("artist <> ''")
+    return graph.degree_profile(graph.transitions(h, ["user_id", "session_id"], ["ts", "event_id"], "artist", allow_same=True), h, "artist")
+
+
 def w36_snapshot_deltas(spark: SparkSession, folder: str) -> DataFrame:
     """Latest order per customer and day, and its change against the one before."""
     latest = relations.top_one(table(spark, folder, "orders").withColumn("day", F.to_date("o_orderdate")), ["o_custkey", "day"], F.desc("o_orderdate"), F.desc("o_orderkey"))
@@ -141,7 +147,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         a1_daily_activity, a3_first_seen_mode, a16_weighted_score, a23_ranked_artists, a25_a29_daily_similarity, w23_w24_trends, w26_anomalies, a33_weekly_mean, a27_media_mix, a32_fractional_shares, a36_min_max, a45_quality, a49_regime_shifts,
-        a50_mean_spread, w20_rank_present, w21_top_one, w28_w29_transitions, w28_w29_session_transitions, w30_node_profile, w36_snapshot_deltas,
+        a50_mean_spread, w20_rank_present, w21_top_one, w28_w29_transitions, w28_w29_session_transitions, w30_node_profile, w30_artist_profile, w36_snapshot_deltas,
     )
 }
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from datetime import UTC, date, datetime, timedelta
 from pathlib import Path
@@ -139,6 +140,23 @@ def test_retrieval(spark):
     assert all((300 + i, i) in hits for i in range(40))  # same directions always share the bucket
 
 
+def test_degrees_and_entropy_of_all_nodes(spark):
+    e = spark.createDataFrame([("s", i, x) for i, x in enumerate("abaabc")] + [("t", 0, "d")], "s string, i long, x string")
+    found = graph.degree_profile(graph.transitions(e, ["s"], ["i"], "x", allow_same=True), e, "x").collect()
+    entropy = lambda *n: round(math.log(sum(n) + 4) - sum((c + 1) * math.log(c + 1) for c in n) / (sum(n) + 4), 9)
+    assert {r["x"]: (r["out"], r["in"], r["targets"], r["entropy"]) for r in found} == {"a": (3, 2, 2, entropy(2, 1)), "b": (2, 2, 2, entropy(1, 1)), "c": (0, 1, 0, entropy()), "d": (0, 0, 0, entropy())}
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="no test data here")
+def test_artist_profile_has_every_artist(spark):
+    from tessitura.plans import catalogue
+    from tessitura.plans.history import history
+
+    found = catalogue.QUERIES["w30_artist_profile"](spark, "/root/testdata/sf0.001").collect()
+    artists = {r["artist"] for r in history(spark, "/root/testdata/sf0.001").where("artist <> ''").select("artist").distinct().collect()}
+    assert len(found) == len(artists) and {r["artist"] for r in found} == artists and sum(r["out"] for r in found) == sum(r["in"] for r in found) > 0
+
+
 def test_every_positive_has_all_its_negatives(spark):
     rows = [(u, i) for u, had in enumerate((range(1), range(0, 20, 2), range(3, 19), range(19), range(20))) for i in had]
     b = spark.createDataFrame(rows, "u long, i long")
