@@ -102,7 +102,7 @@ def m20_negatives(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def m21_m22_fusion_recall(spark: SparkSession, folder: str) -> DataFrame:
-    """Recall of lists fused from two neighbour scores, against the parts of the largest orders."""
+    """Recall of lists fused from two neighbour scores, against the first three of one of them: how much of it the fusion keeps, not how well it foretells."""
     near = retrieval.item_neighbours(_baskets(spark, folder), "l_orderkey", "l_partkey", 10, 1.0)
     plain = retrieval.item_neighbours(_baskets(spark, folder), "l_orderkey", "l_partkey", 10)
     fused = retrieval.reciprocal_fusion([near, plain], "item", "neighbour", "place", 10)
