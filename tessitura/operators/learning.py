@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import KMeans
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import PCA, Normalizer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
@@ -32,3 +33,31 @@ def scores(train: DataFrame, rows: DataFrame, columns: Sequence[str], label: str
     put = VectorAssembler(inputCols=list(columns), outputCol="_v").transform
     model = LogisticRegression(featuresCol="_v", labelCol=label, regParam=penalty).fit(put(train))
     return model.transform(put(rows)).withColumn("score", vector_to_array("probability")[1]).drop("_v", "rawPrediction", "probability", "prediction")
+
+
+def with_and_without(train: DataFrame, rows: DataFrame, columns: Sequence[str], friction: dict[str, float], label: str, penalty: float = 0.01) -> DataFrame:
+    """Probabilities of the label: baseline (columns only), score (with friction), healthy (score with friction at the given values), delta = score - healthy.
+
+    Both models are fitted on train with balanced classes. A proxy, not a cause.
+    """
+    n = {r[0]: r[1] for r in train.groupBy(label).count().collect()}
+    weight = sum((F.when(F.col(label) == k, sum(n.values()) / (len(n) * c)).otherwise(0.0) for k, c in n.items()), F.lit(0.0))
+    fitted = train.withColumn("_w", weight)
+
+    def fit(names: list[str]):
+        put = VectorAssembler(inputCols=names, outputCol="_v").transform
+        model = LogisticRegression(featuresCol="_v", labelCol=label, weightCol="_w", regParam=penalty).fit(put(fitted))
+        return lambda df, name: model.transform(put(df)).withColumn(name, vector_to_array("probability")[1]).drop("_v", "rawPrediction", "probability", "prediction")
+
+    base, full = fit(list(columns)), fit([*columns, *friction])
+    kept = {f"_{c}": F.col(c) for c in friction}
+    found = full(base(rows, "baseline"), "score").withColumns(kept).withColumns({c: F.lit(float(v)) for c, v in friction.items()})
+    found = full(found, "healthy").withColumns({c: F.col(f"_{c}") for c in friction}).drop(*kept)
+    return found.withColumn("delta", F.col("score") - F.col("healthy"))
+
+
+def auc(df: DataFrame, score: str, label: str) -> float:
+    """Area under the curve over all distinct scores; NaN where there is one class only."""
+    if df.select(label).distinct().count() < 2:
+        return float("nan")
+    return BinaryClassificationEvaluator(rawPredictionCol=score, labelCol=label, numBins=0).evaluate(df)

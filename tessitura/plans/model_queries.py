@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessitura.operators import graph, learning, metrics, retrieval
+from tessitura.operators import graph, learning, metrics, retrieval, sequence
 from tessitura.plans.history import SQL, history
+from tessitura.plans.sequence_queries import STREAM, sessions
+from tessitura.session import materialize
 from tessitura.tables import table
 
 CLASSES = 10
@@ -131,10 +133,29 @@ def m30_clusters(spark: SparkSession, folder: str) -> DataFrame:
     return learning.clusters(days, ["ms", "skip", "artists"], 4).select("user_id", "cluster")
 
 
+def _friction(spark: SparkSession, folder: str) -> DataFrame:
+    h = sequence.session_so_far(sequence.split_by_boundaries(sessions(spark, folder), STREAM), STREAM)
+    number = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c)
+    before = ["session_position", "session_skip_rate", "session_repeat_ratio"]
+    rows = materialize(h.select("event_id", "split", number("skip"), F.hour("ts").cast("double").alias("hour"), *(number(c) for c in ("shuffle", "offline", *before))), "friction")
+    return learning.with_and_without(rows.where("split = 'train'"), rows, ["hour", "shuffle", *before], {"offline": 0.0}, "skip")
+
+
 def m33_friction(spark: SparkSession, folder: str) -> DataFrame:
-    """Chance of a skip by what came before."""
-    h = history(spark, folder).select("event_id", F.col("skip").cast("double").alias("skip"), F.hour("ts").cast("double").alias("hour"), F.coalesce(F.col("shuffle").cast("double"), F.lit(0.0)).alias("shuffle"), F.coalesce(F.col("offline").cast("double"), F.lit(0.0)).alias("offline"))
-    return learning.scores(h, h, ["hour", "shuffle", "offline"], "skip").select("event_id", "score")
+    """Chance of a skip by hour, shuffle and the session so far, with and without offline as friction, and with offline at 0; fitted on the training split."""
+    return _friction(spark, folder).select("event_id", "split", "score", "baseline", "healthy", "delta")
+
+
+def m33_friction_summary(spark: SparkSession, folder: str) -> DataFrame:
+    """Of each split: AUC without and with friction, mean chance of a skip, and the mean change with friction at its healthy value."""
+    found = materialize(_friction(spark, folder), "friction-scores")
+    rows = []
+    for split in ("train", "validation", "test"):
+        part = found.where(F.col("split") == split)
+        rows.append((split, learning.auc(part, "baseline", "skip"), learning.auc(part, "score", "skip")))
+    aucs = spark.createDataFrame(rows, "split string, baseline_auc double, auc double")
+    means = found.groupBy("split").agg(F.count(F.lit(1)).alias("n"), *(F.avg(c).alias(f"mean_{c}") for c in ("score", "healthy", "delta")))
+    return means.join(aucs, "split")
 
 
 def t9_neighbours(spark: SparkSession, folder: str) -> DataFrame:

@@ -157,6 +157,17 @@ def test_artist_profile_has_every_artist(spark):
     assert len(found) == len(artists) and {r["artist"] for r in found} == artists and sum(r["out"] for r in found) == sum(r["in"] for r in found) > 0
 
 
+def test_friction_is_compared_on_held_out_rows(spark):
+    from tessitura.operators import learning
+
+    rows = [(i, "train" if i < 300 else "test", float(i % 7), float(i % 3 == 0), float(i % 3 == 0 and i % 5 > 0)) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, split string, hour double, offline double, skip double")
+    found = learning.with_and_without(df.where("split = 'train'"), df, ["hour"], {"offline": 0.0}, "skip")
+    test = found.where("split = 'test'")
+    assert learning.auc(test, "score", "skip") > 0.9 > 0.7 > learning.auc(test, "baseline", "skip")
+    assert all((r["delta"] > 0.3) if r["offline"] else (r["delta"] == 0) for r in found.collect()) and found.count() == 400
+
+
 def test_every_positive_has_all_its_negatives(spark):
     rows = [(u, i) for u, had in enumerate((range(1), range(0, 20, 2), range(3, 19), range(19), range(20))) for i in had]
     b = spark.createDataFrame(rows, "u long, i long")
