@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessitura.session import materialize
+
 
 def softmax(scores: str | Column, temperature: float | Column = 1.0) -> Column:
     scores = F.col(scores) if isinstance(scores, str) else scores
@@ -61,14 +63,15 @@ def temperature_search(df: DataFrame, scores: str, truth: str, temperatures: Seq
 def conformal_threshold(ranked: DataFrame, alpha: float) -> DataFrame:
     """The k-th smallest score 1 - p_true with k = ceil((n + 1)(1 - alpha)), at most n.
 
-    The k-th value is found by counts of distinct scores in order of range, not by sorting all rows in one task.
+    The k-th value is found by counts of distinct scores in order of range, not by sorting all rows in one task. The
+    ranged counts are written once: read twice from a shuffle, adaptive execution may range them differently.
     """
     counts = ranked.groupBy((1 - F.col("p_true")).alias("s")).agg(F.count(F.lit(1)).alias("c"))
-    total = counts.agg(F.sum("c").alias("n")).withColumn("k", F.least(F.ceil((F.col("n") + 1) * (1 - alpha)), F.col("n")))
-    ranged = counts.repartitionByRange("s").withColumn("_p", F.spark_partition_id())
+    ranged = materialize(counts.repartitionByRange("s").withColumn("_p", F.spark_partition_id()), "scores")
+    total = ranged.agg(F.sum("c").alias("n")).withColumn("k", F.least(F.ceil((F.col("n") + 1) * (1 - alpha)), F.col("n")))
     before = ranged.groupBy("_p").agg(F.sum("c").alias("_c")).withColumn("_b", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_c")
     upto = F.sum("c").over(Window.partitionBy("_p").orderBy("s").rowsBetween(Window.unboundedPreceding, 0))
-    return ranged.withColumn("_u", upto).join(F.broadcast(before), "_p").join(F.broadcast(total)).where(F.col("_u") + F.col("_b") >= F.col("k")).agg(F.round(F.min("s"), 9).alias("threshold"), F.max("n").alias("n"))
+    return ranged.withColumn("_u", upto).join(before, "_p").join(F.broadcast(total)).where(F.col("_u") + F.col("_b") >= F.col("k")).agg(F.round(F.min("s"), 9).alias("threshold"), F.max("n").alias("n"))
 
 
 def prediction_sets(ranked: DataFrame, proba: str, threshold: float) -> DataFrame:
@@ -89,8 +92,8 @@ def risk_coverage(ranked: DataFrame, bins: int = 100) -> DataFrame:
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    whole = Window.partitionBy(F.lit(0))
-    return counts.withColumn("weight", F.round(F.sum("n").over(whole) / (F.count(F.lit(1)).over(whole) * F.col("n")), 9))
+    total = counts.agg(F.sum("n").alias("_all"), F.count(F.lit(1)).alias("_labels"))
+    return counts.join(F.broadcast(total)).withColumn("weight", F.round(F.col("_all") / (F.col("_labels") * F.col("n")), 9)).drop("_all", "_labels")
 
 
 def mean_differences(df: DataFrame, split: str, a: str, b: str, columns: Sequence[str]) -> DataFrame:
@@ -105,8 +108,9 @@ def share_shift(df: DataFrame, split: str, a: str, b: str, segment: str) -> Data
     """(segment, share_a, share_b, shift)."""
     is_a, is_b = F.col(split) == a, F.col(split) == b
     g = df.where(is_a | is_b).groupBy(segment).agg(F.count_if(is_a).alias("x"), F.count_if(is_b).alias("y"))
-    whole = Window.partitionBy(F.lit(0))
-    g = g.withColumn("share_a", F.coalesce(F.col("x") / F.nullif(F.sum("x").over(whole), F.lit(0)), F.lit(0.0))).withColumn("share_b", F.coalesce(F.col("y") / F.nullif(F.sum("y").over(whole), F.lit(0)), F.lit(0.0)))
+    total = g.agg(F.sum("x").alias("_x"), F.sum("y").alias("_y"))
+    part = lambda n: F.coalesce(F.col(n) / F.nullif(F.col(f"_{n}"), F.lit(0)), F.lit(0.0))
+    g = g.join(F.broadcast(total)).withColumn("share_a", part("x")).withColumn("share_b", part("y"))
     return g.select(segment, F.round("share_a", 9).alias("share_a"), F.round("share_b", 9).alias("share_b"), F.round(F.col("share_b") - F.col("share_a"), 9).alias("shift"))
 
 

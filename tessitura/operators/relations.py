@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessitura.session import materialize, release
+
 
 def mode_of(df: DataFrame, keys: Sequence[str], value: str, into: str) -> DataFrame:
     """The most frequent value per group, nulls left out; of equals the smallest. Counted in two steps, so no group is held at once."""
@@ -35,9 +37,9 @@ def rank_present(df: DataFrame, keys: Sequence[str], value: str, into: str) -> D
     return df.withColumn(into, F.when(F.col(value).isNotNull(), F.dense_rank().over(w)).cast("long"))
 
 
-def min_max(value: str, keys: Sequence[str] = (), higher_is_better: bool = True) -> Column:
-    """0 to 1 over the group; 0.5 if it has at most one value or all are equal. Null is null."""
-    w = Window.partitionBy(*(keys or [F.lit(0)]))
+def min_max(value: str, keys: Sequence[str], higher_is_better: bool = True) -> Column:
+    """0 to 1 over the group; 0.5 if it has at most one value or all are equal. Null is null. scaled() does whole tables."""
+    w = Window.partitionBy(*keys)
     low, high = F.min(value).over(w), F.max(value).over(w)
     part = (F.col(value) - low) / F.nullif(high - low, F.lit(0.0))
     return F.when(F.col(value).isNotNull(), F.coalesce(part if higher_is_better else 1 - part, F.lit(0.5)))
@@ -59,12 +61,14 @@ def mean_spread(value: str) -> list[Column]:
     return [F.count(value).alias("n"), F.avg(value).alias("mean"), std.alias("std"), (1.96 * std / F.sqrt(F.count(value))).alias("ci95")]
 
 
-def dominated(df: DataFrame, ident: str, high: Sequence[str], low: Sequence[str] = ()) -> DataFrame:
+def dominated(df: DataFrame, ident: str, high: Sequence[str], low: Sequence[str] = (), *, most: int = 20_000) -> DataFrame:
     """(ident, dominates, dominated_by): pairs in which one row is at least as good in all columns and better in one.
 
-    For tables of candidates (models, policies): the pairs are compared in a nested loop over a side that must be small
-    enough to broadcast. Use pareto_front() for large tables.
+    For tables of candidates (models, policies): the pairs are compared in a nested loop, so more than `most` rows
+    raise. pareto_front() does large tables without pairs.
     """
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"over {most} rows are compared with each other; use pareto_front()")
     columns = [*high, *low]
     one, other = (df.select(F.col(ident).alias(f"{p}_id"), *((-F.col(c) if c in low else F.col(c)).alias(f"{p}_{c}") for c in columns)) for p in ("a", "b"))
     reach = reduce(lambda x, y: x & y, (F.col(f"a_{c}") >= F.col(f"b_{c}") for c in columns))
@@ -79,10 +83,10 @@ def pareto_front(df: DataFrame, ident: str, x: str, y: str) -> DataFrame:
     """Rows that no row beats in both x and y (larger is better), by one pass in order of x: no pairs are made.
 
     Rows are first reduced to the best y of each x. The running maximum of larger x is taken in two levels: within
-    ranges of x, and over the ranges' maxima.
+    ranges of x, and over the ranges' maxima. The ranged rows are written in between, so that both see the same ranges.
     """
     best = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(x).agg(F.max(y).alias("_y"))
-    ranged = best.repartitionByRange(F.desc(x)).withColumn("_p", F.spark_partition_id())
+    ranged = materialize(best.repartitionByRange(F.desc(x)).withColumn("_p", F.spark_partition_id()), "front")
     over = ranged.groupBy("_p").agg(F.max("_y").alias("_m"))
     before = over.withColumn("_above", F.max("_m").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))).drop("_m")
     inside = F.max("_y").over(Window.partitionBy("_p").orderBy(F.desc(x)).rowsBetween(Window.unboundedPreceding, -1))
@@ -126,13 +130,11 @@ def in_order(df: DataFrame, order: Sequence[Column], into: str) -> DataFrame:
 
     The ranged rows are written to the shared folder in between, so that both passes see the same ranges.
     """
-    from tessitura.session import materialize
-
     ranged = materialize(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "ranges")
     sizes = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     offsets = sizes.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
     local = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
-    return ranged.withColumn("_l", local).join(F.broadcast(offsets), "_p").withColumn(into, (F.col("_o") + F.col("_l") - 1).cast("long")).drop("_p", "_l", "_o")
+    return ranged.withColumn("_l", local).join(offsets, "_p").withColumn(into, (F.col("_o") + F.col("_l") - 1).cast("long")).drop("_p", "_l", "_o")
 
 
 def evenly_spaced(df: DataFrame, order: Sequence[Column], most: int) -> DataFrame:
@@ -150,16 +152,18 @@ def hashed_sample(df: DataFrame, ident: str, most: int, seed: int = 0) -> DataFr
     return df.orderBy(F.xxhash64(F.col(ident), F.lit(seed)), ident).limit(most)
 
 
-def until_stable(df: DataFrame, step: Callable[[DataFrame], DataFrame], rounds: int = 50) -> DataFrame:
-    """Repeat a filter until no row goes; each round is written to the shared folder, which cuts the lineage."""
-    from tessitura.session import materialize
+def until_stable(df: DataFrame, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Repeat a filter until no row goes; each round is written to the shared folder, which cuts the lineage.
 
+    A round that changes anything takes a row away, so it ends; the rounds before are deleted.
+    """
     now = materialize(df, "rounds")
     n = now.count()
-    for _ in range(rounds):
-        now = materialize(step(now), "rounds")
-        left = now.count()
+    while True:
+        after = materialize(step(now), "rounds")
+        left = after.count()
         if left == n:
+            release(after)
             return now
-        n = left
-    raise ValueError(f"not stable after {rounds} rounds")
+        release(now)
+        now, n = after, left

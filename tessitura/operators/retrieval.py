@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessitura.operators.graph import dot
-from tessitura.operators.relations import until_stable
+from tessitura.operators.relations import in_order, until_stable
 
 
 def popularity(interactions: DataFrame, session: str, item: str, k: int) -> DataFrame:
@@ -68,7 +68,7 @@ def negative_samples(positives: DataFrame, user: str, item: str, items: DataFram
     the number of the user's own items before it, which one window over the user's items and draws counts. Draws of a
     positive may be equal; of users with half of the items or more they differ, if enough are left. Users with all have none.
     """
-    numbered = items.select(F.col(item).alias("negative")).distinct().withColumn("_i", F.row_number().over(Window.orderBy("negative")).cast("long") - 1)
+    numbered = in_order(items.select(F.col(item).alias("negative")).distinct(), [F.col("negative")], "_i")
     n = numbered.count()
     pairs = positives.select(user, item).distinct()
     had = pairs.select(user, F.col(item).alias("negative")).join(numbered, "negative")

@@ -7,6 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+DAY_US = 86_400_000_000
+
+
+def utc_day(time: str) -> Column:
+    """Days since 1970-01-01 UTC of a timestamp, whatever the session's time zone."""
+    us = f"unix_micros(cast(`{time}` as timestamp))"
+    return F.expr(f"cast(({us} - pmod({us}, {DAY_US}L)) div {DAY_US}L as int)")
+
 
 def daily_totals(events: DataFrame, entity: str, time: str, event_id: str, measure: str) -> DataFrame:
     """entity, day (days since 1970-01-01 UTC), plays, amount: sparse, one row per day with an event.
@@ -18,7 +26,7 @@ def daily_totals(events: DataFrame, entity: str, time: str, event_id: str, measu
     amount = F.greatest(F.coalesce(F.nanvl(F.col(measure).cast("double"), F.lit(0.0)), F.lit(0.0)), F.lit(0.0)).cast("long") if dict(events.dtypes)[measure] in ("float", "double") else F.greatest(F.coalesce(F.col(measure).cast("long"), F.lit(0)), F.lit(0))
     own_id: Column = F.when(F.col(event_id).isNull(), F.monotonically_increasing_id())
     rows = events.where(F.col(entity).isNotNull() & F.col(time).isNotNull()).select(
-        F.col(entity).cast("string").alias("entity"), F.unix_date(F.to_date(F.col(time).cast("timestamp"))).alias("day"), F.col(event_id).alias("event_id"), own_id.alias("own_id"), amount.alias("amount")
+        F.col(entity).cast("string").alias("entity"), utc_day(time).alias("day"), F.col(event_id).alias("event_id"), own_id.alias("own_id"), amount.alias("amount")
     )
     once = rows.repartition("entity", "day").groupBy("entity", "day", "event_id", "own_id").agg(F.max("amount").alias("amount"))
     return once.groupBy("entity", "day").agg(F.count(F.lit(1)).alias("plays"), F.sum("amount").alias("amount"))

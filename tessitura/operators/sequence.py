@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from tessitura.operators.relations import in_order
+from tessitura.operators.rolling import DAY_US, utc_day
+
 BEFORE = (Window.unboundedPreceding, -1)
 
 
@@ -40,10 +43,11 @@ def sessionize(events: DataFrame, s: Stream, gap_seconds: float = 1800) -> DataF
 
 
 def calendar_parts(df: DataFrame, time: str) -> DataFrame:
-    """hour, dow (Monday 0), month and their positions on a circle, rounded to 9 digits."""
-    hour, dow = F.hour(time), F.weekday(time)
+    """hour, dow (Monday 0) and month in UTC, and their positions on a circle, rounded to 9 digits."""
+    us, day = F.unix_micros(F.col(time).cast("timestamp")), utc_day(time)
+    hour, dow = F.floor(F.pmod(us, F.lit(DAY_US)) / F.lit(3_600_000_000)).cast("int"), F.pmod(day + 3, F.lit(7))  # 1970-01-01 was a Thursday
     around = [(f"{n}_{f}", F.round(g(part * F.lit(6.283185307179586 / of)), 9)) for n, part, of in (("hour", hour, 24), ("dow", dow, 7)) for f, g in (("sin", F.sin), ("cos", F.cos))]
-    return df.withColumns({"hour": hour, "dow": dow, "month": F.month(time)} | dict(around))
+    return df.withColumns({"hour": hour, "dow": dow, "month": F.month(F.date_from_unix_date(day))} | dict(around))
 
 
 def item_history(df: DataFrame, s: Stream) -> DataFrame:
@@ -123,9 +127,9 @@ def recent(df: DataFrame, s: Stream, lengths: Sequence[int] = (5, 20)) -> DataFr
 
 
 def codes(df: DataFrame, column: str, into: str) -> DataFrame:
-    """Numbers from 0 for the values in order; null is -1. The distinct values are ranked, not the rows."""
+    """Numbers from 0 for the values in order; null is -1. The distinct values are numbered, range by range, not the rows."""
     values = df.select(column).where(F.col(column).isNotNull()).distinct()
-    ranked = values.withColumn(into, (F.dense_rank().over(Window.orderBy(column)) - 1).cast("long"))
+    ranked = in_order(values, [F.col(column)], into)
     return df.join(ranked, column, "left").withColumn(into, F.coalesce(into, F.lit(-1)))
 
 

@@ -8,25 +8,45 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def augment(rows: DataFrame, sources: Mapping[str, DataFrame], keys: Sequence[str], row_id: str, time_us: str, *, latest: Mapping[str, tuple[str, str]], sums: Mapping[str, tuple[str, str, int]]) -> DataFrame:
+def augment(
+    rows: DataFrame,
+    sources: Mapping[str, DataFrame],
+    keys: Sequence[str],
+    row_id: str,
+    time_us: str,
+    *,
+    latest: Mapping[str, tuple[str, str]],
+    sums: Mapping[str, tuple[str, str, int]],
+    default: float | None = 0.0,
+) -> DataFrame:
     """rows with as-of and window-sum columns from several sources, in one union and one shuffle by `keys`.
 
-    latest: column -> (source, value): the value of the last event at or before the row's time; of equal times the
-    last in order of its `seq`. sums: column -> (source, value, microseconds): the sum over the events from that long
-    before the row's time to it, both ends included. Where there is none: null for latest, 0 for sums. Sources have
-    the keys, `time_us`, `seq` and their values.
+    latest: column -> (source, value): the value of the last event at or before the row's time, null if that event has
+    none; of equal times the last in order of its `seq`; `default` where there is no such event. sums: column ->
+    (source, value, microseconds): the sum over the events from that long before the row's time to it, both ends
+    included; 0 where there is none. Sources have the keys, `time_us`, `seq` and their values. All columns of rows stay;
+    a row whose time or keys are null meets nothing.
     """
-    values = {c: s for c, s in [*((c, (src, v)) for c, (src, v) in latest.items()), *((c, (src, v)) for c, (src, v, _) in sums.items())]}
-    missing = lambda: F.lit(None).cast("double")
-    parts = [rows.select(*keys, F.col(time_us).alias("_t"), F.lit(1).alias("_row"), F.lit(None).cast("long").alias("_seq"), F.col(row_id).alias("_id"), *(missing().alias(c) for c in values))]
+    wanted = {c: (source, value) for c, (source, value) in latest.items()} | {c: (source, value) for c, (source, value, _) in sums.items()}
+    own = F.struct(*rows.columns)
+    nothing = F.lit(None).cast("struct<v:double>")
+    kind = rows.select(own.alias("_own")).schema["_own"].dataType
+    parts = [rows.select(*keys, F.col(time_us).alias("_t"), F.lit(1).alias("_row"), F.lit(None).cast("long").alias("_seq"), own.alias("_own"), *(nothing.alias(c) for c in wanted))]
     for name, source in sources.items():
-        parts.append(source.select(*keys, F.col("time_us").alias("_t"), F.lit(0).alias("_row"), F.col("seq").alias("_seq"), F.lit(None).cast(dict(rows.dtypes)[row_id]).alias("_id"), *((F.col(v).cast("double") if src == name else missing()).alias(c) for c, (src, v) in values.items())))
+        values = (F.struct(F.col(v).cast("double").alias("v")).alias(c) if src == name else nothing.alias(c) for c, (src, v) in wanted.items())
+        parts.append(source.select(*keys, F.col("time_us").alias("_t"), F.lit(0).alias("_row"), F.col("seq").alias("_seq"), F.lit(None).cast(kind).alias("_own"), *values))
     union = parts[0]
     for part in parts[1:]:
         union = union.unionByName(part)
     order = Window.partitionBy(*keys).orderBy("_t", "_row", "_seq").rowsBetween(Window.unboundedPreceding, 0)
-    found: dict[str, Column] = {c: F.last(c, ignorenulls=True).over(order) for c in latest}
+    met = F.col("_t").isNotNull()
+    for k in keys:
+        met = met & F.col(k).isNotNull()
+    found: dict[str, Column] = {}
+    for c in latest:
+        last = F.last(c, ignorenulls=True).over(order)
+        found[c] = F.when(met & last.isNotNull(), last["v"]).otherwise(F.lit(default).cast("double"))
     for c, (_, _, us) in sums.items():
-        found[c] = F.coalesce(F.sum(c).over(Window.partitionBy(*keys).orderBy("_t").rangeBetween(-us, 0)), F.lit(0.0))
-    joined = union.withColumns(found).where("_row = 1")
-    return joined.select(*keys, F.col("_id").alias(row_id), F.col("_t").alias(time_us), *values)
+        within = F.sum(F.col(c)["v"]).over(Window.partitionBy(*keys).orderBy("_t").rangeBetween(-us, 0))
+        found[c] = F.when(met, F.coalesce(within, F.lit(0.0))).otherwise(F.lit(0.0))
+    return union.withColumns(found).where("_row = 1").select("_own.*", *wanted)

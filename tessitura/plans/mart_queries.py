@@ -13,18 +13,43 @@ from tessitura.plans.sequence_queries import sessions
 from tessitura.tables import table
 
 
+def daily_activity(h: DataFrame) -> DataFrame:
+    """Per day: plays, time, different artists and tracks, shares, and the most frequent platform (of equals the smallest).
+
+    One pass: rows are added up by day and value of artist, track and platform at once (the values of a day are spread
+    over the tasks), and the values of each day are then counted.
+    """
+    flags = {"skip_share": "skip", "shuffle_share": "shuffle", "offline_share": "offline"}
+    known = lambda c: F.coalesce(F.col(c).cast("int"), F.lit(0)).cast("long")
+    per = h.groupBy("day", "artist", "track_uri", "platform").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("ms").alias("ms"), *(x for s, c in flags.items() for x in (F.sum(known(c)).alias(f"{s}_yes"), F.count(c).alias(f"{s}_of")))
+    )
+    sums = ["n", "ms", *(f"{s}_{x}" for s in flags for x in ("yes", "of"))]
+    kinds = [("artist", F.nullif("artist", F.lit(""))), ("track", F.col("track_uri")), ("platform", F.col("platform"))]
+    values = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), v.alias("value")) for k, v in kinds)))
+    counted = per.select("day", values.alias("v"), *sums).groupBy("day", "v.kind", "v.value").agg(*(F.sum(c).alias(c) for c in sums))
+    of = lambda kind: F.col("kind") == kind
+    total = lambda c: F.sum(F.when(of("artist"), F.col(c)))
+    share = lambda part, whole: F.round(F.coalesce(part / F.nullif(whole, F.lit(0)), F.lit(0.0)), 9)
+    best = F.min(F.when(of("platform") & F.col("value").isNotNull(), F.struct((-F.col("n")).alias("n"), F.col("value").alias("v"))))["v"]
+    return counted.groupBy("day").agg(
+        total("n").alias("plays"),
+        total("ms").alias("ms"),
+        F.count(F.when(of("artist"), F.col("value"))).alias("artists"),
+        F.count(F.when(of("track"), F.col("value"))).alias("tracks"),
+        *(share(total(f"{s}_yes"), total(f"{s}_of")).alias(s) for s in flags),
+        share(F.sum(F.when(of("track") & F.col("value").isNotNull(), F.col("n")).otherwise(0)), total("n")).alias("track_share"),
+        best.alias("platform"),
+    )
+
+
 def a1_daily_activity(spark: SparkSession, folder: str) -> DataFrame:
-    h = history(spark, folder)
-    share = lambda c: F.round(F.coalesce(F.avg(F.col(c).cast("int")), F.lit(0.0)), 9)
-    days = h.groupBy("day").agg(
-        F.count(F.lit(1)).alias("plays"), F.sum("ms").alias("ms"), F.count_distinct(F.nullif("artist", F.lit(""))).alias("artists"), F.count_distinct("track_uri").alias("tracks"), share("skip").alias("skip_share"), share("shuffle").alias("shuffle_share"), share("offline").alias("offline_share"),
-        F.round(F.avg(F.col("track_uri").isNotNull().cast("int")), 9).alias("track_share"),
-    )
-    return days.join(relations.mode_of(h, ["day"], "platform", "platform"), "day", "left").withColumn("day", F.col("day").cast("string"))
+    h = history(spark, folder, "day", "artist", "track_uri", "platform", "ms", "skip", "shuffle", "offline")
+    return daily_activity(h).withColumn("day", F.col("day").cast("string"))
 
 
 def a3_first_seen_mode(spark: SparkSession, folder: str) -> DataFrame:
-    return relations.first_seen_mode(history(spark, folder), ["user_id"], "conn_country", "event_id", "country")
+    return relations.first_seen_mode(history(spark, folder, "user_id", "conn_country"), ["user_id"], "conn_country", "event_id", "country")
 
 
 def a16_weighted_score(spark: SparkSession, folder: str) -> DataFrame:
@@ -36,22 +61,27 @@ def a16_weighted_score(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def a23_ranked_artists(spark: SparkSession, folder: str) -> DataFrame:
-    h = history(spark, folder).where("media_type = 'music' and artist <> ''")
+    h = history(spark, folder, "user_id", "media_type", "artist", "ms").where("media_type = 'music' and artist <> ''")
     return similarity.ranked_entities(h, ["user_id"], "artist", "ms").where("rank <= 10").select("user_id", "artist", "n", "ms", "rank")
 
 
-def _daily_similarity(spark: SparkSession, folder: str) -> DataFrame:
-    h = history(spark, folder).where("media_type = 'music' and artist <> ''")
+def daily_similarity(events: DataFrame, public: DataFrame, edition: int = 2024) -> DataFrame:
+    """Per day: rank-weighted Jaccard similarity of its artists with both public lists, and how many artists they share."""
+    h = events.where("media_type = 'music' and artist <> ''")
     mine = similarity.ranked_entities(h, ["day"], "artist", "ms")
-    public = table(spark, folder, "public_listening_row").where("dimension = 'artists' and edition = 2024").withColumn("artist", F.regexp_replace(F.lower("name"), "[^a-z0-9]", "")).where("artist <> ''")
+    listed_ = public.where((F.col("dimension") == "artists") & (F.col("edition") == edition)).withColumn("artist", F.regexp_replace(F.lower("name"), "[^a-z0-9]", "")).where("artist <> ''")
     found = None
     for scope in ("global", "united_states"):
-        listed_ = public.where(F.col("list_scope") == scope).groupBy("artist").agg(F.min("list_rank").alias("rank"))
-        part = similarity.rank_weighted_jaccard(mine, listed_, ["day"], "artist").select("day", F.col("similarity").alias(scope), F.col("shared").alias(f"{scope}_shared"))
+        ranks = listed_.where(F.col("list_scope") == scope).groupBy("artist").agg(F.min("list_rank").alias("rank"))
+        part = similarity.rank_weighted_jaccard(mine, ranks, ["day"], "artist").select("day", F.col("similarity").alias(scope), F.col("shared").alias(f"{scope}_shared"))
         found = part if found is None else found.join(part, "day", "full_outer")
     return found
 
 
+def _daily_similarity(spark: SparkSession, folder: str) -> DataFrame:
+    return daily_similarity(history(spark, folder, "day", "media_type", "artist", "ms"), table(spark, folder, "public_listening_row"))
+
+
 def a25_a29_daily_similarity(spark: SparkSession, folder: str) -> DataFrame:
     """Rank-weighted Jaccard similarity of each day with both public lists, their difference and the closer one."""
     d = _daily_similarity(spark, folder).withColumn("difference", F.round(F.col("united_states") - F.col("global"), 9)).withColumn("label", similarity_label(F.greatest("global", "united_states")))
@@ -69,12 +99,12 @@ def w26_anomalies(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def a33_weekly_mean(spark: SparkSession, folder: str) -> DataFrame:
-    daily = history(spark, folder).groupBy("user_id", "day").agg(F.avg(F.col("skip").cast("int")).alias("skip_rate"), F.count(F.lit(1)).alias("plays"))
+    daily = history(spark, folder, "user_id", "day", "skip").groupBy("user_id", "day").agg(F.avg(F.col("skip").cast("int")).alias("skip_rate"), F.count(F.lit(1)).alias("plays"))
     return similarity.weekly_mean(daily, ["user_id"], "day", "skip_rate", "plays").withColumn("week", F.col("week").cast("string"))
 
 
 def a27_media_mix(spark: SparkSession, folder: str) -> DataFrame:
-    h = history(spark, folder)
+    h = history(spark, folder, "user_id", "media_type", "ms")
     one = lambda m: F.round(F.avg((F.col("media_type") == m).cast("int")), 9).alias(f"{m}_share")
     return h.groupBy("user_id").agg(one("music"), one("podcast"), one("other"), F.round(F.sum(F.when(F.col("media_type") == "music", F.col("ms")).otherwise(0)) / F.nullif(F.sum("ms"), F.lit(0)), 9).alias("music_time_share"))
 
@@ -96,7 +126,7 @@ def a45_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def a49_regime_shifts(spark: SparkSession, folder: str) -> DataFrame:
-    monthly = history(spark, folder).where("platform is not null").groupBy(F.date_format("ts", "yyyy-MM").alias("month"), "platform").agg(F.count(F.lit(1)).alias("n"))
+    monthly = history(spark, folder, "day", "platform").where("platform is not null").groupBy(F.date_format("day", "yyyy-MM").alias("month"), "platform").agg(F.count(F.lit(1)).alias("n"))
     return similarity.regime_shifts(monthly, "month", "platform", "n")
 
 
@@ -115,24 +145,24 @@ def w21_top_one(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def w28_w29_transitions(spark: SparkSession, folder: str) -> DataFrame:
-    h = history(spark, folder).where("artist <> ''")
+    h = history(spark, folder, "user_id", "ts", "artist").where("artist <> ''")
     return graph.transitions(h, ["user_id"], ["ts", "event_id"], "artist").where("n >= 2")
 
 
 def w28_w29_session_transitions(spark: SparkSession, folder: str) -> DataFrame:
     """All artist transitions within one session, also those seen once."""
-    h = sessions(spark, folder).where("artist <> ''")
+    h = sessions(spark, folder, "artist").where("artist <> ''")
     return graph.transitions(h, ["user_id", "session_id"], ["ts", "event_id"], "artist")
 
 
 def w30_node_profile(spark: SparkSession, folder: str) -> DataFrame:
-    h = history(spark, folder).where("platform is not null")
+    h = history(spark, folder, "user_id", "ts", "platform").where("platform is not null")
     return graph.node_profile(graph.transitions(h, ["user_id"], ["ts", "event_id"], "platform", allow_same=True), 12)
 
 
 def w30_artist_profile(spark: SparkSession, folder: str) -> DataFrame:
     """Degrees and entropy of every artist, of steps within one session."""
-    h = sessions(spark, folder).where("artist <> ''")
+    h = sessions(spark, folder, "artist").where("artist <> ''")
     return graph.degree_profile(graph.transitions(h, ["user_id", "session_id"], ["ts", "event_id"], "artist", allow_same=True), h, "artist")
 
 

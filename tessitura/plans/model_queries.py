@@ -72,7 +72,7 @@ def m16_prediction_sets(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def m36_recency(spark: SparkSession, folder: str) -> DataFrame:
-    return metrics.recency_weights(history(spark, folder), "ts", 90, 0.25, 4).select("event_id", F.round("weight", 6).alias("weight"))
+    return metrics.recency_weights(history(spark, folder, "ts"), "ts", 90, 0.25, 4).select("event_id", F.round("weight", 6).alias("weight"))
 
 
 def _baskets(spark: SparkSession, folder: str) -> DataFrame:
@@ -94,12 +94,12 @@ def m18_autoencoder(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def m19_supported(spark: SparkSession, folder: str) -> DataFrame:
-    h = history(spark, folder).where("artist <> ''").select("user_id", "artist").distinct()
+    h = history(spark, folder, "user_id", "artist").where("artist <> ''").select("user_id", "artist").distinct()
     return retrieval.supported(h, "user_id", "artist", 20, 10)
 
 
 def m20_negatives(spark: SparkSession, folder: str) -> DataFrame:
-    h = history(spark, folder).where("artist <> ''").select("user_id", "artist").distinct()
+    h = history(spark, folder, "user_id", "artist").where("artist <> ''").select("user_id", "artist").distinct()
     return retrieval.negative_samples(h, "user_id", "artist", h, 2)
 
 
@@ -129,12 +129,12 @@ def m29_space(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def m30_clusters(spark: SparkSession, folder: str) -> DataFrame:
-    days = history(spark, folder).groupBy("user_id").agg(F.avg("ms").alias("ms"), F.avg(F.col("skip").cast("int")).alias("skip"), F.count_distinct("artist").cast("double").alias("artists"))
+    days = history(spark, folder, "user_id", "ms", "skip", "artist").groupBy("user_id").agg(F.avg("ms").alias("ms"), F.avg(F.col("skip").cast("int")).alias("skip"), F.count_distinct("artist").cast("double").alias("artists"))
     return learning.clusters(days, ["ms", "skip", "artists"], 4).select("user_id", "cluster")
 
 
 def _friction(spark: SparkSession, folder: str) -> DataFrame:
-    h = sequence.session_so_far(sequence.split_by_boundaries(sessions(spark, folder), STREAM), STREAM)
+    h = sequence.session_so_far(sequence.split_by_boundaries(sessions(spark, folder, "shuffle", "offline"), STREAM), STREAM)
     number = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c)
     before = ["session_position", "session_skip_rate", "session_repeat_ratio"]
     rows = materialize(h.select("event_id", "split", number("skip"), F.hour("ts").cast("double").alias("hour"), *(number(c) for c in ("shuffle", "offline", *before))), "friction")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessitura.functions import scalars
 from tessitura.operators import graph, relations
+from tessitura.operators.rolling import utc_day
 from tessitura.plans.history import SQL, history
 from tessitura.tables import table
 
@@ -50,12 +51,12 @@ def _public_artists(spark: SparkSession, folder: str) -> DataFrame:
 
 def j11_heard_public(spark: SparkSession, folder: str) -> DataFrame:
     """Events of artists that a public list holds."""
-    return history(spark, folder).join(_public_artists(spark, folder), "artist", "left_semi").select("event_id")
+    return history(spark, folder, "artist").join(_public_artists(spark, folder), "artist", "left_semi").select("event_id")
 
 
 def j12_never_heard(spark: SparkSession, folder: str) -> DataFrame:
     """Rows of the public lists that nobody has heard."""
-    return _public_artists(spark, folder).join(history(spark, folder), "artist", "left_anti").select("ref_id")
+    return _public_artists(spark, folder).join(history(spark, folder, "artist"), "artist", "left_anti").select("ref_id")
 
 
 def j13_lookup(spark: SparkSession, folder: str) -> DataFrame:
@@ -63,7 +64,7 @@ def j13_lookup(spark: SparkSession, folder: str) -> DataFrame:
     clean = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
     p = table(spark, folder, "public_listening_row").where("dimension = 'tracks'").select("ref_id", "list_rank", clean(F.col("name")).alias("track"), F.explode("artists").alias("a")).withColumn("artist", clean(F.col("a")))
     ranks = p.groupBy("track", "artist").agg(F.min_by("list_rank", "ref_id").alias("first_rank"), F.max_by("list_rank", "ref_id").alias("last_rank"))
-    heard = history(spark, folder).where("track <> '' and artist <> ''").groupBy("track", "artist").agg(F.count(F.lit(1)).alias("n"))
+    heard = history(spark, folder, "track", "artist").where("track <> '' and artist <> ''").groupBy("track", "artist").agg(F.count(F.lit(1)).alias("n"))
     return heard.join(ranks, ["track", "artist"])
 
 
@@ -85,20 +86,26 @@ def j16_paired(spark: SparkSession, folder: str) -> DataFrame:
 
 def j17_first_match(spark: SparkSession, folder: str) -> DataFrame:
     """Plays of a candidate track by its URI, else by the artist of that name: here over distinct pairs of the history."""
-    h = history(spark, folder)
+    h = history(spark, folder, "track_uri", "track", "artist")
     exact = h.where("track_uri is not null").groupBy("track_uri").agg(F.count(F.lit(1)).alias("plays"))
     loose = h.groupBy("track", "artist").agg(F.count(F.lit(1)).alias("plays"))
     rows = h.groupBy("track", "artist").agg(F.min("track_uri").alias("track_uri"))
     return relations.first_match(rows, exact, loose, "track_uri", ["track", "artist"], "plays").select("track", "artist", "plays")
 
 
+def recent_days(h: DataFrame, of: DataFrame, days: int) -> DataFrame:
+    """Rows of h on the last `days` days of `of`. The last day comes from a scalar subquery, so the filter goes below what made h."""
+    last = of.agg(F.max("day")).scalar()
+    return h.where(F.col("day") > F.date_sub(last, days))
+
+
 def t2_top_tracks(spark: SparkSession, folder: str) -> DataFrame:
-    """Top artists of the last 90 days, under their most frequent spelling."""
-    h = history(spark, folder).where("artist <> ''")
-    end = h.agg(F.max("day").alias("_end"))
-    recent = h.join(F.broadcast(end)).where(F.col("day") > F.date_sub("_end", 90))
-    top = recent.groupBy("artist").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "artist").limit(20)
-    return top.join(relations.mode_of(recent, ["artist"], "artist_name", "name"), "artist", "left")
+    """Top artists of the last 90 days, under their most frequent spelling: both from the counts of each spelling."""
+    h = history(spark, folder, "day", "artist", "artist_name").where("artist <> ''")
+    days = table(spark, folder, "streaming_history").where("user_id is not null and ts is not null and artist_key <> ''").select(F.date_from_unix_date(utc_day("ts")).alias("day"))
+    spelt = recent_days(h, days, 90).groupBy("artist", "artist_name").agg(F.count(F.lit(1)).alias("n"))
+    name = F.min(F.when(F.col("artist_name").isNotNull(), F.struct((-F.col("n")).alias("n"), F.col("artist_name").alias("v"))))["v"]
+    return spelt.groupBy("artist").agg(F.sum("n").alias("n"), name.alias("name")).orderBy(F.desc("n"), "artist").limit(20)
 
 
 def t3_top_of_row(spark: SparkSession, folder: str) -> DataFrame:
@@ -125,7 +132,7 @@ def t8_beam(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def t10_top_per_medium(spark: SparkSession, folder: str) -> DataFrame:
-    n = history(spark, folder).where("artist_name is not null").groupBy("media_type", "artist_name").agg(F.count(F.lit(1)).alias("n"))
+    n = history(spark, folder, "media_type", "artist_name").where("artist_name is not null").groupBy("media_type", "artist_name").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("media_type").orderBy(F.desc("n"), "artist_name")
     return n.withColumn("place", F.row_number().over(w).cast("long")).where("place <= 5")
 
@@ -154,10 +161,9 @@ def u4_overlap(spark: SparkSession, folder: str) -> DataFrame:
 
 def u5_new_since(spark: SparkSession, folder: str) -> DataFrame:
     """Artists of the last 30 days that were not heard before."""
-    h = history(spark, folder).where("artist <> ''")
-    end = h.agg(F.max("day").alias("_end"))
-    h = h.join(F.broadcast(end)).withColumn("late", F.col("day") > F.date_sub("_end", 30))
-    return h.where("late").select("artist").distinct().join(h.where("not late").select("artist").distinct(), "artist", "left_anti")
+    first = history(spark, folder, "day", "artist").where("artist <> ''").groupBy("artist").agg(F.min("day").alias("day"))
+    days = table(spark, folder, "streaming_history").where("user_id is not null and ts is not null and artist_key <> ''").select(F.date_from_unix_date(utc_day("ts")).alias("day"))
+    return recent_days(first, days, 30).select("artist")
 
 
 def u4_list_difference(spark: SparkSession, folder: str) -> DataFrame:

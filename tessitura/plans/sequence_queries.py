@@ -14,8 +14,12 @@ STREAM = q.Stream(["user_id"], "ts", "event_id", "artist", "skip")
 SIZE = 100
 
 
-def sessions(spark: SparkSession, folder: str) -> DataFrame:
-    return q.sessionize(history(spark, folder), STREAM)
+NEEDED = ("user_id", "ts", "artist", "skip")
+
+
+def sessions(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """History with sessions: the columns of NEEDED and the given ones."""
+    return q.sessionize(history(spark, folder, *NEEDED, *columns), STREAM)
 
 
 def w1_w3_sessionize(spark: SparkSession, folder: str) -> DataFrame:
@@ -23,28 +27,28 @@ def w1_w3_sessionize(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def w4_calendar(spark: SparkSession, folder: str) -> DataFrame:
-    return q.calendar_parts(history(spark, folder), "ts").select("event_id", *(F.col(c).cast("long").alias(c) for c in ("hour", "dow", "month")), "hour_sin", "hour_cos", "dow_sin", "dow_cos")
+    return q.calendar_parts(history(spark, folder, "ts"), "ts").select("event_id", *(F.col(c).cast("long").alias(c) for c in ("hour", "dow", "month")), "hour_sin", "hour_cos", "dow_sin", "dow_cos")
 
 
 def w5_w6_item_history(spark: SparkSession, folder: str) -> DataFrame:
-    found = q.item_history(history(spark, folder), STREAM)
+    found = q.item_history(history(spark, folder, *NEEDED), STREAM)
     return found.select("event_id", "item_play_count", "hours_since_item", "plays_since_item", F.round("item_skip_rate", 9).alias("item_skip_rate"), F.round("item_skip_smooth", 9).alias("item_skip_smooth"))
 
 
 def w7_streaks(spark: SparkSession, folder: str) -> DataFrame:
-    return q.streaks(history(spark, folder), STREAM).select("event_id", "skip_streak", "listen_streak")
+    return q.streaks(history(spark, folder, *NEEDED), STREAM).select("event_id", "skip_streak", "listen_streak")
 
 
 def w8_codes(spark: SparkSession, folder: str) -> DataFrame:
-    return q.codes(history(spark, folder), "platform", "platform_code").select("event_id", "platform_code")
+    return q.codes(history(spark, folder, "platform"), "platform", "platform_code").select("event_id", "platform_code")
 
 
 def w9_vocabulary(spark: SparkSession, folder: str) -> DataFrame:
-    return q.vocabulary(history(spark, folder), "artist", 50)
+    return q.vocabulary(history(spark, folder, "artist"), "artist", 50)
 
 
 def w10_rolling_counts(spark: SparkSession, folder: str) -> DataFrame:
-    return q.rolling_item_counts(history(spark, folder), STREAM, {"plays_24h": 86_400, "plays_7d": 604_800}).select("event_id", "plays_24h", "plays_7d")
+    return q.rolling_item_counts(history(spark, folder, *NEEDED), STREAM, {"plays_24h": 86_400, "plays_7d": 604_800}).select("event_id", "plays_24h", "plays_7d")
 
 
 def w13_w16_session_so_far(spark: SparkSession, folder: str) -> DataFrame:
@@ -57,17 +61,17 @@ def w17_transitions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def w18_slot_rates(spark: SparkSession, folder: str) -> DataFrame:
-    found = q.slot_rates(q.calendar_parts(history(spark, folder), "ts"), STREAM)
+    found = q.slot_rates(q.calendar_parts(history(spark, folder, *NEEDED), "ts"), STREAM)
     return found.select("event_id", F.round("item_hour_rate", 9).alias("item_hour_rate"), F.round("item_dow_rate", 9).alias("item_dow_rate"))
 
 
 def w19_recent(spark: SparkSession, folder: str) -> DataFrame:
-    found = q.recent(history(spark, folder), STREAM)
+    found = q.recent(history(spark, folder, *NEEDED), STREAM)
     return found.select("event_id", *(F.round(f"recent_{n}_{k}", 9).alias(f"recent_{n}_{k}") for n in ("skip_rate", "unique_ratio") for k in (5, 20)))
 
 
 def w31_windows(spark: SparkSession, folder: str) -> DataFrame:
-    found = q.windows_before(sessions(spark, folder), STREAM, 3, ["platform"])
+    found = q.windows_before(sessions(spark, folder, "platform"), STREAM, 3, ["platform"])
     return found.select("event_id", F.concat_ws("|", "history").alias("history"), F.col("artist").alias("target"), "before_platform")
 
 
@@ -82,7 +86,7 @@ def w33_examples(spark: SparkSession, folder: str) -> DataFrame:
 
 def j8_j10_time_joins(spark: SparkSession, folder: str) -> DataFrame:
     """Plays with what the same device family of the user did before: last skipped milliseconds, milliseconds and ends of tracks of the last hour."""
-    h = history(spark, folder).withColumn("time_us", F.unix_micros("ts")).withColumn("seq", F.col("event_id"))
+    h = history(spark, folder, *NEEDED, "family", "media_type", "ms", "reason_end").withColumn("time_us", F.unix_micros("ts")).withColumn("seq", F.col("event_id"))
     plays = h.where("media_type = 'podcast'")
     music = h.where("media_type = 'music'")
     hour = 3_600_000_000
@@ -161,5 +165,5 @@ SELECT event_id, array_to_string(hist, '|') AS history, round(list_sum(gaps) - g
     + f""", f AS (SELECT *, {_FAMILY} AS family FROM h), p AS (SELECT * FROM f WHERE media_type = 'podcast'), m AS (SELECT * FROM f WHERE media_type = 'music'),
 a AS (SELECT p.event_id, arg_max(m.ms, (m.us, m.event_id))::DOUBLE AS last_skip_ms FROM p JOIN m ON m.user_id = p.user_id AND m.family = p.family AND m.skip AND m.us <= p.us GROUP BY 1),
 b AS (SELECT p.event_id, sum(m.ms)::DOUBLE AS ms_1h, sum((m.reason_end = 'trackdone')::INT)::DOUBLE AS ended_1h FROM p JOIN m ON m.user_id = p.user_id AND m.family = p.family AND m.us BETWEEN p.us - 3600000000 AND p.us GROUP BY 1)
-SELECT p.event_id, family, last_skip_ms, coalesce(ms_1h, 0) AS ms_1h, coalesce(ended_1h, 0) AS ended_1h FROM p LEFT JOIN a USING (event_id) LEFT JOIN b USING (event_id)""",
+SELECT p.event_id, family, coalesce(last_skip_ms, 0) AS last_skip_ms, coalesce(ms_1h, 0) AS ms_1h, coalesce(ended_1h, 0) AS ended_1h FROM p LEFT JOIN a USING (event_id) LEFT JOIN b USING (event_id)""",
 }

@@ -19,7 +19,7 @@ QUERY = ListeningQuery(start="2024-06-01", dimension="artists", least_events=5)
 def daily_comparison(spark: SparkSession, folder: str, edition: int = EDITION) -> DataFrame:
     """Per day and dimension: plays, minutes, different entities, similarity with both lists, their difference and the closer one."""
     clean = lambda c: F.regexp_replace(F.lower(F.col(c)), "[^a-z0-9]", "")
-    h = history(spark, folder).withColumn("show", clean("episode_show_name"))
+    h = history(spark, folder, "day", "media_type", "artist", "track", "episode_show_name", "ms").withColumn("show", clean("episode_show_name"))
     public = table(spark, folder, "public_listening_row").where(F.col("edition") == edition).withColumn("key", clean("name")).where("key <> ''")
     parts = []
     for dimension, column, medium, by in (("artists", "artist", "music", "n"), ("tracks", "track", "music", "n"), ("podcasts", "show", "podcast", "ms")):

@@ -7,6 +7,7 @@ import logging
 import shutil
 import tempfile
 import uuid
+import weakref
 import zipfile
 from pathlib import Path
 
@@ -29,10 +30,15 @@ def get_spark(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir. Only where that is unset (tests, one machine) a temporary one is set."""
+    """The folder of spark.checkpoint.dir. Where that is unset a temporary one is set on a local master; a cluster raises,
+
+    since its executors would each write to a disk of their own.
+    """
     context = spark.sparkContext
     set_dir = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not set_dir:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         set_dir = tempfile.mkdtemp(prefix="tessitura-")
         context.setCheckpointDir(set_dir)
         set_dir = context.getCheckpointDir()
@@ -43,7 +49,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """df written once to the shared folder and read again.
 
     Cuts the lineage, so that a lost executor costs no recomputation of what lies before, and lets several branches
-    read one result. The files stay until forget() or the end of the driver.
+    read one result. The files stay until release() of the result, forget() or the end of the driver.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tessitura/{name}-{uuid.uuid4().hex}"
@@ -51,21 +57,35 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
         atexit.register(forget, spark)
     _written.add(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    _path_of[id(found)] = (weakref.ref(found), path)
+    return found
+
+
+def release(df: DataFrame) -> None:
+    """Delete what materialize() wrote for this very result; nothing may read it any more."""
+    of, path = _path_of.pop(id(df), (None, None))
+    if of is not None and of() is df:
+        _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _written.discard(path)
 
 
 def forget(spark: SparkSession) -> None:
     """Delete the tables that materialize() wrote for this driver."""
     try:
         for path in list(_written):
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-            _written.discard(path)
+            _delete(spark, path)
     except Exception:  # the session has ended: what is left lies in the cluster's folder for checkpoints
         logging.getLogger(__name__).debug("tables in the shared folder are left", exc_info=True)
 
 
 _written: set[str] = set()
+_path_of: dict[int, tuple[weakref.ref, str]] = {}
 _shipped: set[str] = set()
 
 

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 from datetime import UTC, datetime, timedelta
 
-from tessitura.streaming.events import apply_versions, feedback_counters, recent, stream_sessions, unique_events, upsert_batches
+from tessitura.streaming.events import apply_versions, feedback_counters, recent, stream_sessions, unique_events, upsert_batches, upserted
 
 START = datetime(2026, 1, 1, tzinfo=UTC)
 
@@ -49,11 +49,14 @@ def test_unique_and_counters(spark, tmp_path):
 
 
 def test_upsert_is_idempotent(spark, tmp_path):
-    upsert = upsert_batches(["k"], "t", f"{tmp_path}/table")
+    assert upserted(spark, f"{tmp_path}/table") is None
+    upsert = upsert_batches(["k"], "t", f"{tmp_path}/table", buckets=3)
     batch = lambda rows: spark.createDataFrame(rows, "k string, t long, v string")
     upsert(batch([("a", 1, "x"), ("b", 1, "y")]), 0)
     upsert(batch([("a", 2, "z"), ("b", 0, "old")]), 1)
     upsert(batch([("a", 3, "never")]), 1)
-    rows = spark.read.parquet(f"{tmp_path}/table/now")
+    rows = upserted(spark, f"{tmp_path}/table")
     assert sorted(tuple(r) for r in rows.collect()) == [("a", 2, "z"), ("b", 1, "y")]
+    (tmp_path / "table" / "batch-9-dead").mkdir()  # of a batch that died before it was named
+    assert sorted(r["k"] for r in upserted(spark, f"{tmp_path}/table").collect()) == ["a", "b"]
     assert [r["k"] for r in recent(rows, "t", "k", 1).collect()] == ["a"]
