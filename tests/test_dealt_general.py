@@ -8,7 +8,7 @@ from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from tessitura.operators.gaptree import cartesian_tree, cut, forest_sessions, gap_forest, gap_sessions
+from tessitura.operators.gaptree import cartesian_forest, cartesian_tree, cut, forest_sessions, gap_forest, gap_sessions
 from tessitura.operators.rolling import daily_totals, trailing_totals
 from tessitura.operators.topn import top_n
 
@@ -68,6 +68,41 @@ def test_tree_is_a_heap_in_order():
     for longest in (-1, 0, 5, 19, 20):
         assert cut(gaps, left, right, top, longest) == [i for i, g in enumerate(gaps) if g > longest]
     assert cartesian_tree([]) == ([], [], -1)
+    starts = [0, 1, 7, 100, 299]
+    whole = cartesian_forest(gaps, starts)
+    for a, b, root in zip(starts, [*starts[1:], 300], whole[2]):
+        one = cartesian_tree(gaps[a + 1 : b])
+        assert root == (one[2] + a + 1 if one[2] >= 0 else -1)
+        assert [[c - a - 1 if c >= 0 else -1 for c in side[a + 1 : b]] for side in whole[:2]] == [one[0], one[1]]
+
+
+def test_crown_and_trees_are_the_tree_of_all_gaps(spark):
+    """Every gap of an entity lies in exactly one node, and none has a wider gap below it."""
+    events = rows(3)
+    forest = gap_forest(spark.createDataFrame(events, EVENTS), "user_id", "ts", "event_id", "artist_key", most=9)
+    trees = {(r["entity"], r["chunk"], r["piece"]): r for r in forest.trees.collect()}
+    for crown in forest.crowns.collect():
+        mine = [trees[crown["entity"], c, p] for c, p in zip(crown["chunks"], crown["pieces"])]
+        times = [t for r in mine for t in r["times"]]
+        assert times == sorted(times) and len(mine) > 3
+        gaps = []
+        for i, r in enumerate(mine):
+            if i:
+                gaps.append(crown["gaps"][2 * i])
+            inner = [b - a for a, b in zip(r["times"], r["times"][1:])]
+            assert crown["gaps"][2 * i + 1] == r["widest"] == max(inner, default=-1)
+            gaps += inner
+        assert gaps == [b - a for a, b in zip(times, times[1:])]
+        for tree, value in [((crown["below_left"], crown["below_right"], crown["top"]), crown["gaps"]), *(((r["below_left"], r["below_right"], r["top"]), [0, *(b - a for a, b in zip(r["times"], r["times"][1:]))]) for r in mine)]:
+            left, right, top = tree
+            todo, seen = [top], []
+            while todo:
+                i = todo.pop()
+                if i >= 0:
+                    seen.append(i)
+                    assert all(j < 0 or value[j] <= value[i] for j in (left[i], right[i]))
+                    todo += [left[i], right[i]]
+            assert sorted(seen) == list(range(1, len(value)))
 
 
 def test_sessions_match_plain_python_for_many_gaps(spark):
@@ -87,7 +122,7 @@ def test_chunks_in_pieces_and_small_chunks_change_nothing(spark):
     wanted = expected(events, 1_800_000_000)
     assert got(gap_sessions(df, "user_id", "ts", "event_id", "artist_key", most=7)) == wanted
     assert got(gap_sessions(df, "user_id", "ts", "event_id", "artist_key", chunk_us=600_000_000)) == wanted
-    assert got(forest_sessions(gap_forest(df, "user_id", "ts", "event_id", "artist_key", most=7), [1_800_000_000])) == wanted
+    assert got(forest_sessions(gap_forest(df, "user_id", "ts", "event_id", "artist_key", most=7, chunk_us=7_200_000_000), [1_800_000_000] * 2)) == wanted
 
 
 def test_keys_of_sessions(spark):
@@ -165,3 +200,15 @@ def test_top_n_of_equal_scores_and_nothing(spark):
     found = top_n(spark.createDataFrame(same, TOP).repartition(8), "fam", "s", "i", 3)
     assert sorted(r["id"] for r in found.collect()) == [0, 1, 2]
     assert top_n(spark.createDataFrame([], TOP), "fam", "s", "i", 3).count() == 0
+
+
+def test_top_n_shuffles_survivors_only(spark):
+    data = spark.range(60_000).select(F.when(F.col("id") % 2 == 0, "hot").otherwise(F.concat(F.lit("g"), F.col("id") % 700)).alias("fam"), F.pmod(F.xxhash64("id"), F.lit(9_973)).cast("double").alias("s"), F.col("id").alias("i"))
+    wanted = {tuple(r) for r in data.withColumn("r", F.expr("row_number() over (partition by fam order by s desc, i)")).where("r <= 4").select("fam", "i").collect()}
+    for most in (0, 3, 100_000):
+        found = top_n(data.repartition(12), "fam", "s", "i", 4, most_bounds=most)
+        assert {(r["bin"], r["id"]) for r in found.collect()} == wanted
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "rightHint=(strategy=broadcast)" in plan or "broadcast" in plan
+    physical = found._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in physical and "SortMergeJoin" not in physical
