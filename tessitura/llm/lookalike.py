@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import unicodedata
 from collections import Counter
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Letters of other scripts with the shape of a Latin letter, in pairs. Accented letters are decomposed first.
@@ -58,9 +58,9 @@ _SPELLING, _SHAPE = _Spelling(), {ord(a): b for a, b in SHAPES.items()}
 
 
 def glyphs(text: str) -> str:
-    """What is seen of a text, accents apart from their letters and every letter in one script: the automaton's input.
+    """What is seen of a text, accents apart from their letters and every letter in one script.
 
-    Two texts look the same if and only if their glyphs are equal.
+    Two texts look the same if and only if their glyphs are equal: what the automaton decides without making them.
     """
     if text.isascii() and text.isprintable():
         return text.strip(" ")
@@ -96,16 +96,59 @@ def _one_script(word: str) -> str:
     return unicodedata.normalize("NFC", letters.translate(_SHAPE))
 
 
+class _Edges(dict):
+    """What a character of a text can do for nothing: the signs it stands for, as (order of the mark, sign), where a
+    look-alike stands for the sign of its class, a joined letter for several, and an ignorable for none (it stays)."""
+
+    def __missing__(self, char: str) -> tuple[tuple[int, str], ...]:
+        apart = unicodedata.normalize("NFD", char.translate(_SPELLING))
+        self[char] = found = tuple((unicodedata.combining(c), c.translate(_SHAPE)) for c in apart)
+        return found
+
+
+_EDGES = _Edges()
+
+
+def signs(text: str) -> Iterator[str]:
+    """The signs along a text's free edges, one after the other. Marks that stand in a row come in their canonical order;
+    blanks come with the next sign, so that those at either end never do."""
+    edges, marks, blanks, begun = _EDGES, [], 0, False
+    for char in text:
+        for order, sign in edges[char]:
+            if order:
+                marks.append((order, sign))
+                continue
+            if marks:
+                if blanks:
+                    yield from " " * blanks
+                    blanks = 0
+                yield from (m for _, m in sorted(marks, key=lambda m: m[0]))
+                marks, begun = [], True
+            if sign == " ":
+                blanks += begun
+                continue
+            if blanks:
+                yield from " " * blanks
+                blanks = 0
+            begun = True
+            yield sign
+    if marks:
+        yield from " " * blanks
+        yield from (m for _, m in sorted(marks, key=lambda m: m[0]))
+
+
 class Trie:
-    """Known spellings by their glyphs. A node is a dict from glyph to node; under "" it holds the end's number."""
+    """Known spellings by their signs. A node is a dict from sign to node; under "" it holds the end's number."""
 
     def __init__(self, words: Iterable[str]) -> None:
         self.root: dict = {}
         self.spellings: list[list[str]] = []
         for word in words:
             node = self.root
-            for glyph in glyphs(word):
-                node = node.setdefault(glyph, {})
+            for sign in signs(word):
+                node = node.setdefault(sign, {})
+            if node is self.root:
+                continue  # of such a word nothing is seen
             if "" not in node:
                 node[""] = len(self.spellings)
                 self.spellings.append([])
@@ -119,10 +162,11 @@ class Trie:
     def find(self, text: str, budget: int = 0) -> list[tuple[int, int]]:
         """(cost, end) of the spellings within budget, cheapest first.
 
-        The weighted edit automaton runs down the trie with the glyphs of the text: look-alikes are one glyph and
-        ignorables none, so both cost 0; another, a missing and a surplus glyph cost 1.
+        The weighted edit automaton runs down the trie over the characters of the text as they are. Its states are nodes
+        with the cost so far. An ignorable stays where it is at cost 0; a step to the sign of a character's class costs
+        0 whatever its spelling; another, a missing and a surplus sign cost 1. No state within budget ends the walk.
         """
-        states: dict[int, tuple[int, dict]] = {id(self.root): (0, self.root)}
+        states: dict[int, tuple[int, dict]] = {}
 
         def put(into: dict[int, tuple[int, dict]], cost: int, node: dict) -> None:
             todo = [(cost, node)]
@@ -132,20 +176,18 @@ class Trie:
                     continue
                 into[id(at)] = (c, at)
                 if c < budget:
-                    todo += [(c + 1, child) for glyph, child in at.items() if glyph]
+                    todo += [(c + 1, child) for sign, child in at.items() if sign]
 
-        if budget:
-            states = {}
-            put(states, 0, self.root)
-        for glyph in glyphs(text):
+        put(states, 0, self.root)
+        for sign in signs(text):
             after: dict[int, tuple[int, dict]] = {}
             for cost, node in states.values():
-                if glyph in node:
-                    put(after, cost, node[glyph])
+                if sign in node:
+                    put(after, cost, node[sign])
                 if cost < budget:
                     put(after, cost + 1, node)
                     for other, child in node.items():
-                        if other and other != glyph:
+                        if other and other != sign:
                             put(after, cost + 1, child)
             states = after
             if not states:
@@ -156,7 +198,7 @@ class Trie:
 def consistent(text: str, trie: Trie, budget: int = 0) -> str:
     """The canonical spelling if the trie has the text, else its normal form."""
     found = trie.find(text, budget)
-    return trie.canonical(found[0][1]) if found and glyphs(text) else normal_form(text)
+    return trie.canonical(found[0][1]) if found else normal_form(text)
 
 
 def _each(values: pa.Array, once) -> list:
@@ -166,55 +208,112 @@ def _each(values: pa.Array, once) -> list:
     return [None if i is None else made[i] for i in coded.indices.to_pylist()]
 
 
-def _vocabulary(names: DataFrame, most: int) -> list[tuple[int, str]] | None:
-    """(ref, name) of all names, or None if there are more than `most`."""
-    rows = names.limit(most + 1).collect()
-    return None if len(rows) > most else sorted((r["ref"], r["name"]) for r in rows)
+#: A vocabulary of so many names, of so many characters in all, is sent to every task as one trie; larger ones are cut up.
+SENT_NAMES, SENT_CHARACTERS = 100_000, 8_000_000
+#: Tries of a larger vocabulary are made for names that share so many first signs, and their number of signs.
+SHARED_SIGNS = 8
+
+
+def _sent(spark: SparkSession, names: DataFrame, column: str):
+    """The different rows of names as a broadcast list, or None if they are more than may be sent."""
+    size = names.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length(column)), F.lit(0)).alias("c")).first()
+    if size["n"] > SENT_NAMES or size["c"] > SENT_CHARACTERS:
+        return None
+    return spark.sparkContext.broadcast(sorted(tuple(r) for r in names.collect()))
+
+
+def _part(values: pd.Series) -> pd.Series:
+    """Which trie a text belongs to: its first signs and how many it has; null if none is seen."""
+
+    def one(text: str | None) -> str | None:
+        found = list(signs(text)) if text is not None else []
+        return f"{len(found)} {''.join(found[:SHARED_SIGNS])}" if found else None
+
+    return values.map(one).astype(object)
+
+
+def _walk_in_parts(texts: DataFrame, names: DataFrame, answers, kind: str) -> DataFrame:
+    """(text, answer) for a vocabulary of any size: answers(trie, text) of each different text.
+
+    Texts that look like a name share its first signs and number of signs, so both sides are shuffled by these, and a
+    task makes a trie of the names of one such part after the other and walks that part's texts through it.
+    """
+    part = F.pandas_udf(_part, "string")
+    both = names.select(F.lit(0).alias("side"), F.col("name").alias("text")).unionByName(texts.select(F.lit(1).alias("side"), "text").distinct())
+    laid = both.withColumn("part", part("text")).where("part is not null").repartition("part").sortWithinPartitions("part", "side")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, words, trie = None, [], None
+        for batch in batches:
+            out = []
+            for at, side, text in zip(batch["part"].to_pylist(), batch["side"].to_pylist(), batch["text"].to_pylist()):
+                if at != now:
+                    now, words, trie = at, [], None
+                if side == 0:
+                    words.append(text)
+                elif words:
+                    trie = trie or Trie(words)
+                    out += [(text, x) for x in answers(trie, text)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in out], pa.string()), pa.array([x for _, x in out], pa.string())], ["text", "answer"])
+
+    return laid.mapInArrow(walk, f"text string, answer {kind}")
 
 
-def consistent_form(df: DataFrame, column: str, vocabulary: Sequence[str], into: str, *, budget: int = 0) -> DataFrame:
+def consistent_form(df: DataFrame, column: str, names: DataFrame, name: str, into: str, *, budget: int = 0) -> DataFrame:
     """df with `into`: the canonical spelling of the vocabulary for texts that look like it, else the normal form.
 
-    No shuffle: each batch looks up its different texts once. Null stays null, empty stays empty; a column of the
-    name `into` is replaced; other columns pass through.
+    A vocabulary that may be sent goes to every task as one trie, and there is no shuffle: each batch looks up its
+    different texts once. A larger one is cut into tries by first signs, where different texts are looked up and joined
+    back; it allows no edits (budget 0). Null stays null, empty stays empty; a column of the name `into` is replaced;
+    other columns pass through; null names are left out, and the count of a repeated name makes its spelling canonical.
     """
-    words = list(vocabulary)
+    words = names.where(F.col(name).isNotNull()).select(F.col(name).cast("string").alias("name"))
+    sent = _sent(df.sparkSession, words, "name")
+    if sent is not None:
+
+        @F.pandas_udf("string")
+        def form(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            trie = Trie(w for (w,) in sent.value)
+            for series in values:
+                yield pd.Series(_each(pa.array(series, pa.string()), lambda x: consistent(x, trie, budget)), dtype=object)
+
+        return df.withColumn(into, form(F.col(column).cast("string")))
+    if budget:
+        raise ValueError("a vocabulary in parts is looked up without edits")
 
     @F.pandas_udf("string")
-    def form(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        trie = Trie(words)
-        for series in values:
-            yield pd.Series(_each(pa.array(series, pa.string()), lambda x: consistent(x, trie, budget)), dtype=object)
+    def plain(values: pd.Series) -> pd.Series:
+        return pd.Series(_each(pa.array(values, pa.string()), normal_form), dtype=object)
 
-    return df.withColumn(into, form(F.col(column).cast("string")))
+    texts = df.where(F.col(column).isNotNull()).select(F.col(column).cast("string").alias("text"))
+    found = _walk_in_parts(texts, words, lambda trie, text: [trie.canonical(end) for _, end in trie.find(text)[:1]], "string")
+    looked = df.withColumn("_text", F.col(column).cast("string")).join(found.select(F.col("text").alias("_text"), F.col("answer").alias("_form")), "_text", "left")
+    return looked.withColumn(into, F.coalesce("_form", plain("_text"))).drop("_text", "_form")
 
 
-def same_look(texts: DataFrame, ident: str, column: str, names: DataFrame, ref: str, name: str, *, most_names: int = 100_000) -> DataFrame:
+def same_look(texts: DataFrame, ident: str, column: str, names: DataFrame, ref: str, name: str) -> DataFrame:
     """(id, ref): a text and a name that look the same but are not the same characters.
 
-    The texts pass, batch by batch and without a shuffle, through a trie of the names, which every task holds; only
-    rows found are shuffled, to drop repeats of an id. With more than most_names names, both sides are joined by the
-    glyphs instead. Null texts and names, and those of which nothing is seen, match nothing; repeated rows count once;
-    an empty table on either side gives no rows; other columns are not read.
+    The characters of the texts walk, as they are, through the automaton over a trie of the names. Names that may be sent
+    are one trie in every task, which the texts pass without a shuffle; only rows found are shuffled, to drop repeats of
+    an id. A larger vocabulary is cut into tries by first signs, where the different texts are walked and then joined back.
+    Null texts and names, and those of which nothing is seen, match nothing; repeated rows count once; an empty table on
+    either side gives no rows; other columns are not read.
     """
-    kind = f"id {dict(texts.dtypes)[ident]}, ref {dict(names.dtypes)[ref]}"
+    kinds = dict(texts.dtypes)[ident], dict(names.dtypes)[ref]
     wanted = texts.select(F.col(ident).alias("id"), F.col(column).cast("string").alias("text")).where("text is not null and id is not null")
     listed = names.select(F.col(ref).alias("ref"), F.col(name).cast("string").alias("name")).where("name is not null and ref is not null").distinct()
-    known = _vocabulary(listed, most_names)
-    if known is None:
-
-        @F.pandas_udf("string")
-        def look(values: pd.Series) -> pd.Series:
-            return values.map(glyphs)
-
-        pairs = wanted.withColumn("look", look("text")).join(listed.withColumn("look", look("name")), "look")
-        return pairs.where("look <> '' and text <> name").select("id", "ref").distinct()
-    id_type = pa.int64() if dict(texts.dtypes)[ident] == "bigint" else None
-    ref_type = pa.int64() if dict(names.dtypes)[ref] == "bigint" else None
+    sent = _sent(texts.sparkSession, listed, "name")
+    if sent is None:
+        spelt = _walk_in_parts(wanted, listed.select("name").distinct(), lambda trie, text: [w for _, end in trie.find(text) for w in trie.spellings[end] if w != text], "string")
+        pairs = spelt.join(listed, F.col("answer") == F.col("name")).select("text", "ref")
+        return wanted.join(pairs, "text").select("id", "ref").distinct()
+    as_arrow = [pa.int64() if k == "bigint" else pa.int32() if k == "int" else pa.string() if k == "string" else None for k in kinds]
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, refs = Trie(n for _, n in known), {}
-        for r, n in known:
+        trie, refs = Trie(n for _, n in sent.value), {}
+        for r, n in sent.value:
             refs.setdefault(n, []).append(r)
         seen: dict[str, list] = {}
 
@@ -222,8 +321,7 @@ def same_look(texts: DataFrame, ident: str, column: str, names: DataFrame, ref:
             if text not in seen:
                 if len(seen) > 200_000:
                     seen.clear()
-                found = trie.find(text) if glyphs(text) else []
-                seen[text] = [r for _, end in found for n in dict.fromkeys(trie.spellings[end]) if n != text for r in refs[n]]
+                seen[text] = [r for _, end in trie.find(text) for n in dict.fromkeys(trie.spellings[end]) if n != text for r in refs[n]]
             return seen[text]
 
         for batch in batches:
@@ -233,6 +331,32 @@ def same_look(texts: DataFrame, ident: str, column: str, names: DataFrame, ref:
             ids, which = batch["id"].filter(hits).to_pylist(), coded.indices.filter(hits).to_pylist()
             out = [(i, r) for i, w in zip(ids, which) for r in table[w]]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in out], id_type), pa.array([r for _, r in out], ref_type)], ["id", "ref"])
-
-    return wanted.mapInArrow(walk, kind).distinct()
+                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in out], as_arrow[0]), pa.array([r for _, r in out], as_arrow[1])], ["id", "ref"])
+
+    return wanted.mapInArrow(walk, f"id {kinds[0]}, ref {kinds[1]}").distinct()
+
+
+def _sql_text(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def look_sql(column: str) -> str:
+    """SQL for what is seen of a column, from the tables above over the Basic Multilingual Plane: equal where texts look the same."""
+    single, longer, gone = {}, {}, []
+    for code in range(1, 0x10000):
+        char = chr(code)
+        if 0xD800 <= code < 0xE000 or (form := unicodedata.normalize("NFC", "".join(x for _, x in _EDGES[char]))) == unicodedata.normalize("NFC", char):
+            continue
+        if not form:
+            gone.append(char)
+        elif len(form) == 1:
+            single[char] = form
+        elif char in JOINED:
+            longer[char] = form
+    found = f"translate({column}, {_sql_text(''.join(gone))}, '')"
+    found = f"translate(nfc_normalize({found}), {_sql_text(''.join(single))}, {_sql_text(''.join(single.values()))})"
+    for char, form in longer.items():
+        found = f"replace({found}, '{char}', '{form}')"
+    # another pass composes letters whose mark or base was only now put in one script
+    found = f"translate(nfc_normalize({found}), {_sql_text(''.join(single))}, {_sql_text(''.join(single.values()))})"
+    return f"trim(nfc_normalize({found}), ' ')"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessitura.llm.cooccur import cooccurrence
 from tessitura.llm.encode import count_tokens, encode
-from tessitura.llm.lookalike import consistent_form, same_look
+from tessitura.llm.lookalike import consistent_form, look_sql, same_look
 from tessitura.llm.packing import pack
 from tessitura.llm.residue import find_residue, train_residue_model
 from tessitura.operators.gaptree import gap_sessions
@@ -44,9 +44,9 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p2_forms(spark: SparkSession, folder: str) -> DataFrame:
     """Each different event with the consistent form of its artist's name: a spelling of the public lists, or by table."""
-    listed = [r["name"] for r in table(spark, folder, "public_listening_row").where("dimension = 'artists' and name is not null").select("name").collect()]
-    events = table(spark, folder, "streaming_history").select("event_id", "artist_name").dropDuplicates(["event_id"])
-    return consistent_form(events, "artist_name", listed, "artist_form").select("event_id", "artist_form")
+    listed = table(spark, folder, "public_listening_row").where("dimension = 'artists'")
+    events = table(spark, folder, "streaming_history").select("event_id", "artist_name").distinct()
+    return consistent_form(events, "artist_name", listed, "name", "artist_form").select("event_id", "artist_form")
 
 
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
@@ -86,4 +86,9 @@ p AS (SELECT x.basket, x.item AS item_a, y.item AS item_b, count(*) AS n_ab FROM
 SELECT p.basket, item_a, item_b FROM p JOIN n ON n.basket = p.basket JOIN c ca ON ca.basket = p.basket AND ca.item = item_a JOIN c cb ON cb.basket = p.basket AND cb.item = item_b
 WHERE n_ab * n >= 5 * ca.n_item * cb.n_item"""
 
-ORACLE = {"p1_found": _P1}
+_P2 = f"""
+WITH e AS (SELECT DISTINCT event_id, artist_name AS a FROM streaming_history WHERE artist_name IS NOT NULL), d AS (SELECT DISTINCT a FROM e),
+l AS (SELECT a, {look_sql("a")} AS look FROM d), p AS (SELECT ref_id, name, {look_sql("name")} AS look FROM public_listening_row WHERE dimension = 'artists' AND name IS NOT NULL)
+SELECT DISTINCT event_id, ref_id FROM l JOIN p USING (look) JOIN e USING (a) WHERE look <> '' AND a <> name"""
+
+ORACLE = {"p1_found": _P1, "p2_found": _P2}

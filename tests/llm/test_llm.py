@@ -12,10 +12,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessitura.llm import cooccur, packing
+from tessitura.llm import cooccur, lookalike, packing
 from tessitura.llm.cooccur import cooccurrence
 from tessitura.llm.encode import VOCABULARY, BytePairEncoder, count_tokens, encode, read_ranks
-from tessitura.llm.lookalike import Trie, consistent, consistent_form, glyphs, normal_form, same_look
+from tessitura.llm.lookalike import Trie, consistent, consistent_form, glyphs, normal_form, same_look, signs
 from tessitura.llm.packing import best_fit_decreasing, pack
 from tessitura.llm.residue import find_residue, sentences, train_residue_model, weak_label
 
@@ -97,18 +97,36 @@ def test_trie_costs():
     assert trie.canonical(trie.find("Salt")[0][1]) == "Salt" and consistent("Sált", trie) == "Sált" and consistent("Ｓalt", trie) == "Salt"
 
 
-def test_same_look_both_ways(spark):
+def test_same_look_both_ways(spark, monkeypatch):
     texts = [(i, t, "x") for i, t in enumerate([a for p in SAME + DIFFERENT for a in p])] + [(900, None, "x"), (901, "", "x"), (902, "​", "x"), (903, "x" * 100_000, "x")]
     texts += texts[:5]
     names = [(100 + i, b, None) for i, (_, b) in enumerate(SAME)] + [(200, None, None), (201, "", None)]
     t, n = spark.createDataFrame(texts, "id long, name string, ref string"), spark.createDataFrame(names, "ref long, name string, id string")
     wanted = sorted({(i, r) for i, a, _ in texts for r, b, _ in names if a and b and a != b and glyphs(a) and glyphs(a) == glyphs(b)})
     assert len(wanted) >= len(SAME)
+    plain = {i: (a if a is None or not glyphs(a) else consistent(a, Trie([b for _, b, _ in names if b]))) for i, a, _ in texts}
     for most in (100_000, 2):
-        assert sorted(tuple(r) for r in same_look(t, "id", "name", n, "ref", "name", most_names=most).collect()) == wanted
-    assert same_look(t.limit(0), "id", "name", n, "ref", "name").count() == 0 == same_look(t, "id", "name", n.limit(0), "ref", "name").count()
-    form = {r["id"]: r["name"] for r in consistent_form(t, "name", ["Trio"], "name").collect()}
-    assert form[1] == "Trio" and form[900] is None and form[901] == ""
+        monkeypatch.setattr(lookalike, "SENT_NAMES", most)
+        assert sorted(tuple(r) for r in same_look(t, "id", "name", n, "ref", "name").collect()) == wanted
+        assert same_look(t.limit(0), "id", "name", n, "ref", "name").count() == 0 == same_look(t, "id", "name", n.limit(0), "ref", "name").count()
+        form = {r["id"]: r["name"] for r in consistent_form(t, "name", n, "name", "name").collect()}
+        assert form[900] is None and form[901] == "" and all(form[i] == x for i, x in plain.items() if x and glyphs(x))
+        assert consistent_form(t, "name", n.limit(0), "name", "form").where("id = 1").first()["form"] == normal_form(texts[1][1])
+
+
+def test_signs_walk_as_glyphs_fold():
+    rng = random.Random(11)
+    marks = ["e", "é", "\u0301", "\u0323", "е", "ё", "ﬃ", "Ａ", "ｶ", "ﾞ", "ガ", " ", "\u00a0", "\u200b", "\u00ad", "‐", "—", "Ζ", "각", "ạ̈", "\ufe0f", "x"]
+    for _ in range(4_000):
+        text = "".join(rng.choice(marks) for _ in range(rng.randrange(9)))
+        assert "".join(signs(text)) == glyphs(text), ascii(text)
+
+
+def test_sql_of_looks_tells_the_same():
+    duckdb = pytest.importorskip("duckdb")
+    texts = [x for p in SAME + DIFFERENT for x in p]
+    looks = {t: duckdb.execute(f"SELECT {lookalike.look_sql('x')} FROM (SELECT ? AS x)", [t]).fetchone()[0] for t in texts}
+    assert all((looks[a] == looks[b]) == (glyphs(a) == glyphs(b)) for a in texts for b in texts)
 
 
 @pytest.fixture(scope="module")
