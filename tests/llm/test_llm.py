@@ -17,7 +17,7 @@ from tessitura.llm.cooccur import cooccurrence
 from tessitura.llm.encode import VOCABULARY, BytePairEncoder, count_tokens, encode, read_ranks
 from tessitura.llm.lookalike import Trie, consistent, consistent_form, glyphs, normal_form, same_look, signs
 from tessitura.llm.packing import best_fit_decreasing, pack
-from tessitura.llm.residue import find_residue, sentences, train_residue_model, weak_label
+from tessitura.llm.residue import ResidueModel, _named, _SIZE, _PLACE, _Vocabulary, find_residue, places, sentences, stretches, tokens, train_residue_model, weak_label
 
 BASKETS = "kind string, items array<string>, n long"
 
@@ -227,6 +227,123 @@ def test_residue_on_unseen_hosts(spark):
 
 
 def test_sentences_and_labels():
-    assert sentences("<p>One two.</p>\r\nThree​ four! Five") == ["One two.", "Three four!", "Five"]
-    assert weak_label("Hi {{name}},") == weak_label("HTTP 503 Service Unavailable") == weak_label("エラーが発生しました。") == 1
-    assert weak_label("The single is called Access Denied.") == -1 and weak_label("A quiet week: 403 streams.") == 0
+    assert sentences("<p>One two.</p>\r\nThree\u200b four! Five") == ["One two.", "Three four!", "Five"]
+    assert weak_label("Hi {{name}},") == weak_label("HTTP 503 Service Unavailable") == weak_label("エラーが発生しました。") == weak_label("asdf qwerty blah blah") == weak_label("text text text") == 1
+    assert weak_label("The single is called Access Denied.") == weak_label("A name in braces, such as `{{name}}`, is replaced.") == weak_label("She refuses to enable JavaScript.") == -1
+    assert weak_label("A quiet week: 403 streams.") == 0 and weak_label("The band from the harbour town says in a long letter from June that the page was not found.") in (-1, 2)
+
+
+def test_windows_reach_all_along_a_sentence():
+    long = "many quiet words follow here without an end " * 40 + "Access denied by the server " + "and more quiet words come after it " * 40
+    made = tokens([long, "Short one.", "あいうえおかきくけこさしすせそたちつてと"], _Vocabulary())
+    at, to, of = stretches(made)
+    assert at[:3].tolist() == made.begin.tolist() and to[:3].tolist() == made.end.tolist() and (to > at).all() and (of[3:] != 1).all()
+    assert all(made.begin[s] <= a and b <= made.end[s] for a, b, s in zip(at, to, of))
+    words = long.split()
+    assert any(at[i] == 1 + words.index("Access") and to[i] == at[i] + 6 for i in np.flatnonzero(of == 0))
+    kana = {int(a) for a, s in zip(at, of) if s == 2}
+    assert len(kana) > 12  # every sign may start one
+
+
+def test_scores_add_up_the_weights_of_each_stretch():
+    rng = np.random.default_rng(3)
+    model = ResidueModel(rng.standard_normal(1 << 18).astype(np.float32), 0.25, {})
+    texts = ["One two three four five six seven eight nine Ten eleven twelve thirteen {{ a }} fourteen", "Only this.", None, "", " \n", "Same.\nSame.\nOther words here"]
+    for text, score in zip(texts, model.scores(texts)):
+        parts = sentences(text) if text else []
+        if not parts:
+            assert score == -np.inf
+            continue
+        made = tokens(parts, _Vocabulary())
+        at, to, of = stretches(made)
+        where, best = places([parts]), -np.inf
+        for i, (a, b, s) in enumerate(zip(at, to, of)):
+            features = [g[k] for reach, group in enumerate(made.grams) for g in group for k in range(a, b - reach) if g[k] >= 0]
+            features += [*_PLACE[where[s]][: 4 if i < len(parts) else 2], _SIZE[min(int(np.log2(b - a + 1)), 9)], *([] if i < len(parts) else [_named("window")])]
+            best = max(best, model.bias + sum(float(model.weights[f]) for f in features))
+        assert score == pytest.approx(best, abs=1e-6)
+
+
+#: Written without regard to the phrases of the labels and to the test texts.
+SERVED = """Internal Server Error
+Please verify you are human to proceed.
+Service is currently offline, check back shortly.
+Curabitur pretium tincidunt lacus nulla gravida orci.
+The page you requested could not be found on our servers.
+You must be signed in to listen to this mix.
+This account has been suspended.
+Sorry, you have been blocked.
+We are performing scheduled maintenance and will return soon.
+HTTP ERROR 500
+502 Bad Gateway
+Oops! That page can't be found.
+Your connection was interrupted, please retry.
+Enable cookies and JavaScript to continue.
+This content requires JavaScript to be enabled.
+Insert headline here
+Your description goes in this area, click to edit.
+[Artist biography to be added]
+Dear {{ first_name }}, thank you for listening.
+Welcome back, ${user.name}!
+Hello %FIRSTNAME%, here is your recap.
+Vestibulum ante ipsum primis in faucibus orci luctus et ultrices posuere.
+foo bar baz qux
+asdkjh asdf lkjh qwer
+ValueError: invalid literal for int() with base 10
+java.lang.NullPointerException at com.example.App.main(App.java:14)
+{"code": 403, "message": "Forbidden"}
+Authentication required. Please log in.
+Your free trial has expired.
+Quota exceeded for this project.
+Unable to load the player.
+Video unavailable
+No se ha podido cargar la página, inténtalo más tarde.
+Debes iniciar sesión para ver este contenido.
+Cette page n'est plus disponible.
+Vous devez activer JavaScript dans votre navigateur.
+Diese Seite ist leider nicht erreichbar.
+Sie müssen sich anmelden, um fortzufahren.
+Não foi possível carregar o conteúdo.
+A sua sessão expirou, faça login novamente.
+Сервер временно недоступен, попробуйте позже.
+Для работы сайта включите JavaScript.
+サーバーに接続できませんでした。
+ログインが必要です。""".split("\n")
+TOLD = """The guitarist forgot the words and nobody minded.
+Their third single, Page Not Found, was a modest hit.
+He called the tour Access Denied because the venue kept them waiting.
+She says the website asked her to enable JavaScript and she gave up.
+The drummer had a session at noon and another at six.
+The error in the second verse was left in on purpose.
+Permission to record in the church came late.
+The band will be back in spring with a new singer.
+I try again and again to like this record.
+A server at the bar told us the set would start late.
+The service was slow but the sound was excellent.
+In the liner notes the words "lorem ipsum" stand where a dedication should be.
+The chorus counts from 400 to 404 and stops.
+She found the page of lyrics in an old book.
+Our team of reviewers liked the demo best.
+The script for the musical was written in two weeks.
+They required three takes and a lot of coffee.
+The title track is a test of patience.
+A sample of birdsong opens the album.
+La página del libro estaba llena de notas.
+El error fue grabar la voz al final.
+Le groupe a joué une page de Satie en rappel.
+Der Fehler im Takt macht das Lied sympathisch.
+Die Seite B ist besser als die Seite A.
+A sessão de gravação durou a noite inteira.
+Ошибка в тексте стала шуткой группы.
+アルバムの最後のページに歌詞がある。
+We could not find a better closing song this year.
+The venue was closed for repairs, so they played outside.
+Please yourself, sings the choir, and the organ agrees.""".split("\n")
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.1").exists(), reason="no test data here")
+def test_residue_in_other_words(spark):
+    model = train_residue_model(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), "doc_id", "text", "source")
+    served, told = model.scores(SERVED) >= 0, model.scores(TOLD) >= 0
+    print("recall", served.mean(), "precision", served.sum() / (served.sum() + told.sum()))
+    assert served.mean() >= 0.8 and served.sum() >= 0.9 * (served.sum() + told.sum()) and model.validation["f1"] > 0.95
