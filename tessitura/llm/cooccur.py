@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessitura.session import materialize
+from tessitura.session import materialize, release
 
 STRIPE_SCHEMA = "item long, block int, neighbours array<long>, counts array<long>"
 PAIR_SCHEMA = "low long, high long, n_ab long"
@@ -39,8 +39,11 @@ def _pair_codes(local: np.ndarray, sizes: np.ndarray, width: int, first: np.ndar
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
-def _stripes(flat: np.ndarray, sizes: np.ndarray, first: np.ndarray, step: np.ndarray, heavy: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The associative arrays of these baskets: per item its neighbours of larger number, with counts."""
+def _stripes(flat: np.ndarray, sizes: np.ndarray, first: np.ndarray, step: np.ndarray, heavy: np.ndarray, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The associative arrays of these baskets: per item its neighbours of larger number, with counts.
+
+    The array of the i-th of the heavy items is cut into 2 ** bits[i] blocks by its neighbours.
+    """
     names, local = np.unique(flat, return_inverse=True)
     width = max(len(names), 1)
     basket = np.repeat(np.arange(len(sizes)), sizes)
@@ -49,7 +52,12 @@ def _stripes(flat: np.ndarray, sizes: np.ndarray, first: np.ndarray, step: np.nd
     if not len(code):
         return
     low, high = code // width, names[code % width]
-    block = np.where(np.isin(names, heavy)[low], high >> 60, 0)
+    spread = np.zeros(len(names), np.int64)
+    if len(heavy):
+        at = np.minimum(np.searchsorted(heavy, names), len(heavy) - 1)
+        spread = np.where(heavy[at] == names, bits[at], 0)
+    spread = spread[low]
+    block = np.where(spread > 0, (high >> 1 & 0x7FFFFFFFFFFFFFFF) >> (63 - np.maximum(spread, 1)), 0)
     edge = np.ones(len(code), bool)
     edge[1:] = (low[1:] != low[:-1]) | (block[1:] != block[:-1])
     at = np.arange(len(code))
@@ -81,8 +89,14 @@ def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
 
 
 def _summed(least: int):
+    """Adds up the arrays of each item and block, which lie together, and gives the pairs that are often enough."""
+
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: tuple[np.ndarray, ...] | None = None
+        held: list[tuple[np.ndarray, ...]] = []
+        size = merged = 0  # entries held, and of these entries that are added up already
+
+        def together() -> tuple[np.ndarray, ...]:
+            return tuple(np.concatenate(x) for x in zip(*held))
 
         def pairs(parts: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
             low, _, high, n = _merge(*parts)
@@ -93,18 +107,28 @@ def _summed(least: int):
             if not batch.num_rows:
                 continue
             now = _columns(batch)
-            rest = now if rest is None else tuple(np.concatenate(x) for x in zip(rest, now))
-            item, block, sizes, neighbours, counts = rest
-            tail = int(np.flatnonzero((item != item[-1]) | (block != block[-1]))[-1]) + 1 if (item != item[-1]).any() or (block != block[-1]).any() else 0
+            item, block, sizes, neighbours, counts = now
+            same = (item == item[-1]) & (block == block[-1])
+            if held and (held[0][0][-1], held[0][1][-1]) == (item[-1], block[-1]) and same.all():
+                held.append(now)
+                size += len(neighbours)
+                # what is added up is sorted again only when as much has come again: the work is in proportion to the rows
+                if size > HELD_ENTRIES and size > 2 * merged:
+                    a, b, c, d = _merge(*together())
+                    held, size, merged = [(a[:1], b[:1], np.array([len(c)]), c, d)], len(c), len(c)
+                continue
+            held.append(now)
+            item, block, sizes, neighbours, counts = together()
+            differs = np.flatnonzero((item != item[-1]) | (block != block[-1]))
+            tail = int(differs[-1]) + 1 if len(differs) else 0
+            cutting = int(sizes[:tail].sum())
             if tail:
-                cutting = int(sizes[:tail].sum())
                 yield from pairs((item[:tail], block[:tail], sizes[:tail], neighbours[:cutting], counts[:cutting]))
-                rest = (item[tail:], block[tail:], sizes[tail:], neighbours[cutting:], counts[cutting:])
-            elif len(neighbours) > HELD_ENTRIES:
-                a, b, c, d = _merge(*rest)
-                rest = (a[:1], b[:1], np.array([len(c)]), c, d)
-        if rest is not None:
-            yield from pairs(rest)
+                merged = 0
+            held = [(item[tail:], block[tail:], sizes[tail:], neighbours[cutting:], counts[cutting:])]
+            size = len(neighbours) - cutting
+        if held:
+            yield from pairs(together())
 
     return merge
 
@@ -122,25 +146,28 @@ def log_likelihood_ratio(n_ab: Column, n_a: Column, n_b: Column, n: Column) -> C
 
 
 def _numbered(items: DataFrame) -> tuple[DataFrame, int]:
-    """items with a 64-bit number each, unique: another seed is taken where two items would share one."""
-    for seed in range(16):
-        numbered = items.withColumn("number", F.xxhash64("kind", "item", F.lit(seed)))
+    """items, written once, with a 64-bit number each that is unique: another seed is taken where two would share one."""
+    seed = 0
+    while True:
+        numbered = materialize(items.withColumn("number", F.xxhash64("kind", "item", F.lit(seed))), "items")
         if numbered.groupBy("number").count().where("count > 1").limit(1).count() == 0:
             return numbered, seed
-    raise ValueError("the items of 16 seeds collide")
+        release(numbered)
+        seed += 1
 
 
 def cooccurrence(baskets: DataFrame, *, min_count: int = 5, min_ratio: float = 5, min_llr: float = 0.0) -> DataFrame:
     """Pairs of items that share at least min_count baskets of a kind, min_ratio times as many as by chance.
 
-    baskets: kind string (few values), items array<string>, one row per basket. Result: kind, item_a, item_b (item_a <
+    baskets: kind string, items array<string>, one row per basket. Result: kind, item_a, item_b (item_a <
     item_b in byte order), n_ab, n_a, n_b, n (baskets of the kind with an item), ratio = n_ab * n / (n_a * n_b), llr.
 
     Each task merges the stripes (item -> neighbours with counts) of its baskets before they are shuffled by item; the
     arrays that meet there are added up, then counts, ratio and log-likelihood ratio decide. Exact at any size:
     - an item in more than n / min_ratio baskets can be in no such pair (n_ab is at most the smaller of n_a and n_b)
       and is left out before pairs are made. At most min_ratio times the mean basket size are so frequent: that list
-      is sent to the tasks; so is that of the items in over 1 of 200 baskets, whose stripes are merged in 16 blocks;
+      is sent to the tasks; so is that of the items in over 1 of 200 baskets (200 times the mean basket size at most),
+      whose arrays are merged in blocks: 16 and more, by their share of the baskets;
     - a basket of over PAIRS_AT_ONCE pairs is worked on in slices in different tasks.
 
     A null or empty array is no basket; null items are left out; an item counts once per basket; a null kind is left
@@ -148,18 +175,17 @@ def cooccurrence(baskets: DataFrame, *, min_count: int = 5, min_ratio: float = 5
     """
     clean = baskets.where("kind is not null").select("kind", F.array_distinct(F.filter("items", lambda x: x.isNotNull())).alias("items"))
     kept = materialize(clean.where("size(items) > 0"), "baskets")
-    totals = {r["kind"]: r["count"] for r in kept.groupBy("kind").count().collect()}
-    if len(totals) > 1000:
-        raise ValueError("over 1000 kinds of baskets")
-    n = F.lit(0).cast("long")
-    for kind, total in totals.items():
-        n = F.when(F.col("kind") == kind, F.lit(total).cast("long")).otherwise(n)
-    counted = kept.select("kind", F.explode("items").alias("item")).groupBy("kind", "item").agg(F.count(F.lit(1)).alias("n_item")).withColumn("n", n)
-    items, seed = _numbered(materialize(counted, "items"))
+    totals = kept.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    counted = kept.select("kind", F.explode("items").alias("item")).groupBy("kind", "item").agg(F.count(F.lit(1)).alias("n_item")).join(totals, "kind")
     ratio = F.lit(Decimal(str(min_ratio)))
-    numbers = lambda which: np.sort(np.array([r[0] for r in items.where(which).select("number").collect()], np.int64))
-    never = numbers(F.col("n_item") * ratio > F.col("n"))
-    heavy = np.setdiff1d(numbers(F.col("n_item") * F.lit(200) > F.col("n")), never)
+    too_many = F.col("n_item") * ratio > F.col("n")
+    blocks = F.least(F.ceil(F.log2(F.col("n_item") * F.lit(200.0) / F.col("n"))), F.lit(12)).cast("int") + 3
+    counted = counted.withColumn("bits", F.when(too_many, -1).when(F.col("n_item") * F.lit(200) > F.col("n"), blocks).otherwise(0))
+    items, seed = _numbered(counted)
+    often = items.where("bits <> 0").select("number", "bits").orderBy("number").toArrow()
+    names, bits = often["number"].to_numpy().astype(np.int64), often["bits"].to_numpy().astype(np.int64)
+    never, heavy = names[bits < 0], names[bits > 0]
+    sent = kept.sparkSession.sparkContext.broadcast((never, heavy, bits[bits > 0]))
 
     number = F.transform("items", lambda x: F.xxhash64("kind", x, F.lit(seed))).alias("numbers")
     pairs_in = F.size("items").cast("long") * (F.size("items") - 1) / 2
@@ -169,6 +195,7 @@ def cooccurrence(baskets: DataFrame, *, min_count: int = 5, min_ratio: float = 5
     large = large.repartition(F.col("numbers")[0], "first")
 
     def stripes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        never, *heavy = sent.value
         waiting: list[tuple[np.ndarray, ...]] = []
         pairs = 0
         for batch in batches:
@@ -188,10 +215,10 @@ def cooccurrence(baskets: DataFrame, *, min_count: int = 5, min_ratio: float = 5
                     pairs += int(made[upto - 1] - (made[done - 1] if done else 0))
                     done = upto
                 if done < len(sizes):
-                    yield from _stripes(*(np.concatenate(x) for x in zip(*waiting)), heavy)
+                    yield from _stripes(*(np.concatenate(x) for x in zip(*waiting)), *heavy)
                     waiting, pairs = [], 0
         if waiting:
-            yield from _stripes(*(np.concatenate(x) for x in zip(*waiting)), heavy)
+            yield from _stripes(*(np.concatenate(x) for x in zip(*waiting)), *heavy)
 
     stripe = small.unionByName(large).mapInArrow(stripes, STRIPE_SCHEMA).repartition("item", "block").sortWithinPartitions("item", "block")
     pairs = stripe.mapInArrow(_summed(min_count), PAIR_SCHEMA)

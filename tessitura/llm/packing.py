@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -13,8 +14,8 @@ from pyspark.sql import functions as F
 
 from tessitura.session import materialize
 
-#: Steps that a plan may have. Each step fills or splits one run of like bins.
-MOST_STEPS = 4_000_000
+#: Items of one size that are numbered in one task.
+ITEMS_AT_ONCE = 250_000
 
 
 class OpenBins:
@@ -75,16 +76,20 @@ class Plan:
     bins: int = 0
 
     def step(self, at: int, each: int, first: int) -> None:
-        if len(self.start) >= MOST_STEPS:
-            raise ValueError(f"over {MOST_STEPS} steps")
         self.start.append(at)
         self.each.append(each)
         self.bin.append(first)
 
-    def place(self, item: np.ndarray) -> np.ndarray:
-        """The bins of items with these numbers."""
-        i = np.searchsorted(self.start, item, "right") - 1
-        return np.array(self.bin, np.int64)[i] + (item - np.array(self.start, np.int64)[i]) // np.array(self.each, np.int64)[i]
+    def table(self) -> np.ndarray:
+        """start, each and bin as three rows of numbers."""
+        return np.array([self.start, self.each, self.bin], np.int64).reshape(3, -1)
+
+
+def place(steps: np.ndarray, item: np.ndarray) -> np.ndarray:
+    """The bins of items with these numbers, by the steps of a plan."""
+    start, each, first = steps
+    i = np.searchsorted(start, item, "right") - 1
+    return first[i] + (item - start[i]) // each[i]
 
 
 def best_fit_decreasing(sizes: Mapping[int, int], capacity: int) -> Plan:
@@ -118,40 +123,46 @@ def best_fit_decreasing(sizes: Mapping[int, int], capacity: int) -> Plan:
     return plan
 
 
-def pack(items: DataFrame, ident: str, size: str, capacity: int, *, salts: int = 64) -> DataFrame:
+def pack(items: DataFrame, ident: str, size: str, capacity: int) -> DataFrame:
     """(id, part, size, bin): a container for every item, by best-fit decreasing over all items.
 
     An item larger than the capacity is cut into parts of the capacity and the rest; no other is. The driver gets how
-    many items there are by size and salt (capacity * salts numbers at most, however many items) and plans the bins of
-    each size; items are then numbered within size and salt, so that a size that a third of all items have is ordered
-    in `salts` tasks, and look up their bin. The result is the same on every run.
+    many items there are of each size (`capacity` numbers, however many items) and plans the bins: runs of like bins are
+    filled in one step, of which there are at most a few for each pair of sizes, so that a plan is bounded by the square
+    of the capacity and is sent to the tasks as three arrays of numbers. Items are then numbered within size and salt; a
+    size has as many salts as it has ITEMS_AT_ONCE items, so that one that a third of all items have is ordered in as
+    many tasks as it needs. Their counts by salt, from which the numbers start, stay a table. The result is the same on
+    every run.
 
     Items of size 0, null or negative size take no room: their size is 0 and their bin the first, 0. Repeated ids are
     items of their own; a null id is an item as well. An empty table gives no rows; other columns are not read.
     """
+    spark = items.sparkSession
     room = F.greatest(F.coalesce(F.col(size).cast("long"), F.lit(0)), F.lit(0))
     whole = items.select(F.col(ident).alias("id"), room.alias("whole"))
     last = F.greatest(F.ceil(F.col("whole") / F.lit(capacity)).cast("int") - 1, F.lit(0))
     parts = whole.select("id", "whole", F.explode(F.sequence(F.lit(0), last)).alias("part"))
-    sized = parts.select("id", "part", F.least(F.col("whole") - F.col("part").cast("long") * capacity, F.lit(capacity)).cast("int").alias("size"), F.pmod(F.xxhash64("id", "part"), F.lit(salts)).cast("int").alias("salt"))
+    sized = parts.select("id", "part", F.least(F.col("whole") - F.col("part").cast("long") * capacity, F.lit(capacity)).cast("int").alias("size"))
     sized = materialize(sized, "sizes")
 
-    rows = sized.where("size > 0").groupBy("size", "salt").count().collect()
-    counts: dict[int, int] = {}
-    offset = np.zeros((capacity + 1, salts), np.int64)
-    at = 0
-    for r in sorted(rows, key=lambda r: (-r["size"], r["salt"])):
-        offset[r["size"], r["salt"]] = at
-        at += r["count"]
-        counts[r["size"]] = counts.get(r["size"], 0) + r["count"]
-    plan = best_fit_decreasing(counts, capacity)
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            item = offset[batch["size"].to_numpy(), batch["salt"].to_numpy()] + batch["place"].to_numpy() - 1
-            yield pa.RecordBatch.from_arrays([batch["id"], batch["part"], batch["size"], pa.array(plan.place(item))], ["id", "part", "size", "bin"])
+    counts = {r["size"]: r["count"] for r in sized.where("size > 0").groupBy("size").count().collect()}
+    plan = spark.sparkContext.broadcast(best_fit_decreasing(counts, capacity).table())
+    salts = F.lit(1)
+    for n, group in groupby(sorted(counts, key=lambda s: -(-counts[s] // ITEMS_AT_ONCE)), key=lambda s: -(-counts[s] // ITEMS_AT_ONCE)):
+        salts = F.when(F.col("size").isin(*group), n).otherwise(salts) if n > 1 else salts
 
+    def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            item = batch["offset"].to_numpy() + batch["place"].to_numpy() - 1
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["part"], batch["size"], pa.array(place(plan.value, item))], ["id", "part", "size", "bin"])
+
+    salted = sized.where("size > 0").withColumn("salt", F.pmod(F.xxhash64("id", "part"), salts.cast("long")).cast("int"))
+    above = [[s, n] for s, n in zip(sorted(counts, reverse=True), np.cumsum([0] + [counts[s] for s in sorted(counts, reverse=True)]).tolist())]
+    of_size = spark.createDataFrame(above or [[0, 0]], "size int, above long")
+    before = Window.partitionBy("size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = salted.groupBy("size", "salt").agg(F.count(F.lit(1)).alias("n")).withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    offsets = offsets.join(F.broadcast(of_size), "size").select("size", "salt", (F.col("offset") + F.col("above")).alias("offset"))
     order = Window.partitionBy("size", "salt").orderBy("id", "part")
-    numbered = sized.where("size > 0").withColumn("place", F.row_number().over(order).cast("long"))
-    placed = numbered.mapInArrow(place, f"id {dict(items.dtypes)[ident]}, part int, size int, bin long")
+    numbered = salted.withColumn("place", F.row_number().over(order).cast("long")).join(offsets, ["size", "salt"])
+    placed = numbered.mapInArrow(lay, f"id {dict(items.dtypes)[ident]}, part int, size int, bin long")
     return placed.unionByName(sized.where("size = 0").select("id", "part", "size", F.lit(0).cast("long").alias("bin")))

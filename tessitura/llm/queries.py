@@ -33,6 +33,12 @@ def p1_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return cooccurrence(baskets(spark, folder), min_count=5, min_ratio=5, min_llr=SIGNIFICANT)
 
 
+def p1_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of tracks that share baskets significantly more often than by chance, with counts, ratio and log-likelihood ratio."""
+    found = cooccurrence(baskets(spark, folder), min_count=5, min_ratio=1, min_llr=SIGNIFICANT)
+    return found.select(F.col("kind").alias("basket"), "item_a", "item_b", "n_ab", "n_a", "n_b", "n", F.round("ratio", 6).alias("ratio"), F.round("llr", 4).alias("llr"))
+
+
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return p1_pairs(spark, folder).select(F.col("kind").alias("basket"), "item_a", "item_b")
 
@@ -71,7 +77,7 @@ def p8_validation(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame(sorted(found.items()), "measure string, value double")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_forms": p2_forms, "p6_ids": p6_ids, "p7_bins": p7_bins, "p8_found": p8_found, "p8_validation": p8_validation}
+QUERIES = {"p1_found": p1_found, "p1_scores": p1_scores, "p2_found": p2_found, "p2_forms": p2_forms, "p6_ids": p6_ids, "p7_bins": p7_bins, "p8_found": p8_found, "p8_validation": p8_validation}
 
 _P1 = """
 WITH q AS (SELECT DISTINCT query_id AS b, unnest(candidate_track_uris) AS item FROM track_reranking_split),
@@ -82,13 +88,22 @@ i AS (SELECT DISTINCT 'query' AS basket, b, item FROM q WHERE item IS NOT NULL A
   UNION ALL SELECT DISTINCT 'session', user_id || '/' || run, item FROM s WHERE item <> ''),
 n AS (SELECT basket, count(DISTINCT b) AS n FROM i GROUP BY basket),
 c AS (SELECT basket, item, count(*) AS n_item FROM i GROUP BY ALL),
-p AS (SELECT x.basket, x.item AS item_a, y.item AS item_b, count(*) AS n_ab FROM i x JOIN i y ON x.basket = y.basket AND x.b = y.b AND x.item < y.item GROUP BY ALL HAVING count(*) >= 5)
-SELECT p.basket, item_a, item_b FROM p JOIN n ON n.basket = p.basket JOIN c ca ON ca.basket = p.basket AND ca.item = item_a JOIN c cb ON cb.basket = p.basket AND cb.item = item_b
-WHERE n_ab * n >= 5 * ca.n_item * cb.n_item"""
+p AS (SELECT x.basket, x.item AS item_a, y.item AS item_b, count(*) AS n_ab FROM i x JOIN i y ON x.basket = y.basket AND x.b = y.b AND x.item < y.item GROUP BY ALL HAVING count(*) >= 5),
+s4 AS (SELECT p.basket, item_a, item_b, n_ab, ca.n_item AS n_a, cb.n_item AS n_b, n FROM p JOIN n ON n.basket = p.basket JOIN c ca ON ca.basket = p.basket AND ca.item = item_a JOIN c cb ON cb.basket = p.basket AND cb.item = item_b)
+"""
+_P1_FOUND = _P1 + "SELECT basket, item_a, item_b FROM s4 WHERE n_ab * n >= 5 * n_a * n_b"
+_CELLS = ["n_ab", "n_a - n_ab", "n_b - n_ab", "n - n_a - n_b + n_ab", "n_a", "n - n_a", "n_b", "n - n_b", "n"]
+_SIGNS = [1, 1, 1, 1, -1, -1, -1, -1, 1]
+_LLR = " + ".join(f"{sign} * CASE WHEN {x} > 0 THEN ({x}) * ln(({x})::DOUBLE) ELSE 0 END" for sign, x in zip(_SIGNS, _CELLS))
+_P1_SCORES = (
+    _P1
+    + f"""SELECT basket, item_a, item_b, n_ab, n_a, n_b, n, round(n_ab * n::DOUBLE / (n_a * n_b::DOUBLE), 6) AS ratio, round(greatest(0, 2 * ({_LLR})), 4) AS llr
+FROM s4 WHERE n_ab * n >= n_a * n_b AND 2 * ({_LLR}) >= {SIGNIFICANT}"""
+)
 
 _P2 = f"""
 WITH e AS (SELECT DISTINCT event_id, artist_name AS a FROM streaming_history WHERE artist_name IS NOT NULL), d AS (SELECT DISTINCT a FROM e),
 l AS (SELECT a, {look_sql("a")} AS look FROM d), p AS (SELECT ref_id, name, {look_sql("name")} AS look FROM public_listening_row WHERE dimension = 'artists' AND name IS NOT NULL)
 SELECT DISTINCT event_id, ref_id FROM l JOIN p USING (look) JOIN e USING (a) WHERE look <> '' AND a <> name"""
 
-ORACLE = {"p1_found": _P1, "p2_found": _P2}
+ORACLE = {"p1_found": _P1_FOUND, "p1_scores": _P1_SCORES, "p2_found": _P2}

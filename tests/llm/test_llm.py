@@ -172,7 +172,7 @@ def test_plan_is_best_fit_decreasing():
         sizes = [rng.randrange(1, capacity + 1) if rng.random() < 0.7 else max(1, capacity // 3) for _ in range(rng.randrange(200))]
         plan = best_fit_decreasing(Counter(sizes), capacity)
         load = Counter()
-        for s, b in zip(sorted(sizes, reverse=True), plan.place(np.arange(len(sizes))) if sizes else []):
+        for s, b in zip(sorted(sizes, reverse=True), packing.place(plan.table(), np.arange(len(sizes))) if sizes else []):
             load[int(b)] += s
         assert Counter(capacity - x for x in load.values()) == plain_best_fit(sizes, capacity)
 
@@ -194,12 +194,15 @@ def test_pack_table(spark, monkeypatch):
     parts = [100] * sum((s or 0) // 100 for _, s, *_ in rows if (s or 0) > 0) + [s % 100 for _, s, *_ in rows if (s or 0) > 0 and s % 100]
     assert len([x for x in load.values() if x]) == sum(plain_best_fit(parts, 100).values())
     assert all(r["part"] == 0 or r["size"] > 0 for r in found) and len(found) == len(parts) + sum((s or 0) <= 0 for _, s, *_ in rows)
+    monkeypatch.setattr(packing, "ITEMS_AT_ONCE", 40)
+    salted = Counter()
+    for r in pack(df.repartition(6), "id", "size", 100).collect():
+        salted[r["bin"]] += r["size"]
+    assert Counter(salted.values()) == Counter(load.values())  # many salts, as good a result
+    monkeypatch.undo()
     again = pack(df.repartition(2), "id", "size", 100).collect()
     assert sorted(map(str, again)) == sorted(map(str, found))
     assert pack(df.limit(0), "id", "size", 100).count() == 0
-    monkeypatch.setattr(packing, "MOST_STEPS", 1)
-    with pytest.raises(ValueError, match="steps"):
-        best_fit_decreasing({5: 3, 2: 2}, 10)
 
 
 CONTENT = ["The crowd knew every word.", "She sings close to the microphone.", "Most of the album was recorded at night near {}.", "The single is called Error 404, and the joke wears off.", "A whole verse is built from the phrase \"access denied to you\", sung twice."]
