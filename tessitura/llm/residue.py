@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import re._parser as sre
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
@@ -103,7 +104,6 @@ ORDINARY = [
 
 _DELIMITERS = re.compile(r"[{}\[\]<>%$@«|]|__")
 _STATUS = re.compile(rf"^\W*(?:{'|'.join(STATUS)})", re.I)
-_MESSAGE = re.compile("|".join(f"(?:{x})" for x in [*MESSAGES, *NOTICES, *FILLER]), re.I)
 _FILLER = re.compile("|".join(f"(?:{x})" for x in FILLER), re.I)
 _NAMING, _OTHERS = re.compile(NAMING, re.I), re.compile(OTHERS, re.I)
 _TICKED, _QUOTED = re.compile(r"`[^`]*`"), re.compile(r"[\"“”„«‘][^\"“”«»]{3,80}[\"”“»’]|「[^」]*」|『[^』]*』")
@@ -115,23 +115,55 @@ _ENDS = re.compile(r"(?<=[.!?…])\s+|(?<=[。！？])")
 _TOKENS = re.compile("[぀-ヿ㐀-鿿]|[^\\W\\d_぀-ヿ㐀-鿿]+|\\d+|[^\\w\\s]|_")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _CAPITAL = re.compile(r"[^\W\d_a-zа-яё]")
-# Stems without which no message or notice matches; sentences without any are not matched against the patterns.
-STEMS = """access permission authori allowed permitted log sign session expired only to blocked available rate requests slow checking verify unusual contact wrong error problem notified again back unavailable offline down maintenance could
-cannot can't couldn't unable failed able page file link resource document content site url address key item look moved deleted removed find acces permiso sesión caducad ocurri producido produjo intent intént disponible página mantenimiento
-demasiad permiss autoriza login sessão ocorreu algo tente indisponível disponível encontrada manutenção accès autorisé veuillez erreur réessa maintenance introuvable zugriff berechtig melde anmeld sitzung fehler schief versuch verfügbar erreichbar gefunden wartung
-доступ прав войдите авториз сессия сеанс ошибк пошло повторите попробуйте недоступ найден техническ アクセス 権限 ログイン セッション 期限 エラー 問題 試し 試して できません いただけません 見つかり メンテナンス script js enable turn switch disable allow schalten active actívalo ative
-dummy placeholder sample filler example test here add enter type insert write put paste edit replace click texto aquí aqui escrib texte ici text platzhalter hier текст здесь ダミー サンプル ここに こちらに""".split()
-
-
-def _stems() -> ahocorasick.Automaton:
-    found = ahocorasick.Automaton()
-    for stem in STEMS:
-        found.add_word(stem, stem)
-    found.make_automaton()
-    return found
-
-
-_STEMS = _stems()
+def needles(parsed) -> set[str] | None:
+    """Strings of which every match of a parsed pattern holds one, as long as can be; None if there are none."""
+    found: list[set[str]] = []
+    run = ""
+    for kind, what in [*parsed, (None, None)]:
+        if kind is sre.LITERAL:
+            run += chr(what)
+            continue
+        if run:
+            found.append({run.lower()})
+            run = ""
+        inner = None
+        if kind is sre.SUBPATTERN:
+            inner = needles(what[3])
+        elif kind in (sre.MAX_REPEAT, sre.MIN_REPEAT) and what[0] > 0:
+            inner = needles(what[2])
+        elif kind is sre.BRANCH:
+            each = [needles(x) for x in what[1]]
+            inner = None if None in each else set().union(*each)
+        if inner:
+            found.append(inner)
+    return max(found, key=lambda x: (min(map(len, x)), -len(x)), default=None)
+
+
+class _Phrases:
+    """The patterns of messages, notices and filler. A sentence is only matched against those of which it holds a needle."""
+
+    def __init__(self, patterns: Sequence[str]) -> None:
+        self.patterns = [re.compile(x, re.I) for x in patterns]
+        self.always, of = [], {}
+        for i, x in enumerate(patterns):
+            held = needles(sre.parse(x, re.I))
+            if held is None:
+                self.always.append(i)
+            for needle in held or ():
+                of.setdefault(needle, set()).add(i)
+        self.automaton = ahocorasick.Automaton()
+        for needle, which in of.items():
+            self.automaton.add_word(needle, which)
+        self.automaton.make_automaton()
+
+    def search(self, sentence: str) -> re.Match | None:
+        """The first match, of equals the longest."""
+        which = set(self.always).union(*(w for _, w in self.automaton.iter(sentence.lower())))
+        hits = (self.patterns[i].search(sentence) for i in which)
+        return min((h for h in hits if h), key=lambda h: (h.start(), -h.end()), default=None)
+
+
+_MESSAGE = _Phrases([*MESSAGES, *NOTICES, *FILLER])
 
 
 def sentences(text: str) -> list[str]:
@@ -171,8 +203,6 @@ def weak_label(sentence: str) -> int:
         return 1 if _PLACEHOLDER.search(_TICKED.sub(" ", sentence)) else -1
     if _STATUS.search(sentence):
         return 1
-    if next(_STEMS.iter(lower), None) is None:
-        return 0
     hit = _MESSAGE.search(sentence)
     if hit is None:
         return 0
