@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessitura.plans.service import ListeningQuery, ListeningService, narratives
-from tessitura.plans.views import register_views
+from tessitura.plans.views import VIEWS, register_views
 from tessitura.plans.warehouse import Asset, Warehouse, decision, edges, in_build_order, listening_assets, reach
 
 DATA = Path("/root/testdata/sf0.001")
@@ -45,18 +45,38 @@ def test_listening_warehouse(spark, tmp_path):
     built = w.refresh(spark)
     assert all(x["rows"] > 0 for n, x in built["assets"].items() if n != "similarity_anomalies") and built["findings"] in ([], [("similarity_anomalies", "empty below data")])
     assert set(x["decision"] for x in w.refresh(spark)["assets"].values()) == {"reused"}
-    assert {"daily_trend", "scene_priority"} <= set(register_views(spark, w.tables(spark)))
+    assert set(w.register(spark)) == set(w.tables(spark)) == set(built["assets"])
 
 
 def test_views_need_their_columns(spark):
     results = spark.createDataFrame([("r1", "m"), ("r2", "n")], "run_id string, model_name string")
-    manifests = spark.createDataFrame([("r1", "2026-01-02"), ("r2", None)], "run_id string, timestamp string")
+    manifests = spark.createDataFrame([("r1", "2026-01-02", "p"), ("r2", None, "q")], "run_id string, run_timestamp string, profile string")
     assert register_views(spark, {"run_results": results}) == []
     assert register_views(spark, {"run_results": results, "run_manifests": manifests}) == ["latest_run_results"]
     assert [r["model_name"] for r in spark.table("latest_run_results").collect()] == ["m"]
-    backtest = spark.createDataFrame([("m", 0.5, 1)], "model_name string, top1 double, fold int")
+    backtest = spark.createDataFrame([("p", "m", "0.5"), ("p", "m", "oops"), ("p", "n", "0.25"), ("p", "n", "0.75")], "profile string, model_name string, top1 string")
     register_views(spark, {"backtest_history": backtest})
-    assert spark.table("backtest_model_summary").first()["std_top1"] == 0.0
+    assert [tuple(r) for r in spark.table("backtest_model_summary").collect()] == [("p", "m", 0.5, None, 2), ("p", "n", 0.5, 0.3535533905932738, 2)]
+    register_views(spark, {"backtest_history": backtest.withColumn("model_type", F.lit("t"))})
+    assert "model_type" in spark.table("backtest_model_summary").columns
+    moonshot = spark.createDataFrame([("r1", "8", "0.5", "0.7", "s", None), ("r9", "x", "0.9", "0.1", "s", "0.2")], "run_id string, multimodal_embedding_dim string, digital_twin_test_auc string, causal_test_auc_total string, stress_worst_skip_scenario string, stress_worst_skip_risk string")
+    empty = spark.createDataFrame([{}], "").where("false")
+    assert register_views(spark, {"moonshot_summary": moonshot, "run_manifests": manifests, "nothing": empty}) == ["moonshot_run_summary"]
+    assert [(r["run_id"], r["profile"], r["multimodal_embedding_dim"], r["journey_mean_horizon"]) for r in spark.table("moonshot_run_summary").collect()] == [("r9", None, None, None), ("r1", "p", 8, None)]
+    assert spark.table("nothing").columns == ["_empty"]
+
+
+def test_views_of_whole_rows(spark):
+    claims = spark.createDataFrame([("a", "yes", 5.0, 1), ("b", "true", 9.0, 2), ("c", "no", 10.0, 1), ("d", None, 1.0, 1), ("e", "1", 5.0, 3)], "claim_key string, blocked string, watchlist_score double, missing_check_count long")
+    branches = spark.createDataFrame([("x", "p", 2, 1.0, 0.1, "c"), ("y", "p", None, 9.0, 0.1, "c"), ("z", "p", 1, 1.0, 0.1, "c")], "branch_key string, branch_posture string, queue_rank long, risk_reduction_score double, risk_score double, next_command string")
+    artists = spark.createDataFrame([("a", 0, 9.0), ("b", 2, 1.0), ("c", 1, None), ("d", 1, 3.0)], "artist_name string, priority_now_count long, max_opportunity_score double")
+    trends = spark.createDataFrame([("2026-01-01", "artists", True), ("2026-01-02", "tracks", True), ("2026-01-03", "tracks", False)], "listening_date string, dimension string, similarity_anomaly_flag boolean")
+    made = register_views(spark, {"mart_research_claim_watchlist": claims, "mart_scope_expansion_health": branches, "mart_creator_opportunities": artists, "mart_public_listening_trends": trends})
+    assert made == ["creator_priority_now", "research_platform_blocked_claims", "scope_expansion_priority_queue", "public_listening_similarity_anomalies"]
+    first = lambda name: [r[0] for r in spark.table(name).collect()]
+    assert first("research_platform_blocked_claims") == ["b", "e", "a"] and first("scope_expansion_priority_queue") == ["z", "x", "y"]
+    assert first("creator_priority_now") == ["d", "b", "c"] and first("public_listening_similarity_anomalies") == ["2026-01-02", "2026-01-01"]
+    assert len({v.name for v in VIEWS}) == 16
 
 
 MART = "listening_date string, dimension string, event_count long, duration_minutes double, global_similarity double, united_states_similarity double, closer_scope string, reference_alignment string"
