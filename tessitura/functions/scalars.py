@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Sequence
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Accented letters and their base letters, for name keys.
-ACCENTED = "àáâãäåāăąçćĉċčďèéêëēĕėęěĝğġģĥìíîïĩīĭįĵķĺļľñńņňòóôõöōŏőŕŗřśŝşšţťùúûüũūŭůűųŵýÿŷźżž"
-PLAIN = "aaaaaaaaacccccdeeeeeeeeegggghiiiiiiiijklllnnnnoooooooorrrssssttuuuuuuuuuuwyyyzzz"
 TRUE_WORDS, FALSE_WORDS = ("true", "1", "yes", "y"), ("false", "0", "no", "n")
 
 
@@ -18,9 +18,41 @@ def text_or_null(c: Column) -> Column:
     return F.nullif(F.trim(c.cast("string")), F.lit(""))
 
 
+@cache
+def key_letters() -> tuple[dict[str, str], dict[str, str]]:
+    """What is left for a name key of characters beyond ASCII, by Unicode's compatible decompositions: of those that leave one sign, and of those that leave several."""
+    one, more = {}, {}
+    for code in range(0x80, 0x20000):
+        if 0xD800 <= code < 0xE000:
+            continue
+        left = re.sub(r"[^a-z0-9]", "", unicodedata.normalize("NFKD", chr(code)).encode("ascii", "ignore").decode().lower())
+        if left:
+            (one if len(left) == 1 else more)[chr(code)] = left
+    return one, more
+
+
 def name_key(c: Column) -> Column:
-    """Accents dropped, lower case, only a-z and 0-9 kept. Compatible forms beyond ACCENTED are dropped as well."""
-    return F.regexp_replace(F.translate(F.regexp_replace(F.lower(c), "[\\u0300-\\u036f]", ""), ACCENTED, PLAIN), "[^a-z0-9]", "")
+    """Compatible decomposition, accents and other signs beyond ASCII dropped, lower case, only a-z and 0-9 kept. In the JVM:
+    by translation; names with a character that stands for several (ligatures, numerals) are spelt out before."""
+    one, more = key_letters()
+    spelt = F.create_map(*(F.lit(x) for pair in more.items() for x in pair))
+    long = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.try_element_at(spelt, x), x)), "")
+    text = F.when(c.rlike("[^\\x00-\\x7f]") & c.rlike("[" + "".join(more) + "]"), long).otherwise(c)
+    return F.regexp_replace(F.lower(F.translate(text, "".join(one), "".join(one.values()))), "[^a-z0-9]", "")
+
+
+def name_key_sql(c: str) -> str:
+    """The same in SQL."""
+    one, more = key_letters()
+    spelt = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in more.items()) + "}"
+    long = f"array_to_string(list_transform(string_split({c}, ''), lambda x: coalesce({spelt}[x], x)), '')"
+    text = f"CASE WHEN regexp_matches({c}, '[{''.join(more)}]') THEN {long} ELSE {c} END"
+    return f"regexp_replace(lower(translate({text}, '{''.join(one)}', '{''.join(one.values())}')), '[^a-z0-9]', '', 'g')"
+
+
+def genre_label(c: Column) -> Column:
+    """A genre's label: lower case, words of letters and digits joined by one blank; blank is null."""
+    return F.nullif(F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " ")), F.lit(""))
 
 
 def number(c: Column) -> Column:

@@ -172,11 +172,11 @@ def u4_list_difference(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p_scalars(spark: SparkSession, folder: str) -> DataFrame:
-    """Normalised values of raw history rows: truth values, epochs, device families, contents, name keys of plain names."""
+    """Normalised values of raw history rows: truth values, epochs, device families, contents, name keys."""
     raw = table(spark, folder, "streaming_history").dropDuplicates(["event_id"])
     return raw.select(
         "event_id", scalars.tri_state(F.col("skipped")).cast("string").alias("skipped"), scalars.truth(F.col("skipped")).cast("string").alias("strict"), F.coalesce(scalars.epoch_ms(F.col("offline_timestamp")), F.lit(-1)).alias("offline_ms"), scalars.device_family(F.col("platform")).alias("family"),
-        scalars.content_type(episode=F.col("episode_uri"), track=F.col("track_uri")).alias("content"), scalars.text_or_null(F.col("conn_country")).alias("country"), F.when(F.col("artist_name").rlike("^[ -~]*$"), scalars.name_key(F.col("artist_name"))).alias("name_key"),
+        scalars.content_type(episode=F.col("episode_uri"), track=F.col("track_uri")).alias("content"), scalars.text_or_null(F.col("conn_country")).alias("country"), scalars.name_key(F.col("artist_name")).alias("name_key"),
     )
 
 
@@ -247,6 +247,8 @@ SELECT event_id, CASE WHEN lower(trim(skipped)) IN ('true', '1', 'yes', 'y', 't'
   CASE WHEN lower(trim(skipped)) IN ('true', '1', 'yes', 'y') THEN 'true' WHEN lower(trim(skipped)) IN ('false', '0', 'no', 'n') THEN 'false' END AS strict, coalesce(CASE WHEN abs(offline_timestamp) < 10000000000 THEN offline_timestamp * 1000 ELSE offline_timestamp END, -1) AS offline_ms,
   CASE WHEN regexp_matches(lower(coalesce(platform, '')), 'ios|iphone|ipad|android|mobile|phone|tablet') THEN 'mobile' WHEN regexp_matches(lower(coalesce(platform, '')), 'windows|mac|osx|linux|desktop|web') THEN 'desktop' ELSE 'other' END AS family,
   CASE WHEN trim(coalesce(episode_uri, '')) <> '' THEN 'episode' WHEN trim(coalesce(track_uri, '')) <> '' THEN 'track' ELSE 'unknown' END AS content, nullif(trim(conn_country), '') AS country,
-  CASE WHEN regexp_full_match(artist_name, '[ -~]*') THEN regexp_replace(lower(artist_name), '[^a-z0-9]', '', 'g') END AS name_key FROM r""",
+  """
+    + scalars.name_key_sql("artist_name")
+    + " AS name_key FROM r",
     "scalars_release_dates": "SELECT o_orderkey, CAST(CASE WHEN o_orderpriority LIKE '1%' THEN CAST(date_trunc('year', o_orderdate) AS DATE) WHEN o_orderpriority LIKE '2%' THEN CAST(date_trunc('month', o_orderdate) AS DATE) ELSE CAST(o_orderdate AS DATE) END AS VARCHAR) AS released FROM orders",
 }

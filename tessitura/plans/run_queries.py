@@ -53,7 +53,8 @@ def a11_run_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def a12_model_registry(spark: SparkSession, folder: str) -> DataFrame:
-    return _rounded(runs.model_registry(_summary(spark, folder)))
+    found = runs.model_registry(_summary(spark, folder))
+    return _rounded(found.withColumn("mean_fit_seconds", F.round("mean_fit_seconds", 3)))
 
 
 def a38_leaderboard(spark: SparkSession, folder: str) -> DataFrame:
@@ -219,7 +220,7 @@ ORACLE = {
 SELECT run_id, run_name, profile, run_timestamp, promoted, champion_gate_status, champion_gate_metric_source, data_records, champion_alias_model_name AS serving_model_name, champion_alias_model_type AS serving_model_type, model_name AS best_model_name, model_type AS best_model_type, val_top1 AS best_val_top1, test_top1 AS best_test_top1,
   round(mean_backtest_top1, 10) AS best_mean_backtest_top1, models_evaluated FROM s JOIN n USING (run_id) QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY test_top1 DESC NULLS LAST, val_top1 DESC NULLS LAST, model_name, model_type) = 1""",
     "a12_model_registry": _R
-    + """, g AS (SELECT model_name, model_type, count(DISTINCT run_id) AS runs, count(*) FILTER (promoted = 'true') AS promoted_runs, round(avg(val_top1), 10) AS mean_val_top1, round(avg(test_top1), 10) AS mean_test_top1, round(avg(mean_backtest_top1), 10) AS mean_backtest_top1, round(avg(fit_seconds), 10) AS mean_fit_seconds, max(test_top1) AS max_test_top1 FROM s GROUP BY ALL),
+    + """, g AS (SELECT model_name, model_type, count(DISTINCT run_id) AS runs, count(*) FILTER (promoted = 'true') AS promoted_runs, round(avg(val_top1), 10) AS mean_val_top1, round(avg(test_top1), 10) AS mean_test_top1, round(avg(mean_backtest_top1), 10) AS mean_backtest_top1, round(avg(fit_seconds), 3) AS mean_fit_seconds, max(test_top1) AS max_test_top1 FROM s GROUP BY ALL),
 l AS (SELECT model_name, model_type, run_id AS latest_run_id, profile AS latest_profile, run_timestamp AS latest_run_timestamp FROM s QUALIFY row_number() OVER (PARTITION BY model_name, model_type ORDER BY run_timestamp DESC NULLS LAST, run_id DESC) = 1),
 k AS (SELECT model_name, model_type, model_family FROM s GROUP BY model_name, model_type, model_family QUALIFY row_number() OVER (PARTITION BY model_name, model_type ORDER BY count(*) DESC, model_family) = 1)
 SELECT * FROM g JOIN l USING (model_name, model_type) JOIN k USING (model_name, model_type)""",
