@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessitura.operators.relations import in_order, running_totals
 from tessitura.session import materialize
 
 
@@ -136,3 +139,118 @@ def recency_weights(df: DataFrame, time: str, half_life_days: float, least: floa
     rows = df.join(F.broadcast(last)).withColumn("_raw", F.pow(F.lit(2.0), -((F.col("_last") - F.unix_micros(time)) / F.lit(86_400_000_000.0)) / half_life_days))
     mean = rows.agg(F.avg("_raw").alias("_mean"))
     return rows.join(F.broadcast(mean)).withColumn("weight", F.least(F.greatest(F.col("_raw") / F.col("_mean"), F.lit(least)), F.lit(most))).drop("_last", "_raw", "_mean")
+
+
+# The grid of temperatures.
+TEMPERATURES = sorted({0.65, 0.8, 1.0, 1.25, 1.6} | {round(0.5 * 6 ** (i / 14), 6) for i in range(15)})
+
+
+def tempered(proba: str | Column, temperature: float | Column) -> Column:
+    """Class probabilities at a temperature: the softmax of their logarithms over it."""
+    proba = F.col(proba) if isinstance(proba, str) else proba
+    return softmax(F.transform(proba, lambda p: F.log(F.least(F.greatest(p, F.lit(1e-9)), F.lit(1.0)))), temperature)
+
+
+def calibration_error(df: DataFrame, proba: Column, truth: str, into: str, bins: int = 15) -> DataFrame:
+    """One row: expected calibration error over bins of equal width."""
+    top = F.array_max(proba)
+    rows = df.select(top.alias("_c"), (F.array_position(proba, top).cast("int") - 1 == F.col(truth)).cast("int").alias("_r"))
+    g = rows.groupBy(F.least(F.floor(F.col("_c") * bins), F.lit(bins - 1)).alias("_b")).agg(F.count(F.lit(1)).alias("n"), F.avg("_r").alias("a"), F.avg("_c").alias("c"))
+    return g.agg((F.sum(F.col("n") * F.abs(F.col("a") - F.col("c"))) / F.sum("n")).alias(into))
+
+
+def guarded_temperature(df: DataFrame, proba: str, truth: str, temperatures: Sequence[float] = tuple(TEMPERATURES)) -> DataFrame:
+    """One row: the temperature with the least mean negative log-likelihood (of equals the smallest), whether it is accepted,
+    which it is unless the calibration error rises, and that error without and with it. All temperatures in one pass."""
+    own = F.col(truth).cast("int") + 1
+    nll = [F.avg(-F.log(F.greatest(F.element_at(tempered(proba, t), own), F.lit(1e-12)))) for t in temperatures]
+    losses = df.agg(*(F.round(x, 12).alias(f"_l{i}") for i, x in enumerate(nll)))
+    best = F.array_min(F.array(*(F.struct(F.col(f"_l{i}").alias("l"), F.lit(float(t)).alias("t")) for i, t in enumerate(temperatures))))
+    chosen = losses.select(best["t"].alias("candidate_temperature"))
+    both = chosen.join(calibration_error(df, F.col(proba), truth, "raw_ece")).join(calibration_error(df.join(F.broadcast(chosen)), tempered(proba, F.col("candidate_temperature")), truth, "calibrated_ece"))
+    accepted = F.col("calibrated_ece") <= F.col("raw_ece") + 1e-12
+    return both.withColumns({"accepted": accepted, "temperature": F.when(accepted, F.col("candidate_temperature")).otherwise(1.0)})
+
+
+def abstention_threshold(ranked: DataFrame, ident: str, base: float, *, target_risk: float = 0.5, least_accepted: float = 0.1, least_drop: float = 0.02) -> DataFrame:
+    """One row: the confidence from which predictions are accepted.
+
+    Rows in order of falling confidence: of those that accept at least least_accepted of all rows, the last at which the
+    share of errors is at most target_risk; else the one with the best trade of risk saved against rows refused, if it
+    saves least_drop. Never below `base`, which it is where none qualifies. Running shares come from ranges of the order.
+    """
+    rows = ranked.select(F.col("p_top").alias("c"), F.col(ident).alias("i"), (F.col("rank_true") != 1).cast("long").alias("e"), F.lit(1).cast("long").alias("one"))
+    run = running_totals(rows, [F.desc("c"), F.col("i")], ["e", "one"]).select("c", F.col("one_so_far").alias("k"), (F.col("e_so_far") / F.col("one_so_far")).alias("risk"))
+    total = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("e").alias("full"))
+    accepted = run.join(F.broadcast(total)).withColumn("share", F.col("k") / F.col("n")).where(F.col("share") >= least_accepted)
+    gain = F.col("full") - F.col("risk")
+    trade = F.struct(F.round(gain - 0.2 * (1 - F.col("share")), 12).alias("u"), (-F.col("k")).alias("k"))
+    found = accepted.agg(F.max_by("c", F.when(F.col("risk") <= target_risk, F.col("k"))).alias("met"), F.max_by("c", trade).alias("traded"), F.max_by(gain, trade).alias("saved"))
+    cut = F.coalesce("met", F.when(F.col("saved") >= least_drop, F.col("traded")), F.lit(base))
+    return found.select(F.round(F.greatest(cut, F.lit(base)), 9).alias("threshold"))
+
+
+def blended(models: Sequence[str], weights: Sequence[float]) -> Column:
+    """Class probabilities of several models, weighted."""
+    total = sum(weights)
+    found = F.transform(models[0], partial(_times, weights[0] / total))
+    for m, w in zip(models[1:], weights[1:]):
+        found = F.zip_with(found, F.transform(m, partial(_times, w / total)), lambda a, b: a + b)
+    return found
+
+
+def _times(by: float | Column, x: Column) -> Column:
+    return x * by
+
+
+def _ahead(own: Column, at: Column, x: Column) -> Column:
+    return (x["p"] > own) | ((x["p"] == own) & (x["i"] < at))
+
+
+def ensemble_scores(df: DataFrame, truth: str, options: dict[str, dict[str, float]], k: int = 5) -> DataFrame:
+    """Per option (weights by model): top-1 accuracy, ndcg at k and mean negative log-likelihood of the blend, and whether it is the best by these in turn. All options in one pass."""
+    at = F.col(truth).cast("int")
+    columns = []
+    for name, weights in options.items():
+        proba = F.transform(blended(list(weights), list(weights.values())), lambda p: F.round(p, 12))
+        own = F.element_at(proba, at + 1)
+        rank = 1 + F.size(F.filter(F.transform(proba, lambda p, i: F.struct(p.alias("p"), i.alias("i"))), partial(_ahead, own, at)))
+        columns.append(F.struct(F.lit(name).alias("option"), rank.alias("rank"), own.alias("own")))
+    rows = df.select(F.explode(F.array(*columns)).alias("o")).select("o.*")
+    ndcg = F.avg(F.when(F.col("rank") <= k, 1 / F.log2(F.col("rank") + 1)).otherwise(0.0))
+    found = rows.groupBy("option").agg(F.round(F.avg((F.col("rank") == 1).cast("int")), 9).alias("top1"), F.round(ndcg, 9).alias("ndcg"), F.round(F.avg(-F.log(F.greatest("own", F.lit(1e-12)))), 9).alias("nll"))
+    best = found.agg(F.min_by("option", F.struct(-F.col("top1"), -F.col("ndcg"), F.col("nll"), F.col("option"))).alias("_best"))
+    return found.join(F.broadcast(best)).withColumn("best", F.col("option") == F.col("_best")).drop("_best")
+
+
+def _distance(mean: Column, x: Column) -> Column:
+    return (x - mean) * (x - mean)
+
+
+def perturbation_importance(rows: DataFrame, ident: str, features: Sequence[str], score: str, truth: str, repeats: int = 3) -> DataFrame:
+    """(feature, permutation, deviation, ablation): how much accuracy falls when a feature's values are exchanged between rows, its
+    deviation over the repeats, and when they are all its mean.
+
+    score: SQL over the features that predicts `truth`. Exchanges are shifts in the order of ident by a share of all rows,
+    so that they are the same on every run: one numbering and one join per repeat, for all features.
+    """
+    numbered = materialize(in_order(rows.select(ident, *features, F.col(truth).alias("_y")), [F.col(ident)], "_at"), "numbered")
+    n = numbered.count()
+    means = numbered.agg(*(F.avg(f).alias(f"_m_{f}") for f in features))
+    right = lambda changed: F.avg((F.expr(changed) == F.col("_y")).cast("int"))
+
+    def swap(feature: str, by: str) -> str:
+        return re.sub(rf"\b{feature}\b", f"`{by}{feature}`", score)
+
+    whole = numbered.join(F.broadcast(means)).agg(right(score).alias("_base"), *(right(swap(f, "_m_")).alias(f"_a_{f}") for f in features))
+    for r in range(1, repeats + 1):
+        other = numbered.select(F.pmod(F.col("_at") + F.lit(r * n // (repeats + 1) + 1), F.lit(max(n, 1))).alias("_at"), *(F.col(f).alias(f"_o_{f}") for f in features))
+        whole = whole.join(numbered.join(other, "_at").agg(*(right(swap(f, "_o_")).alias(f"_p{r}_{f}") for f in features)))
+    made = []
+    for f in features:
+        drops = F.array(*(F.col("_base") - F.col(f"_p{r}_{f}") for r in range(1, repeats + 1)))
+        mean = F.aggregate(drops, F.lit(0.0), lambda s, x: s + x) / repeats
+        squares = F.transform(drops, partial(_distance, mean))
+        spread = F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, x: s + x) / repeats)
+        made.append(F.struct(F.lit(f).alias("feature"), F.round(mean, 9).alias("permutation"), F.round(spread, 9).alias("deviation"), F.round(F.col("_base") - F.col(f"_a_{f}"), 9).alias("ablation")))
+    return whole.select(F.explode(F.array(*made)).alias("r")).select("r.*")

@@ -137,6 +137,44 @@ def in_order(df: DataFrame, order: Sequence[Column], into: str) -> DataFrame:
     return ranged.withColumn("_l", local).join(offsets, "_p").withColumn(into, (F.col("_o") + F.col("_l") - 1).cast("long")).drop("_p", "_l", "_o")
 
 
+def running_totals(df: DataFrame, order: Sequence[Column], values: Sequence[str]) -> DataFrame:
+    """<value>_so_far of each value: its sum up to and with the row in a global order, without one task for all: ranges are added up, then continued from their offsets. The order must tell all rows apart."""
+    ranged = materialize(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "ranges")
+    sums = ranged.groupBy("_p").agg(*(F.sum(v).alias(f"_s_{v}") for v in values))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("_p", *(F.coalesce(F.sum(f"_s_{v}").over(before), F.lit(0)).alias(f"_o_{v}") for v in values))
+    inside = Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    found = ranged.withColumns({f"{v}_so_far": F.sum(v).over(inside) for v in values}).join(offsets, "_p")
+    return found.withColumns({f"{v}_so_far": F.col(f"{v}_so_far") + F.col(f"_o_{v}") for v in values}).drop("_p", *(f"_o_{v}" for v in values))
+
+
+def quantiles(df: DataFrame, column: str, at: Sequence[float]) -> DataFrame:
+    """One row with q0, q1, ...: exact quantiles with linear interpolation, from counts of distinct values in order of range. Null and NaN are left out; an empty table gives nulls."""
+    value = F.col(column).cast("double")
+    counts = df.select(value.alias("v")).where("v is not null and not isnan(v)").groupBy("v").agg(F.count(F.lit(1)).alias("c"))
+    ranged = running_totals(counts, [F.col("v")], ["c"])
+    n = ranged.agg(F.sum("c").alias("_n"))
+    pick = lambda place: F.min(F.when(F.col("c_so_far") > place, F.col("v")))
+    spot = [(F.col("_n") - 1) * q for q in at]
+    ends = ranged.join(F.broadcast(n)).agg(*(x for i, h in enumerate(spot) for x in (pick(F.floor(h)).alias(f"lo{i}"), pick(F.ceil(h)).alias(f"hi{i}"), F.max(h - F.floor(h)).alias(f"f{i}"))))
+    return ends.select(*((F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * F.col(f"f{i}")).alias(f"q{i}") for i in range(len(at))))
+
+
+def against_baseline(df: DataFrame, keys: Sequence[str], label: str, baseline: object, values: Sequence[str]) -> DataFrame:
+    """Each row beside the row of its key that has the baseline's label: delta_<value>; null where the key has none."""
+    base = df.where(F.col(label) == baseline).select(*keys, *(F.col(v).alias(f"_b_{v}") for v in values))
+    found = df.join(base, list(keys), "left").withColumns({f"delta_{v}": F.col(v) - F.col(f"_b_{v}") for v in values})
+    return found.drop(*(f"_b_{v}" for v in values))
+
+
+def phase_changes(before: DataFrame, after: DataFrame, phase: str, seconds: str) -> DataFrame:
+    """Phases of two runs side by side: seconds of both (0 where one lacks it), their difference, its share of the first, and how many times faster the second is."""
+    joined = before.select(phase, F.col(seconds).alias("_a")).join(after.select(phase, F.col(seconds).alias("_b")), phase, "full_outer")
+    a, b = (F.coalesce(c, F.lit(0.0)) for c in ("_a", "_b"))
+    state = lambda c: F.when(F.col(c).isNull(), "missing").otherwise("ok")
+    return joined.select(phase, state("_a").alias("baseline_status"), state("_b").alias("candidate_status"), a.alias("baseline_seconds"), b.alias("candidate_seconds"), (b - a).alias("delta_seconds"), ((b - a) / F.nullif(a, F.lit(0.0))).alias("delta_share"), (a / F.nullif(b, F.lit(0.0))).alias("speedup"))
+
+
 def evenly_spaced(df: DataFrame, order: Sequence[Column], most: int) -> DataFrame:
     """At most `most` rows at even distances in the order, first and last among them."""
     numbered = in_order(df, order, "_at")

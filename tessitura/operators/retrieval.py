@@ -106,6 +106,14 @@ def recall_at(found: DataFrame, relevant: DataFrame, query: str, item: str, plac
     return one.unpivot([], [str(k) for k in ks], "k", "recall").select(F.col("k").cast("long").alias("k"), "recall")
 
 
+def candidate_diagnostics(found: DataFrame, asked: DataFrame, query: str, item: str, catalogue: DataFrame) -> DataFrame:
+    """One row over the queries asked: their number, mean, least and most candidates (0 for a query without any), and the share of the catalogue that is a candidate of some query."""
+    per = asked.select(query).distinct().join(found.groupBy(query).agg(F.count(item).alias("_n")), query, "left").fillna(0, ["_n"])
+    depth = per.agg(F.count(F.lit(1)).alias("queries"), F.round(F.avg("_n"), 9).alias("mean_candidates"), F.min("_n").alias("least_candidates"), F.max("_n").alias("most_candidates"))
+    seen = catalogue.select(item).distinct().join(found.select(item).distinct().withColumn("_hit", F.lit(1)), item, "left")
+    return depth.join(seen.agg(F.round(F.avg(F.coalesce("_hit", F.lit(0))), 9).alias("catalogue_coverage")))
+
+
 def sign_codes(vectors: DataFrame, ident: str, vector: str, dims: int, bits: int, seed: int = 0) -> DataFrame:
     """(id, code): the side of `bits` random planes on which each vector lies; codes of close vectors agree in most bits."""
     planes = np.random.default_rng(seed).standard_normal((bits, dims))

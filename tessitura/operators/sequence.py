@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -139,6 +140,22 @@ def vocabulary(df: DataFrame, item: str, most: int) -> DataFrame:
     return top.withColumn("label", _count_before(Window.orderBy(item)))
 
 
+def with_vocabulary(df: DataFrame, order: Sequence[Column], item: str, most: int, share: float = 1.0) -> DataFrame:
+    """Rows whose item is among the `most` most frequent of the first share of the rows in a global order, with its label in order of name."""
+    rows = in_order(df, order, "_at")
+    n = rows.count()
+    words = vocabulary(rows.where(F.col("_at") < math.floor(n * share)), item, most)
+    return rows.join(words.select(item, "label"), item).drop("_at")
+
+
+def item_frequency(df: DataFrame, order: Sequence[Column], item: str) -> DataFrame:
+    """item_frequency: (earlier rows of the item + 1) / (earlier rows + different items), in one order over all rows, which is numbered range by range."""
+    rows = in_order(df, order, "_at")
+    size = df.select(item).distinct().count()
+    seen = _count_before(Window.partitionBy(item).orderBy("_at"))
+    return rows.withColumn("item_frequency", (seen + 1) / (F.col("_at") + size)).drop("_at")
+
+
 def windows_before(df: DataFrame, s: Stream, length: int, carried: Sequence[str] = ()) -> DataFrame:
     """Training rows: the `length` items before an event of the same session, the event's item as target, and columns of the row before it."""
     w = s.over("session_id")
