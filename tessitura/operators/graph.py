@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessitura.session import materialize
+
 
 def transitions(events: DataFrame, partition: Sequence[str], order: Sequence[str], node: str, *, allow_same: bool = False) -> DataFrame:
     """(source, target, n, out_share, in_share) of consecutive nodes within a partition, different ones unless allow_same."""
@@ -40,16 +44,52 @@ def dot(a: str, b: str):
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def top_neighbours(vectors: DataFrame, ident: str, vector: str, queries: DataFrame, k: int) -> DataFrame:
+def top_neighbours(vectors: DataFrame, ident: str, vector: str, queries: DataFrame, k: int, *, block: int = 4_096) -> DataFrame:
     """(query, neighbour, cosine, place): the k nearest of all rows for each of the given query rows, itself left out; of equals the smaller id.
 
-    The stated query set against all rows: queries are broadcast (a checked few), all rows are scanned once, and each
-    partition keeps its k best per query before the shuffle (window group limit).
+    The stated query set against all rows, in blocks: about `block` queries at a time, by a hash of their id, are sent to the
+    tasks as a matrix, which each batch of rows is multiplied with; a partition passes on its k best of each query. Ids are
+    numbers; null ids and vectors, and vectors of length 0, take no part.
     """
-    unit = lambda df, i, v: df.select(F.col(ident).alias(i), F.transform(vector, lambda x: x.cast("double") / F.sqrt(dot(vector, vector))).alias(v))
-    pairs = unit(vectors, "neighbour", "_v").join(F.broadcast(unit(queries, "query", "_q"))).where("query <> neighbour")
-    scored = pairs.select("query", "neighbour", F.round(dot("_v", "_q"), 9).alias("cosine"))
-    return scored.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("cosine"), "neighbour")).cast("long")).where(F.col("place") <= k)
+    kept = lambda df: df.select(F.col(ident).cast("long").alias("i"), F.col(vector).cast("array<double>").alias("v")).where("i is not null and v is not null and size(v) > 0")
+    rows, asked = kept(vectors), materialize(kept(queries), "asked")
+    blocks = max(1, -(-asked.count() // block))
+    found = None
+    for b in range(blocks):
+        part = asked.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b).toArrow()
+        if not part.num_rows:
+            continue
+        sent = vectors.sparkSession.sparkContext.broadcast((part["i"].to_numpy(), _units(np.stack(part["v"].to_numpy()))))
+
+        def nearest(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            ids, asked_ = sent.value
+            best = [np.zeros((len(ids), 0)), np.zeros((len(ids), 0), np.int64)]
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                mine = batch["i"].to_numpy()
+                units = _units(np.stack(batch["v"].to_numpy(zero_copy_only=False)))
+                cosine = np.round(asked_ @ units.T, 9)
+                cosine[(ids[:, None] == mine[None, :]) | ~np.isfinite(cosine)] = -np.inf
+                cosine, names = np.hstack([best[0], cosine]), np.hstack([best[1], np.broadcast_to(mine, (len(ids), len(mine)))])
+                # a row comes first by its cosine, of equals by its id
+                order = np.lexsort((names, -cosine), axis=1)[:, :k]
+                best = [np.take_along_axis(cosine, order, 1), np.take_along_axis(names, order, 1)]
+            score, name = best
+            there = np.isfinite(score)
+            query = np.broadcast_to(ids[:, None], score.shape)
+            yield from pa.table({"query": query[there], "neighbour": name[there], "cosine": score[there]}).to_batches(max_chunksize=10_000)
+
+        some = rows.mapInArrow(nearest, "query long, neighbour long, cosine double")
+        found = some if found is None else found.unionByName(some)
+    if found is None:
+        return vectors.sparkSession.createDataFrame([], "query long, neighbour long, cosine double, place long")
+    return found.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("cosine"), "neighbour")).cast("long")).where(F.col("place") <= k)
+
+
+def _units(vectors: np.ndarray) -> np.ndarray:
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return vectors / np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
 
 
 def beam(edges: DataFrame, start: str, depth: int, width: int) -> DataFrame:

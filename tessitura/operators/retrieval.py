@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessitura.operators import stripes
 from tessitura.operators.graph import dot
 from tessitura.operators.relations import in_order, until_stable
 
@@ -19,12 +20,23 @@ def popularity(interactions: DataFrame, session: str, item: str, k: int) -> Data
 
 
 def item_neighbours(interactions: DataFrame, session: str, item: str, k: int, shrink: float = 0.0) -> DataFrame:
-    """(item, neighbour, score, place): sessions with both over the root of the product of their numbers plus shrink; k best of each item."""
-    once = interactions.select(F.col(session).alias("_s"), F.col(item).alias("item")).distinct()
-    n = once.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
-    pairs = once.join(once.withColumnRenamed("item", "neighbour"), "_s").where("item <> neighbour").groupBy("item", "neighbour").agg(F.count(F.lit(1)).alias("c"))
-    scored = pairs.join(n, "item").join(n.select(F.col("item").alias("neighbour"), F.col("n").alias("m")), "neighbour")
-    scored = scored.select("item", "neighbour", F.round(F.col("c") / (F.sqrt(F.col("n").cast("double") * F.col("m")) + shrink), 9).alias("score"))
+    """(item, neighbour, score, place): sessions with both over the root of the product of their numbers plus shrink; k best of each item.
+
+    Pairs are counted by stripes, so that none is shuffled by itself; the arrays of items in over 1 of 200 sessions are
+    merged in blocks.
+    """
+    once = interactions.select(F.col(session).alias("_s"), F.col(item).alias("item")).where("_s is not null and item is not null").distinct()
+    items, seed = stripes.numbered(once.groupBy("item").agg(F.count(F.lit(1)).alias("n")), "item")
+    baskets = once.groupBy("_s").agg(F.collect_list(F.xxhash64("item", F.lit(seed))).alias("numbers"))
+    sessions = once.agg(F.count_distinct("_s").alias("_all"))
+    bits = (F.least(F.ceil(F.log2(F.col("n") * F.lit(200.0) / F.col("_all"))), F.lit(12)) + 3).cast("int")
+    often = items.join(F.broadcast(sessions)).where(F.col("n") * 200 > F.col("_all")).select("number", bits.alias("bits"))
+    counts = stripes.pair_counts(baskets, "numbers", 1, often)
+    side = lambda at, name, n: items.select(F.col("number").alias(at), F.col("item").alias(name), F.col("n").alias(n))
+    named = counts.join(side("low", "a", "na"), "low").join(side("high", "b", "nb"), "high")
+    ends = F.array(F.struct(F.col("a").alias("item"), F.col("b").alias("neighbour")), F.struct(F.col("b").alias("item"), F.col("a").alias("neighbour")))
+    score = F.round(F.col("n_ab") / (F.sqrt(F.col("na").cast("double") * F.col("nb")) + shrink), 9)
+    scored = named.select(F.explode(ends).alias("e"), score.alias("score")).select("e.item", "e.neighbour", "score")
     return scored.withColumn("place", F.row_number().over(Window.partitionBy("item").orderBy(F.desc("score"), "neighbour")).cast("long")).where(F.col("place") <= k)
 
 
@@ -33,14 +45,17 @@ def linear_autoencoder(interactions: DataFrame, session: str, item: str, *, pena
 
     The Gram matrix is counted in Spark and inverted on the driver: at most most_items items are allowed, more raise.
     """
-    once = interactions.select(F.col(session).alias("_s"), F.col(item).alias("item")).distinct()
-    names = [r["item"] for r in once.select("item").distinct().orderBy("item").limit(most_items + 1).collect()]
-    if len(names) > most_items:
+    once = interactions.select(F.col(session).alias("_s"), F.col(item).alias("item")).where("_s is not null and item is not null").distinct()
+    listed = once.groupBy("item").agg(F.count(F.lit(1)).alias("n")).orderBy("item").limit(most_items + 1).collect()
+    if len(listed) > most_items:
         raise ValueError(f"over {most_items} items")
-    at = {x: i for i, x in enumerate(names)}
-    gram = np.zeros((len(names), len(names)))
-    for a, b, c in once.join(once.withColumnRenamed("item", "other"), "_s").groupBy("item", "other").count().collect():
-        gram[at[a], at[b]] = c
+    names = [r["item"] for r in listed]
+    known = interactions.sparkSession.createDataFrame([(i, x) for i, x in enumerate(names)], f"number long, item {dict(interactions.dtypes)[item]}")
+    baskets = once.join(F.broadcast(known), "item").groupBy("_s").agg(F.collect_list("number").alias("numbers"))
+    gram = np.diag(np.array([r["n"] for r in listed], float)) if names else np.zeros((0, 0))
+    counts = stripes.pair_counts(baskets, "numbers").toArrow()
+    low, high = counts["low"].to_numpy(), counts["high"].to_numpy()
+    gram[low, high] = gram[high, low] = counts["n_ab"].to_numpy()
     inverse = np.linalg.inv(gram + penalty * np.eye(len(names)))
     weights = -inverse / np.diag(inverse)
     np.fill_diagonal(weights, 0.0)
@@ -158,10 +173,17 @@ def ranked_candidates(candidates: DataFrame, vectors: DataFrame, ident: str, vec
 
 
 def session_votes(history: DataFrame, current: DataFrame, session: str, item: str, k: int, neighbours: int) -> DataFrame:
-    """(session, item, votes, place): items of the `neighbours` past sessions that share most items (over the root of both sizes), summed."""
+    """(session, item, votes, place): items of the `neighbours` past sessions that share most items (over the root of both sizes), summed.
+
+    The past sessions of an item are spread over salts, one for every 50,000 of them, and the current ones are sent to
+    each, so that an item of any share of the sessions is joined in many tasks.
+    """
     past, now = (d.select(F.col(session).alias(s), item).distinct() for d, s in ((history, "_past"), (current, "_now")))
     sizes = lambda d, s, n: d.groupBy(s).agg(F.count(F.lit(1)).alias(n))
-    shared = now.join(past, item).groupBy("_now", "_past").agg(F.count(F.lit(1)).alias("c"))
+    parts = past.groupBy(item).agg(F.ceil(F.count(F.lit(1)) / 50_000).cast("int").alias("_parts"))
+    salted = past.join(parts, item).withColumn("_salt", F.pmod(F.xxhash64("_past"), F.col("_parts")).cast("int")).drop("_parts")
+    asked = now.join(parts, item).select("*", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_salt")).drop("_parts")
+    shared = asked.join(salted, [item, "_salt"]).groupBy("_now", "_past").agg(F.count(F.lit(1)).alias("c"))
     near = shared.join(sizes(past, "_past", "a"), "_past").join(sizes(now, "_now", "b"), "_now").where("_now <> _past")
     near = near.withColumn("s", F.round(F.col("c") / F.sqrt(F.col("a").cast("double") * F.col("b")), 9))
     near = near.withColumn("_r", F.row_number().over(Window.partitionBy("_now").orderBy(F.desc("s"), "_past"))).where(F.col("_r") <= neighbours)

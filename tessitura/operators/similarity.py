@@ -23,7 +23,7 @@ def rank_weighted_jaccard(left: DataFrame, right: DataFrame, group: Sequence[str
     """
     total = right.agg(F.sum(1 / F.col("rank")).alias("_all"))
     mine = left.groupBy(*group).agg(F.sum(1 / F.col("rank")).alias("_mine"))
-    both = left.select(*group, key, (1 / F.col("rank")).alias("_a")).join(F.broadcast(right.select(key, (1 / F.col("rank")).alias("_b"))), key)
+    both = left.select(*group, key, (1 / F.col("rank")).alias("_a")).join(right.select(key, (1 / F.col("rank")).alias("_b")), key)
     shared = both.groupBy(*group).agg(F.sum(F.least("_a", "_b")).alias("_min"), F.count(F.lit(1)).alias("shared"))
     joined = mine.join(shared, list(group), "left").join(F.broadcast(total)).fillna(0, ["_min", "shared"])
     return joined.select(*group, "shared", F.round(F.coalesce(F.col("_min") / F.nullif(F.col("_mine") + F.col("_all") - F.col("_min"), F.lit(0.0)), F.lit(0.0)), 9).alias("similarity"))

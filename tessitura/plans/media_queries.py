@@ -111,7 +111,7 @@ QUERIES = {{"p11_p12_media_events": "media_events"}.get(n, n): f for n, f in QUE
 _TRIM = lambda c: f"regexp_replace({c}, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')"
 _CLEAN = lambda c: f"CASE WHEN lower({_TRIM(c)}) NOT IN ('', 'nan', 'none', 'null') THEN {_TRIM(c)} END"
 _HX = SQL.replace("episode_uri,", "episode_uri, episode_name, episode_show_name, master_metadata_track_name, skipped, ms_played,")
-_M = f""", cl AS (SELECT *, {_CLEAN("artist_name")} AS ar, {_CLEAN("master_metadata_track_name")} AS tr, {_CLEAN("track_uri")} AS tu, {_CLEAN("episode_show_name")} AS sh, {_CLEAN("episode_name")} AS ep, {_CLEAN("episode_uri")} AS eu FROM {{0}}),
+_M = f""", cl AS (SELECT *, {_CLEAN("artist_name")} AS ar, {_CLEAN("master_metadata_track_name")} AS tr, {_CLEAN("track_uri")} AS tu, {_CLEAN("episode_show_name")} AS sh, {_CLEAN("episode_name")} AS ep, {_CLEAN("episode_uri")} AS eu FROM _RAW_),
 me AS (SELECT *, CASE WHEN coalesce(sh, ep, eu) IS NOT NULL THEN 'podcast' ELSE 'music' END AS media_family, CASE WHEN coalesce(sh, ep, eu) IS NOT NULL THEN 'show:' || lower(coalesce(sh, ep, eu)) ELSE 'artist:' || lower(coalesce(ar, tr, tu)) END AS node_key,
   CASE WHEN coalesce(sh, ep, eu) IS NOT NULL THEN CASE WHEN ep IS NOT NULL THEN 'episode' ELSE 'show' END ELSE CASE WHEN tr IS NOT NULL THEN 'track' ELSE 'artist' END END AS item_type,
   CASE WHEN coalesce(sh, ep, eu) IS NOT NULL THEN coalesce(eu, lower(coalesce(ep, sh, eu))) ELSE coalesce(tu, lower(coalesce(tr, ar, tu))) END AS item_id FROM cl WHERE coalesce(sh, ep, eu, ar, tr, tu) IS NOT NULL)
@@ -166,10 +166,10 @@ _TECH = {
 }
 
 ORACLE = {
-    "media_events": f"WITH {_HX}" + _M.format("h") + """SELECT event_id, media_family, node_key, item_type, item_type || ':' || item_id AS item_key, CASE WHEN lower(trim(skipped)) IN ('true', '1', 'yes', 'y', 't') THEN 'true' WHEN lower(trim(skipped)) IN ('false', '0', 'no', 'n', 'f') THEN 'false' WHEN lower(trim(reason_end)) IN ('fwdbtn', 'backbtn') THEN 'true' WHEN lower(trim(reason_end)) = 'trackdone' THEN 'false' END AS skip,
+    "media_events": f"WITH {_HX}" + _M.replace("_RAW_", "h") + """SELECT event_id, media_family, node_key, item_type, item_type || ':' || item_id AS item_key, CASE WHEN lower(trim(skipped)) IN ('true', '1', 'yes', 'y', 't') THEN 'true' WHEN lower(trim(skipped)) IN ('false', '0', 'no', 'n', 'f') THEN 'false' WHEN lower(trim(reason_end)) IN ('fwdbtn', 'backbtn') THEN 'true' WHEN lower(trim(reason_end)) = 'trackdone' THEN 'false' END AS skip,
   CASE WHEN ms_played >= 0 THEN ms_played END AS listened FROM me""",
     "w28_media_transitions": _SX
-    + _M.format("s")
+    + _M.replace("_RAW_", "s")
     + """, b AS (SELECT *, lag(node_key) OVER w AS sk, lag(media_family) OVER w AS sf FROM me WINDOW w AS (PARTITION BY user_id, session_id ORDER BY us, event_id))
 SELECT sk AS source_key, sf AS source_family, node_key AS target_key, media_family AS target_family, count(*) AS transition_count, CAST(sum(ms) AS BIGINT) AS target_ms, sf <> media_family AS cross_media FROM b WHERE sk IS NOT NULL AND sk <> node_key GROUP BY ALL""",
     "a48_seasons": _DAYS
