@@ -18,6 +18,7 @@ from tessitura.llm.encode import VOCABULARY, BytePairEncoder, count_tokens, enco
 from tessitura.llm.lookalike import Trie, consistent, consistent_form, glyphs, normal_form, same_look, signs
 from tessitura.llm.packing import best_fit_decreasing, pack
 from tessitura.llm.residue import ResidueModel, _named, _SIZE, _PLACE, _Vocabulary, find_residue, places, sentences, stretches, tokens, train_residue_model, weak_label
+from tessitura.operators import stripes
 
 BASKETS = "kind string, items array<string>, n long"
 
@@ -52,7 +53,7 @@ def test_pairs_match_plain_counting(spark, least, ratio):
 def test_pairs_in_small_parts_change_nothing(spark, monkeypatch):
     baskets = [*random_baskets(9, 300), ("q", [f"i{i}" for i in range(150)], 1), ("q", [f"i{i}" for i in range(100, 260)], 1)]
     for name, value in (("PAIRS_AT_ONCE", 500), ("ROW_ENTRIES", 3), ("HELD_ENTRIES", 10)):
-        monkeypatch.setattr(cooccur, name, value)
+        monkeypatch.setattr(stripes, name, value)
     found = cooccurrence(spark.createDataFrame(baskets, BASKETS), min_count=2, min_ratio=1)
     assert {(r["kind"], r["item_a"], r["item_b"], r["n_ab"]) for r in found.collect()} == plain_pairs(baskets, 2, 1)
 
