@@ -108,6 +108,10 @@ def listed(c: Column) -> Column:
     return F.filter(F.transform(F.coalesce(parts, F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
 
 
+#: The same in SQL, of the column put in.
+LISTED_SQL = "list_filter(list_transform(CASE WHEN trim({0}) LIKE '[%' THEN coalesce(TRY_CAST(TRY_CAST({0} AS JSON) AS VARCHAR[]), []) WHEN {0} IS NULL THEN [] ELSE string_split({0}, '|') END, lambda x: trim(x)), lambda x: x IS NOT NULL AND x <> '')"
+
+
 def label_by(value: Column, steps: Sequence[tuple[float, str]], rest: str) -> Column:
     """The label of the first threshold that the value reaches."""
     found = F.lit(rest)

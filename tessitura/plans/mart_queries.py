@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessitura.functions.scalars import leading, listed, similarity_label
+from tessitura.functions.scalars import LISTED_SQL, leading, listed, similarity_label
 from tessitura.operators import graph, relations, similarity
 from tessitura.operators.quality import history_quality
 from tessitura.plans.history import SQL, history
@@ -112,7 +112,7 @@ def a27_media_mix(spark: SparkSession, folder: str) -> DataFrame:
 def a32_fractional_shares(spark: SparkSession, folder: str) -> DataFrame:
     """Rows of opportunities spread evenly over the seed artists they name."""
     c = table(spark, folder, "creator_ranking_opportunities").dropDuplicates(["opportunity_id"]).withColumn("one", F.lit(1))
-    tags = c.select("opportunity_id", F.explode(listed(F.when(F.col("dominant_release_labels").rlike('^\\[(".*")?\\]$'), F.col("dominant_release_labels")))).alias("label"))
+    tags = c.select("opportunity_id", F.explode(listed(F.col("dominant_release_labels"))).alias("label"))
     return similarity.fractional_shares(c, tags, "opportunity_id", "label", "scene_name", "days_since_latest_release")
 
 
@@ -196,6 +196,14 @@ y AS (SELECT day, max(s) FILTER (scope = 'global') AS global, max(shared) FILTER
 """
 )
 
+_X = (
+    _H
+    + """, g AS (SELECT *, coalesce((us - lag(us) OVER w) / 1000000.0::DOUBLE, 0) AS gap FROM h WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id)),
+s0 AS (SELECT *, sum(CASE WHEN gap > 1800 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS session_id FROM g), s1 AS (SELECT * FROM s0 WHERE artist <> ''), a AS (SELECT DISTINCT artist FROM s1),
+p AS (SELECT lag(artist) OVER (PARTITION BY user_id, session_id ORDER BY us, event_id) AS source, artist AS target FROM s1), e AS (SELECT source, target, count(*) AS n FROM p WHERE source IS NOT NULL GROUP BY 1, 2)
+"""
+)
+
 ORACLE = {
     "a1_daily_activity": _H
     + """, m AS (SELECT day, platform FROM h WHERE platform IS NOT NULL GROUP BY day, platform QUALIFY row_number() OVER (PARTITION BY day ORDER BY count(*) DESC, platform) = 1),
@@ -228,7 +236,7 @@ SELECT o_orderpriority, CAST(day AS VARCHAR) AS day, round(z, 6) AS z, coalesce(
     "a33_weekly_mean": _H + ", d AS (SELECT user_id, day, avg(skip::INT) AS r, count(*) AS plays FROM h GROUP BY ALL) SELECT user_id, CAST(CAST(date_trunc('week', day) AS DATE) AS VARCHAR) AS week, round(sum(r * plays) / sum(plays), 9) AS skip_rate, CAST(sum(plays) AS BIGINT) AS plays FROM d GROUP BY ALL",
     "a27_media_mix": _H + " SELECT user_id, round(avg((media_type = 'music')::INT), 9) AS music_share, round(avg((media_type = 'podcast')::INT), 9) AS podcast_share, round(avg((media_type = 'other')::INT), 9) AS other_share, round(coalesce(sum(ms) FILTER (media_type = 'music'), 0)::DOUBLE / nullif(sum(ms), 0), 9) AS music_time_share FROM h GROUP BY user_id",
     "a32_fractional_shares": f"WITH {_C}"
-    + """, l AS (SELECT DISTINCT opportunity_id, trim(unnest(from_json(dominant_release_labels, '["VARCHAR"]'))) AS label FROM c WHERE regexp_matches(dominant_release_labels, '^\\[(".*")?\\]$')),
+    + """, l AS (SELECT DISTINCT opportunity_id, unnest(""" + LISTED_SQL.format("dominant_release_labels") + """) AS label FROM c),
 k AS (SELECT opportunity_id, label, 1.0::DOUBLE / count(*) OVER (PARTITION BY opportunity_id) AS w FROM l WHERE label <> '')
 SELECT label, round(sum(w), 6) AS events, round(sum(w * days_since_latest_release), 3) AS days_since_latest_release FROM k JOIN c USING (opportunity_id) GROUP BY label""",
     "a36_min_max": """SELECT s_suppkey, round((s_acctbal - min(s_acctbal) OVER ()) / (max(s_acctbal) OVER () - min(s_acctbal) OVER ()), 9) AS norm,
@@ -249,6 +257,10 @@ SELECT month, round(0.5 * sum(abs(d)), 9) AS shift, arg_min(platform, (-d, platf
     "w28_w29_transitions": _H
     + """, s AS (SELECT lag(artist) OVER (PARTITION BY user_id ORDER BY us, event_id) AS source, artist AS target FROM h WHERE artist <> ''), n AS (SELECT source, target, count(*) AS n FROM s WHERE source IS NOT NULL AND source <> target GROUP BY ALL),
 x AS (SELECT *, round(n::DOUBLE / sum(n) OVER (PARTITION BY source), 9) AS out_share, round(n::DOUBLE / sum(n) OVER (PARTITION BY target), 9) AS in_share FROM n) SELECT * FROM x WHERE n >= 2""",
+    "w28_w29_session_transitions": _X + "SELECT *, round(n::DOUBLE / sum(n) OVER (PARTITION BY source), 9) AS out_share, round(n::DOUBLE / sum(n) OVER (PARTITION BY target), 9) AS in_share FROM (SELECT source, target, n FROM e WHERE source <> target)",
+    "w30_artist_profile": _X
+    + """, o AS (SELECT source, sum(n) AS n, count(*) AS t, sum((n + 1) * ln(n + 1)) AS l FROM e GROUP BY 1), i AS (SELECT target, sum(n) AS n FROM e GROUP BY 1), v AS (SELECT count(*) AS v FROM a)
+SELECT a.artist, CAST(coalesce(o.n, 0) AS BIGINT) AS "out", CAST(coalesce(i.n, 0) AS BIGINT) AS "in", coalesce(o.t, 0) AS targets, round(CASE WHEN o.n IS NULL THEN ln(v) ELSE ln(o.n + v) - o.l / (o.n + v) END, 9) AS entropy FROM a LEFT JOIN o ON o.source = a.artist LEFT JOIN i ON i.target = a.artist, v""",
     "w30_node_profile": _H
     + """, s AS (SELECT lag(platform) OVER (PARTITION BY user_id ORDER BY us, event_id) AS source, platform AS target FROM h WHERE platform IS NOT NULL), n AS (SELECT source, target, count(*) AS n FROM s WHERE source IS NOT NULL GROUP BY ALL)
 SELECT source, CAST(sum(n) AS BIGINT) AS "out", count(*) AS targets, round(ln(sum(n) + 12) - sum((n + 1) * ln(n + 1)) / (sum(n) + 12), 9) AS entropy FROM n GROUP BY source""",

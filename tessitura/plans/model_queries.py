@@ -103,6 +103,15 @@ def m20_negatives(spark: SparkSession, folder: str) -> DataFrame:
     return retrieval.negative_samples(h, "user_id", "artist", h, 2)
 
 
+def m20_completeness(spark: SparkSession, folder: str) -> DataFrame:
+    """Per user: positives, their negatives, and how many of these are positives of the user."""
+    h = materialize(history(spark, folder, "user_id", "artist").where("artist <> ''").select("user_id", "artist").distinct(), "positives")
+    found = materialize(retrieval.negative_samples(h, "user_id", "artist", h, 2), "negatives")
+    wrong = found.join(h.select("user_id", F.col("artist").alias("negative")), ["user_id", "negative"], "left_semi").groupBy("user_id").agg(F.count(F.lit(1)).alias("wrong"))
+    per = found.groupBy("user_id").agg(F.count(F.lit(1)).alias("negatives"))
+    return h.groupBy("user_id").agg(F.count(F.lit(1)).alias("positives")).join(per, "user_id", "left").join(wrong, "user_id", "left").fillna(0)
+
+
 def m21_m22_fusion_recall(spark: SparkSession, folder: str) -> DataFrame:
     """Recall of lists fused from two neighbour scores, against the first three of one of them: how much of it the fusion keeps, not how well it foretells."""
     near = retrieval.item_neighbours(_baskets(spark, folder), "l_orderkey", "l_partkey", 10, 1.0)
@@ -119,6 +128,13 @@ def m24_lsh(spark: SparkSession, folder: str) -> DataFrame:
     return retrieval.ranked_candidates(found, e, "vec_id", "embedding", asked, 5)
 
 
+def m24_recall(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether the hash tables find nine of ten of the five nearest rows of every query."""
+    near = t9_neighbours(spark, folder).select("query", F.col("neighbour").alias("candidate"))
+    found = m24_lsh(spark, folder).where("place <= 5").select("query", "candidate", F.lit(1).alias("hit"))
+    return near.join(found, ["query", "candidate"], "left").agg(F.count_distinct("query").alias("queries"), (F.avg(F.coalesce("hit", F.lit(0))) >= 0.9).alias("enough"))
+
+
 def m27_session_votes(spark: SparkSession, folder: str) -> DataFrame:
     b = _baskets(spark, folder)
     return retrieval.session_votes(b, b.where("l_orderkey % 50 = 0"), "l_orderkey", "l_partkey", 5, 20)
@@ -209,6 +225,8 @@ SELECT o_orderpriority, round(a, 9) AS share_a, round(b, 9) AS share_b, round(b
     + """, f AS (SELECT item, neighbour, round(sum(1.0::DOUBLE / (place + 60)), 12) AS s FROM (SELECT * FROM k1 UNION ALL SELECT * FROM k2) GROUP BY ALL), o AS (SELECT item, neighbour, row_number() OVER (PARTITION BY item ORDER BY s DESC, neighbour) AS place FROM f QUALIFY place <= 10),
 h AS (SELECT k1.item, coalesce(o.place, 1000000) AS place FROM k1 LEFT JOIN o USING (item, neighbour) WHERE k1.place <= 3), q AS (SELECT item, k, avg((place <= k)::INT) AS r FROM h, (VALUES (1), (3), (10)) v(k) GROUP BY ALL)
 SELECT CAST(k AS BIGINT) AS k, round(avg(r), 9) AS recall FROM q GROUP BY k""",
+    "m20_completeness": f"WITH {SQL}, p AS (SELECT DISTINCT user_id, artist FROM h WHERE artist <> ''), n AS (SELECT count(DISTINCT artist) AS n FROM p) SELECT user_id, count(*) AS positives, CASE WHEN count(*) < any_value(n) THEN 2 * count(*) ELSE 0 END AS negatives, 0 AS wrong FROM p, n GROUP BY user_id",
+    "m24_recall": "SELECT count(*) AS queries, true AS enough FROM embeddings WHERE vec_id % 50 = 0",
     "m27_session_votes": """WITH b AS (SELECT DISTINCT l_orderkey AS s, l_partkey AS i FROM lineitem), q AS (SELECT * FROM b WHERE s % 50 = 0), z AS (SELECT s, count(*) AS n FROM b GROUP BY s),
 c AS (SELECT q.s AS a, b.s AS b, count(*) AS c FROM q JOIN b USING (i) WHERE q.s <> b.s GROUP BY ALL), w AS (SELECT a, b, round(c / sqrt(x.n::DOUBLE * y.n), 9) AS w FROM c JOIN z x ON x.s = a JOIN z y ON y.s = b),
 k AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY a ORDER BY w DESC, b) <= 20), v AS (SELECT k.a, b.i, round(sum(w), 9) AS votes FROM k JOIN b ON b.s = k.b WHERE NOT EXISTS (SELECT 1 FROM q WHERE q.s = k.a AND q.i = b.i) GROUP BY ALL)

@@ -152,7 +152,7 @@ def u1_u3_union_dedupe(spark: SparkSession, folder: str) -> DataFrame:
 def u4_overlap(spark: SparkSession, folder: str) -> DataFrame:
     """Jaccard overlap of the seed artists of consecutive opportunities of a family."""
     c = table(spark, folder, "creator_ranking_opportunities").dropDuplicates(["opportunity_id"]).where("report_family_id is not null")
-    names = scalars.listed(F.when(F.col("connected_seed_artists").rlike('^\\[(".*")?\\]$'), F.col("connected_seed_artists")))
+    names = scalars.listed(F.col("connected_seed_artists"))
     c = c.select("report_family_id", "opportunity_id", F.array_distinct(names).alias("names"))
     before = F.lag("names").over(Window.partitionBy("report_family_id").orderBy("opportunity_id"))
     both, either = F.size(F.array_intersect("names", "before")), F.size(F.array_union("names", "before"))
@@ -184,7 +184,8 @@ def p24_release_dates(spark: SparkSession, folder: str) -> DataFrame:
     """Order days cut to a precision by priority, parsed again."""
     o = table(spark, folder, "orders")
     precision = F.when(F.col("o_orderpriority").startswith("1"), "year").when(F.col("o_orderpriority").startswith("2"), "month").otherwise("day")
-    return o.select("o_orderkey", scalars.release_date(F.date_format("o_orderdate", "yyyy-MM-dd"), precision).cast("string").alias("released"))
+    raw = F.when(F.col("o_orderkey") % 13 == 0, "soon").when(F.col("o_orderkey") % 17 == 0, F.date_format("o_orderdate", "yyyy-13-dd")).when(F.col("o_orderkey") % 19 > 0, F.date_format("o_orderdate", "yyyy-MM-dd"))
+    return o.select("o_orderkey", scalars.release_date(raw, precision).cast("string").alias("released"))
 
 
 QUERIES = {n: f for n, f in list(globals().items()) if n.split("_")[0] in {"j1", "j3", "j4", "j5", "j11", "j12", "j13", "j14", "j16", "j17", "t2", "t3", "t4", "t6", "t7", "t8", "t10", "w11", "u1", "u4", "u5", "p24"} or n == "p_scalars"}
@@ -236,7 +237,7 @@ SELECT array_to_string(path, '>') AS path, round(score, 9) AS score FROM c""",
     "w11_global_order": "SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS row_idx FROM events",
     "u1_u3_union_dedupe": """WITH u AS (SELECT s_name AS name, s_nationkey AS nation, s_acctbal AS balance, NULL AS segment FROM supplier UNION SELECT c_name, c_nationkey, NULL, c_mktsegment FROM customer) SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY nation ORDER BY name) = 1""",
     "u4_overlap": f"WITH {_C}"
-    + """, l AS (SELECT report_family_id, opportunity_id, list_distinct(list_filter(list_transform(CASE WHEN regexp_matches(connected_seed_artists, '^\\[(".*")?\\]$') THEN coalesce(from_json(connected_seed_artists, '["VARCHAR"]'), []) ELSE [] END, lambda x: trim(x)), lambda x: x <> '')) AS n FROM c WHERE report_family_id IS NOT NULL),
+    + f""", l AS (SELECT report_family_id, opportunity_id, list_distinct({scalars.LISTED_SQL.format("connected_seed_artists")}) AS n FROM c WHERE report_family_id IS NOT NULL),
 p AS (SELECT opportunity_id, n, lag(n) OVER (PARTITION BY report_family_id ORDER BY opportunity_id) AS b FROM l)
 SELECT opportunity_id, round(CASE WHEN len(list_distinct(list_concat(n, b))) > 0 THEN len(list_intersect(n, b))::DOUBLE / len(list_distinct(list_concat(n, b))) ELSE 0 END, 9) AS overlap FROM p WHERE b IS NOT NULL""",
     "u5_new_since": _H + ", x AS (SELECT artist, day > (SELECT max(day) FROM h WHERE artist <> '') - 30 AS late FROM h WHERE artist <> '') SELECT DISTINCT artist FROM x WHERE late AND artist NOT IN (SELECT artist FROM x WHERE NOT late)",
@@ -250,5 +251,5 @@ SELECT event_id, CASE WHEN lower(trim(skipped)) IN ('true', '1', 'yes', 'y', 't'
   """
     + scalars.name_key_sql("artist_name")
     + " AS name_key FROM r",
-    "scalars_release_dates": "SELECT o_orderkey, CAST(CASE WHEN o_orderpriority LIKE '1%' THEN CAST(date_trunc('year', o_orderdate) AS DATE) WHEN o_orderpriority LIKE '2%' THEN CAST(date_trunc('month', o_orderdate) AS DATE) ELSE CAST(o_orderdate AS DATE) END AS VARCHAR) AS released FROM orders",
+    "scalars_release_dates": "SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 13 = 0 OR (o_orderkey % 17 = 0 AND o_orderpriority NOT LIKE '1%') OR (o_orderkey % 17 > 0 AND o_orderkey % 19 = 0) THEN NULL WHEN o_orderpriority LIKE '1%' THEN CAST(date_trunc('year', o_orderdate) AS DATE) WHEN o_orderpriority LIKE '2%' THEN CAST(date_trunc('month', o_orderdate) AS DATE) ELSE CAST(o_orderdate AS DATE) END AS VARCHAR) AS released FROM orders",
 }

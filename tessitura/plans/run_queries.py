@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessitura.functions.scalars import LISTED_SQL
 from tessitura.operators import runs
 from tessitura.plans.views import register_views
 from tessitura.tables import table
@@ -179,7 +180,7 @@ def _clean(c: str) -> str:
     return f"CASE WHEN isnan({c}) THEN NULL ELSE {c} END"
 
 
-_LIST = "list_filter(list_transform(CASE WHEN trim({0}) LIKE '[%' THEN coalesce(TRY_CAST(TRY_CAST({0} AS JSON) AS VARCHAR[]), []) WHEN {0} IS NULL THEN [] ELSE string_split({0}, '|') END, lambda x: trim(x)), lambda x: x IS NOT NULL AND x <> '')"
+_LIST = LISTED_SQL
 _SCORES = ("opportunity_score", "scene_local_play_share", "scene_release_pressure", "fan_migration_score", "release_whitespace_score", "local_gap_score", "scene_momentum_score")
 _O = f"""WITH o AS (SELECT DISTINCT * EXCLUDE (generated_at) REPLACE ({", ".join(f"{_clean(c)} AS {c}" for c in _SCORES)}) FROM creator_ranking_opportunities),
 c AS (SELECT report_family_id, scene_name, count(*) FILTER (opportunity_band = 'priority_now') AS priority_now_count, count(*) FILTER (opportunity_band = 'watchlist') AS watchlist_count, avg(opportunity_score) AS avg_opportunity_score, max(opportunity_score) AS top_opportunity_score,

@@ -57,10 +57,22 @@ def t5_daily_trend(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def a34_narratives(spark: SparkSession, folder: str) -> DataFrame:
-    return narratives(daily_comparison(spark, folder)).drop("headline", "caveat")
+    return narratives(daily_comparison(spark, folder))
 
 
-QUERIES = {f.__name__: f for f in (a28_daily_comparison, a21_summary, a22_values, t5_daily_trend, a34_narratives)}
+def a21_summary_of_all(spark: SparkSession, folder: str) -> DataFrame:
+    return _service(spark, folder).summary()
+
+
+def a22_date_range(spark: SparkSession, folder: str) -> DataFrame:
+    return _service(spark, folder).date_range().select(*(F.col(c).cast("string").alias(c) for c in ("first", "last")))
+
+
+def t5_trend_of_all(spark: SparkSession, folder: str) -> DataFrame:
+    return _service(spark, folder).daily_trend().select(F.col("listening_date").cast("string").alias("listening_date"), "dimension", "event_count", "closer_scope")
+
+
+QUERIES = {f.__name__: f for f in (a28_daily_comparison, a21_summary, a21_summary_of_all, a22_values, a22_date_range, t5_daily_trend, t5_trend_of_all, a34_narratives)}
 
 _K = "regexp_replace(lower({}), '[^a-z0-9]', '', 'g')"
 _D = (
@@ -83,11 +95,18 @@ ORACLE = {
     "a21_summary": _D
     + f"""SELECT count(DISTINCT listening_date) AS days, CAST(coalesce(sum(event_count), 0) AS BIGINT) AS events, round(coalesce(sum(duration_minutes), 0), 6) AS minutes, round(coalesce(avg(global_similarity), 0), 9) AS mean_global,
   round(coalesce(avg(united_states_similarity), 0), 9) AS mean_united_states, round(max(greatest(global_similarity, united_states_similarity)), 9) AS best, count(*) FILTER (closer_scope = 'global') AS closer_global FROM d {_W}""",
+    "a21_summary_of_all": _D
+    + """SELECT count(DISTINCT listening_date) AS days, CAST(coalesce(sum(event_count), 0) AS BIGINT) AS events, round(coalesce(sum(duration_minutes), 0), 6) AS minutes, round(coalesce(avg(global_similarity), 0), 9) AS mean_global,
+  round(coalesce(avg(united_states_similarity), 0), 9) AS mean_united_states, round(max(greatest(global_similarity, united_states_similarity)), 9) AS best, count(*) FILTER (closer_scope = 'global') AS closer_global FROM d""",
+    "a22_date_range": _D + "SELECT min(listening_date) AS first, max(listening_date) AS last FROM d",
+    "t5_trend_of_all": _D + "SELECT listening_date, dimension, event_count, closer_scope FROM d",
     "a22_values": _D + "SELECT DISTINCT closer_scope FROM d",
     "t5_daily_trend": _D + f"SELECT listening_date, event_count, global_similarity FROM d {_W}",
     "a34_narratives": _D
     + """, x AS (SELECT listening_date, dimension, 'global' AS scope, global_similarity AS v FROM d UNION ALL SELECT listening_date, dimension, 'united_states', united_states_similarity FROM d), m AS (SELECT listening_date, max(v) AS best FROM x GROUP BY 1),
 e AS (SELECT listening_date, CAST(sum(event_count) AS BIGINT) AS events FROM d GROUP BY 1)
-SELECT listening_date, any_value(best) AS similarity, array_to_string(list_sort(list(DISTINCT scope)), '|') AS scopes, array_to_string(list_sort(list(DISTINCT dimension)), '|') AS dimensions, any_value(events) AS events
+SELECT listening_date, any_value(best) AS similarity, array_to_string(list_sort(list(DISTINCT scope)), '|') AS scopes, array_to_string(list_sort(list(DISTINCT dimension)), '|') AS dimensions, any_value(events) AS events,
+  'Closest to ' || array_to_string(list_sort(list(DISTINCT scope)), ' and ') || ' in ' || array_to_string(list_sort(list(DISTINCT dimension)), ', ') || ' (' || format('{:.2f}', round(any_value(best), 2)) || ') over ' || any_value(events) || ' plays' AS headline,
+  CASE WHEN any_value(events) < 10 THEN 'few plays' WHEN count(DISTINCT scope) > 1 THEN 'both lists are equally close' ELSE '' END AS caveat
 FROM x JOIN m USING (listening_date) JOIN e USING (listening_date) WHERE best - v <= 1e-12 GROUP BY listening_date""",
 }

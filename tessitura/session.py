@@ -7,7 +7,6 @@ import logging
 import shutil
 import tempfile
 import uuid
-import weakref
 import zipfile
 from pathlib import Path
 
@@ -52,20 +51,26 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     read one result. The files stay until release() of the result, forget() or the end of the driver.
     """
     spark = df.sparkSession
+    path = scratch(spark, name)
+    df.write.parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._tessitura_path = path
+    return found
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that is not there yet; what is written to it goes at the end of the driver."""
     path = f"{shared_folder(spark)}/tessitura/{name}-{uuid.uuid4().hex}"
     if not _written:
         atexit.register(forget, spark)
     _written.add(path)
-    df.write.parquet(path)
-    found = spark.read.schema(df.schema).parquet(path)
-    _path_of[id(found)] = (weakref.ref(found), path)
-    return found
+    return path
 
 
 def release(df: DataFrame) -> None:
     """Delete what materialize() wrote for this very result; nothing may read it any more."""
-    of, path = _path_of.pop(id(df), (None, None))
-    if of is not None and of() is df:
+    path = getattr(df, "_tessitura_path", None)
+    if path in _written:
         _delete(df.sparkSession, path)
 
 
@@ -85,7 +90,6 @@ def forget(spark: SparkSession) -> None:
 
 
 _written: set[str] = set()
-_path_of: dict[int, tuple[weakref.ref, str]] = {}
 _shipped: set[str] = set()
 
 

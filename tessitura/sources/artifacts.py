@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessitura.sources import files
 from tessitura.sources.shapes import align
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Rows of a CSV file with header, columns by name; a missing file gives none, broken lines are skipped, bad values are null."""
-    if not Path(path).exists():
+    if not files.exists(spark, path):
         return spark.createDataFrame([], schema)
     rows = spark.read.option("header", True).option("mode", "DROPMALFORMED").option("enforceSchema", False).csv(path)
     return align(rows, schema)

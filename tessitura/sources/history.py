@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessitura.functions.scalars import content_type, truth
+from tessitura.operators.rolling import utc_day
 
 # File names and columns of the export format.
 AUDIO_FILES, VIDEO_FILES = "Streaming_History_Audio_*.json", "Streaming_History_Video_*.json"
@@ -63,10 +64,23 @@ def read_history(spark: SparkSession, paths: Sequence[str], service: str) -> Dat
 
 
 def bronze_history(events: DataFrame) -> DataFrame:
-    """Events with a readable time: played_at (UTC), year, month, content_type; ts dropped."""
+    """Events with a readable time: played_at (UTC), year, month, content_type (track, if there is no column of URIs at all); ts dropped."""
     rows = events.withColumn("played_at", F.try_to_timestamp("ts")).where("played_at is not null").drop("ts")
-    kind = content_type(audiobook=F.coalesce("audiobook_uri", "audiobook_chapter_uri"), episode=F.col("episode_uri"), track=F.col("track_uri"))
-    return rows.withColumns({"year": F.year("played_at"), "month": F.month("played_at"), "content_type": kind})
+    named = {"audiobook": ["audiobook_uri", "audiobook_chapter_uri"], "episode": ["episode_uri"], "track": ["track_uri"]}
+    there = {n: [F.nullif(F.trim(c), F.lit("")) for c in cs if c in rows.columns] for n, cs in named.items()}
+    uris = {n: F.coalesce(*cs) for n, cs in there.items() if cs}
+    day = F.date_from_unix_date(utc_day("played_at"))
+    return rows.withColumns({"year": F.year(day), "month": F.month(day), "content_type": content_type(**uris) if uris else F.lit("track")})
+
+
+def load_history(spark: SparkSession, root: str, service: str, include_video: bool = False) -> tuple[DataFrame, dict[str, int]]:
+    """The history below a folder, and how many files, bytes and records it has; no records raise."""
+    paths = find_history_files(root, include_video)
+    events = read_history(spark, paths, service)
+    stats = {"files": len(paths), "bytes": file_sizes(paths), "records": events.count()}
+    if not stats["records"]:
+        raise ValueError(f"no records below {root}")
+    return events, stats
 
 
 def file_sizes(paths: Sequence[str]) -> int:

@@ -36,8 +36,8 @@ class Format:
 
 
 # The layouts of six public datasets.
-TASTE_PROFILE = Format("taste_profile", {"user_id": ["user"], "item_id": ["song"], "interaction_value": ["plays", "play_count"]}, ["user_id", "item_id"], "\t", ["user", "song", "plays"], constant={"event_type": "play_count"})
-LISTENING_LOGS = Format("listening_logs", {"user_id": ["user"], "timestamp": ["time"], "item_id": ["track_id", "track"], "artist_id": ["artist"], "album_id": ["album"]}, ["user_id", "item_id"], "\t", ["user_id", "artist_id", "album_id", "track_id", "timestamp"], time="s", constant={"event_type": "listen"})
+TASTE_PROFILE = Format("taste_profile", {"user_id": ["user"], "item_id": ["song"], "interaction_value": ["plays", "play_count"]}, ["user_id", "item_id", "interaction_value"], "\t", ["user", "song", "plays"], constant={"event_type": "play_count", "explicit_positive": "true"})
+LISTENING_LOGS = Format("listening_logs", {"user_id": ["user"], "timestamp": ["time"], "item_id": ["track_id", "track"], "artist_id": ["artist"], "album_id": ["album"]}, ["user_id", "item_id", "timestamp"], "\t", ["user_id", "artist_id", "album_id", "track_id", "timestamp"], time="s", constant={"event_type": "listen"})
 PLAY_EVENTS = Format("play_events", {"user_id": ["user"], "item_id": ["song", "track_id"], "timestamp": ["time"], "interaction_value": ["count", "plays"]}, ["user_id", "item_id"], "\t", constant={"event_type": "listen"})
 TRACK_TABLE = Format("track_table", {"item_id": ["track_id", "id"], "item_name": ["track_title", "title"], "artist_name": ["artist"], "album_name": ["album_title"], "genres": ["track_genres", "genre"], "duration_ms": ["track_duration", "duration"]}, ["item_id"], header_rows=2, scale={"duration_ms": 1000.0})
 POLICY_LOGS = Format("policy_logs", {"user_id": ["user"], "item_id": ["video_id", "item"], "timestamp": ["time_ms"], "dwell_ms": ["play_time_ms"], "reward": ["is_click", "click"], "explicit_positive": ["is_like"]}, ["user_id", "item_id"], time="ms", constant={"event_type": "exposure"})

@@ -36,22 +36,27 @@ def plain_name(name: str) -> str:
 
 
 def resolve_columns(columns: Sequence[str], aliases: Mapping[str, Sequence[str]], required: Sequence[str], explicit: Mapping[str, str] | None = None) -> dict[str, str]:
-    """Canonical name -> column: the explicit choice, else the first alias found (case and punctuation apart). A missing required one raises."""
-    by_plain: dict[str, str] = {}
-    for c in columns:
-        by_plain.setdefault(plain_name(c), c)
+    """Which column each canonical name is read from.
+
+    A choice made by hand stands before the name itself and its aliases, which are tried in turn and compared without case
+    and punctuation. All that is wrong is told at once: choices for names that are none, choices of columns that aren't
+    there, and required names without a column.
+    """
+    chosen = dict(explicit or {})
+    wrong = [f"{name} is no canonical name" for name in chosen if name not in aliases]
+    wrong += [f"no column {column} for {name}" for name, column in chosen.items() if name in aliases and column not in columns]
+    ranks = {column: rank for rank, column in reversed(list(enumerate(map(plain_name, columns))))}
     found = {}
-    for name, choices in aliases.items():
-        if explicit and name in explicit:
-            if explicit[name] not in columns:
-                raise ValueError(f"no column {explicit[name]} for {name}")
-            found[name] = explicit[name]
-            continue
-        hit = next((by_plain[plain_name(c)] for c in (name, *choices) if plain_name(c) in by_plain), None)
-        if hit is not None:
-            found[name] = hit
+    for name, others in aliases.items():
+        tried = [] if name in chosen else [ranks[p] for p in map(plain_name, (name, *others)) if p in ranks]
+        if name in chosen:
+            found[name] = chosen[name]
+        elif tried:
+            found[name] = columns[tried[0]]
         elif name in required:
-            raise ValueError(f"no column for {name}; tried {', '.join(choices)}")
+            wrong.append(f"no column for {name}; tried {', '.join((name, *others))}")
+    if wrong:
+        raise ValueError("; ".join(wrong))
     return found
 
 

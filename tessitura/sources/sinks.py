@@ -87,21 +87,32 @@ def ddl(name: str, schema: T.StructType, location: str, partitions: Sequence[str
     return text + f"\nSTORED AS PARQUET\nLOCATION '{location}';\n" + (f"MSCK REPAIR TABLE `{name}`;\n" if parts else "")
 
 
-def export_bundle(folder: str, tables: Mapping[str, DataFrame], schemas: Mapping[str, T.StructType], partitions: Mapping[str, Sequence[str]], raw_files: Sequence[str] = (), location: str = "s3://bucket/prefix") -> dict:
-    """A fresh folder with raw copies, every table cast to its schema, the DDL and a report, which is returned."""
-    shutil.rmtree(folder, ignore_errors=True)
-    os.makedirs(f"{folder}/raw")
-    for f in raw_files:
-        shutil.copy(f, f"{folder}/raw/")
-    report: dict = {"raw_files": len(raw_files), "tables": {}}
-    statements = []
+def export_tables(folder: str, tables: Mapping[str, DataFrame], schemas: Mapping[str, T.StructType], partitions: Mapping[str, Sequence[str]]) -> dict[str, int]:
+    """Every table cast to its schema below folder/curated, on any file system; rows by table, counted after writing."""
+    counts = {}
     for name, df in sorted(tables.items()):
         by = partitions.get(name, ())
         cast = align(df, schemas[name])
         path = f"{folder}/curated/{name}"
         write_partitioned(cast, path, by) if by else cast.write.parquet(path)
-        statements.append(ddl(name, schemas[name], f"{location}/curated/{name}", by))
-        report["tables"][name] = df.sparkSession.read.schema(schemas[name]).parquet(path).agg(F.count(F.lit(1))).first()[0]
+        counts[name] = df.sparkSession.read.schema(schemas[name]).parquet(path).agg(F.count(F.lit(1))).first()[0]
+    return counts
+
+
+def export_bundle(folder: str, tables: Mapping[str, DataFrame], schemas: Mapping[str, T.StructType], partitions: Mapping[str, Sequence[str]], raw_files: Sequence[str] = (), location: str = "s3://bucket/prefix") -> dict:
+    """A fresh local folder with raw copies, every table cast to its schema, the DDL and a report, which is returned.
+
+    A folder that is there is only replaced if it is such a bundle (it has a report) or empty.
+    """
+    if os.path.isdir(folder) and os.listdir(folder) and not os.path.exists(f"{folder}/report.json"):
+        raise ValueError(f"{folder} holds something else")
+    shutil.rmtree(folder, ignore_errors=True)
+    os.makedirs(f"{folder}/raw")
+    for f in raw_files:
+        shutil.copy(f, f"{folder}/raw/")
+    counts = export_tables(folder, tables, schemas, partitions)
+    report: dict = {"raw_files": len(raw_files), "tables": counts}
+    statements = [ddl(name, schemas[name], f"{location}/curated/{name}", partitions.get(name, ())) for name in counts]
     write_if_changed(f"{folder}/ddl.sql", "\n".join(statements))
     write_if_changed(f"{folder}/report.json", json.dumps(report, indent=2, sort_keys=True))
     return report
