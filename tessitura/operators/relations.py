@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable, Sequence
 from functools import reduce
 
@@ -9,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessitura.session import materialize, release
+from tessitura.sources import files
 
 
 def mode_of(df: DataFrame, keys: Sequence[str], value: str, into: str) -> DataFrame:
@@ -205,3 +208,21 @@ def until_stable(df: DataFrame, step: Callable[[DataFrame], DataFrame]) -> DataF
             return now
         release(now)
         now, n = after, left
+
+
+def inbox(rows: DataFrame, key: str, path: str) -> DataFrame:
+    """Rows whose key an earlier call with this path has not seen; their keys are then known.
+
+    The state is a Parquet folder of keys by call, and a file that names the calls that count, replaced in one step.
+    """
+    spark = rows.sparkSession
+    text = files.read_text(spark, f"{path}/current")
+    calls = json.loads(text) if text else []
+    new = rows.where(F.col(key).isNotNull())
+    if calls:
+        new = new.join(spark.read.parquet(*(f"{path}/{c}" for c in calls)), key, "left_anti")
+    found = materialize(new, "inbox")
+    name = f"call-{len(calls)}-{uuid.uuid4().hex}"
+    found.select(key).distinct().write.parquet(f"{path}/{name}")
+    files.replace_text(spark, f"{path}/current", json.dumps([*calls, name]))
+    return found

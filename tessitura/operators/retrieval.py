@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import Protocol
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -11,6 +12,39 @@ from pyspark.sql import functions as F
 from tessitura.operators import stripes
 from tessitura.operators.graph import dot
 from tessitura.operators.relations import in_order, until_stable
+from tessitura.session import materialize
+
+
+class Retriever(Protocol):
+    """What finds candidates: fit() on interactions, then candidates() as (query, item, place) for the histories (query, item) given."""
+
+    def fit(self, interactions: DataFrame) -> Retriever: ...
+
+    def candidates(self, histories: DataFrame, k: int) -> DataFrame: ...
+
+
+class NeighbourRetriever:
+    """Candidates by the sum of item_neighbours() scores of a history's items, those in it left out; ties by item."""
+
+    def __init__(self, session: str, item: str, width: int = 20, shrink: float = 1.0) -> None:
+        self.session, self.item, self.width, self.shrink = session, item, width, shrink
+
+    def fit(self, interactions: DataFrame) -> NeighbourRetriever:
+        self.near = materialize(item_neighbours(interactions, self.session, self.item, self.width, self.shrink), "near")
+        return self
+
+    def candidates(self, histories: DataFrame, k: int) -> DataFrame:
+        had = histories.select(F.col(self.session).alias("query"), F.col(self.item).alias("item")).distinct()
+        votes = had.join(self.near, "item").groupBy("query", F.col("neighbour").alias("candidate")).agg(F.round(F.sum("score"), 9).alias("score"))
+        new = votes.join(had.withColumnRenamed("item", "candidate"), ["query", "candidate"], "left_anti")
+        place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "candidate")).cast("long")
+        return new.withColumn("place", place).where(F.col("place") <= k).withColumnRenamed("candidate", "item")
+
+
+def evaluate_retriever(retriever: Retriever, histories: DataFrame, truths: DataFrame, session: str, item: str, k: int, catalogue: DataFrame) -> DataFrame:
+    """One row: recall at k of a fitted retriever on held-out items, and diagnostics of its candidates."""
+    found = materialize(retriever.candidates(histories, k).withColumnsRenamed({"query": session, "item": item}), "candidates")
+    return recall_at(found, truths, session, item, "place", [k]).select("recall").join(candidate_diagnostics(found, truths, session, item, catalogue))
 
 
 def popularity(interactions: DataFrame, session: str, item: str, k: int) -> DataFrame:

@@ -174,6 +174,21 @@ def m33_friction_summary(spark: SparkSession, folder: str) -> DataFrame:
     return means.join(aucs, "split")
 
 
+def m31_scenes(spark: SparkSession, folder: str) -> DataFrame:
+    """Clusters of nations by their customers, as many as the root of their number."""
+    c = table(spark, folder, "customer").groupBy("c_nationkey").agg(F.avg("c_acctbal").alias("mean"), F.count(F.lit(1)).cast("double").alias("n"))
+    return learning.scenes(c, ["mean", "n"]).select("c_nationkey", "cluster")
+
+
+def m34_decomposition(spark: SparkSession, folder: str) -> DataFrame:
+    """Chance of a skip by preference (hour, shuffle, session so far) and by friction (offline, position in the session)."""
+    h = sequence.session_so_far(sequence.split_by_boundaries(sessions(spark, folder, "shuffle", "offline"), STREAM), STREAM)
+    number = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c)
+    rows = materialize(h.select("event_id", "split", *(number(c) for c in ("skip", "shuffle", "offline", "session_position", "session_skip_rate", "session_repeat_ratio"))), "decomposition")
+    found = learning.skip_decomposition(rows.where("split = 'train'"), rows.where("split <> 'train'"), ["shuffle", "session_skip_rate", "session_repeat_ratio"], ["offline", "session_position"], "skip")
+    return found.select("event_id", "split", "total_risk", "preference_risk", "friction_risk", "friction_uplift")
+
+
 def t9_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     """Nearest vectors of every row whose id is divisible by 50, among all rows."""
     e = table(spark, folder, "embeddings")

@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessitura.operators import quality, relations
+from tessitura.operators import learning, quality, relations
 from tessitura.plans.warehouse import Asset, Warehouse, edges, reach
 from tessitura.session import materialize, scratch
-from tessitura.sources import artifacts, history, interactions, shapes, sinks
+from tessitura.sources import artifacts, history, interactions, shapes, sinks, snapshots
 from tessitura.streaming import events as streams
 from tessitura.tables import table
 
@@ -144,6 +144,56 @@ def maps_sorted(spark: SparkSession, folder: str) -> DataFrame:
     return per.select("user_id", F.size("m").alias("kinds"), text.alias("counts")).withColumn("digest", F.sha2("counts", 256))
 
 
+def u5_inbox(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers with orders that are new in each of three parts of the orders, one part after the other."""
+    path, found = scratch(spark, "state"), None
+    orders = table(spark, folder, "orders").select("o_custkey", "o_orderkey")
+    for part in range(3):
+        new = relations.inbox(orders.where(F.col("o_orderkey") % 3 == part).select("o_custkey").distinct(), "o_custkey", path).withColumn("part", F.lit(part))
+        found = new if found is None else found.unionByName(new)
+    return found
+
+
+def k11_arrays(spark: SparkSession, folder: str) -> DataFrame:
+    """Ranking rows with their arrays, written and read back."""
+    path = scratch(spark, "arrays")
+    learning.save_arrays(table(spark, folder, "track_reranking_split").select("query_id", "candidate_item_ids", "labels"), path)
+    a = spark.read.parquet(path).select("query_id", F.coalesce(F.size("candidate_item_ids"), F.lit(-1)).alias("n"), F.aggregate(F.coalesce("labels", F.array()), F.lit(0).cast("long"), lambda s, x: s + F.coalesce(x, F.lit(0))).alias("targets"))
+    return a.groupBy(F.greatest("n", F.lit(0)).alias("n"), "targets").agg(F.count(F.lit(1)).alias("queries"))
+
+
+def s7_manifests(spark: SparkSession, folder: str) -> DataFrame:
+    """Run manifests as documents, read and flattened: made of customers."""
+    c = table(spark, folder, "customer")
+    gate = F.struct(F.expr("case when c_acctbal > 0 then 'pass' else 'fail' end").alias("status"), (F.col("c_acctbal") > 5000).alias("promoted"), (F.col("c_acctbal") / 10_000).alias("champion_score"))
+    whole = F.struct(F.concat(F.lit("run-"), "c_custkey").alias("run_id"), F.col("c_mktsegment").alias("profile"), F.lit("2026-01-02T03:04:05").alias("timestamp"), (F.col("c_custkey") * 10).alias("data_records"), F.array(F.lit("a"), F.lit("b")).alias("deep_models"), gate.alias("champion_gate"))
+    documents = c.select(F.concat(F.lit("runs/"), "c_custkey").alias("path"), F.when(F.col("c_custkey") % 50 > 0, F.to_json(whole)).otherwise("{}").alias("text"))
+    found = snapshots.run_manifests(documents).where("run_id is not null")
+    return found.select("run_id", "profile", F.date_format("run_timestamp", "yyyy").alias("year"), "data_records", "deep_models_json", "champion_gate_status", "champion_gate_promoted", F.round("champion_gate_champion_score", 9).alias("score"))
+
+
+def s11_actions(spark: SparkSession, folder: str) -> DataFrame:
+    """Review actions of documents, one for every nation with its suppliers as actions."""
+    n = table(spark, folder, "supplier").groupBy("s_nationkey").agg(F.array_sort(F.collect_list(F.struct(F.col("s_name").alias("title"), F.when(F.col("s_acctbal") > 5000, "high").otherwise("low").alias("priority"), F.array(F.lit(" a "), F.lit(""), F.lit("b")).alias("inspect")))).alias("review_actions"))
+    whole = F.struct(F.col("s_nationkey").cast("string").alias("generated_at"), F.struct(F.struct(F.lit("r1").alias("run_id")).alias("selected_run")).alias("run_selection"), "review_actions")
+    return snapshots.review_actions(n.select(F.lit("x").alias("path"), F.to_json(whole).alias("text"))).select("generated_at", "selected_run_id", F.col("action_order").cast("long").alias("action_order"), "priority", "title", "inspect_targets")
+
+
+def a9_status(spark: SparkSession, folder: str) -> DataFrame:
+    runs = table(spark, folder, "orders").selectExpr("concat('r', o_orderkey) run_id", "o_orderpriority profile", "cast(o_orderdate as string) timestamp")
+    benchmarks = table(spark, folder, "part").selectExpr("concat('b', p_partkey) benchmark_id", "case when p_size > 25 then 'yes' else 'no' end comparison_ready", "case when p_partkey % 4 = 0 then 'n/a' else cast(p_retailprice as string) end benchmark_strength_score")
+    claims = table(spark, folder, "customer").selectExpr("case when c_acctbal < 0 then 'true' when c_acctbal < 100 then null else 'false' end blocked", "case when c_custkey % 2 = 0 then '1' else '0' end benchmark_comparison_ready", "case when c_custkey % 3 = 0 then ' Live' else 'none' end live_signal_status", "case when c_custkey % 5 = 0 then 'Ready' else 'open' end claim_readiness_status")
+    found = snapshots.platform_status(runs, benchmarks, claims)
+    return found.withColumn("strongest_benchmark_score", F.round("strongest_benchmark_score", 4))
+
+
+def a10_branches(spark: SparkSession, folder: str) -> DataFrame:
+    scores = table(spark, folder, "nation").selectExpr("n_nationkey branch_key", "case when n_regionkey = 1 then 'n/a' else cast(n_nationkey / 4 as string) end risk_score")
+    queue = table(spark, folder, "supplier").selectExpr("s_nationkey branch_key", "cast(round(s_acctbal) as string) rank", "s_name initiative", "concat('run ', s_suppkey) command")
+    cards = table(spark, folder, "customer").where("c_acctbal > 9000").selectExpr("c_nationkey branch_key", "c_name development_mode")
+    return snapshots.branch_health(scores, queue, cards)
+
+
 def _stream(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """A stream over the files of a table, several a batch."""
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 3).parquet(materialize(df.repartition(spark.sparkContext.defaultParallelism), name)._tessitura_path)
@@ -183,7 +233,7 @@ def x2_versions(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        s3_history_files, s5_csv, s14_interactions, s14_checks, s16_two_row_header, k3_partitioned, k5_k10_append, k7_bundle, k6_ddl, k1_warehouse, a42_edges, a40_content_hash, a43_blocked, a46_findings, x4_counters, x6_upserts, x2_versions,
+        s3_history_files, s5_csv, s14_interactions, s14_checks, s16_two_row_header, k3_partitioned, k5_k10_append, k7_bundle, k6_ddl, k1_warehouse, a42_edges, a40_content_hash, a43_blocked, a46_findings, x4_counters, x6_upserts, x2_versions, u5_inbox, k11_arrays, s7_manifests, s11_actions, a9_status, a10_branches,
     )
 } | {"violations": p21_violations, "rest_as_json": p23_rest_as_json, "maps_sorted": maps_sorted}
 
@@ -210,5 +260,14 @@ UNION ALL SELECT 'spending', 'silver', count(*), 'best' FROM s UNION ALL SELECT
     "x4_counters": """WITH e AS (SELECT 'k' || user_id % 50 AS artist_key, CASE WHEN event_type = 'view' THEN 'like' WHEN event_type = 'click' THEN 'skip' ELSE 'repeat' END AS signal, ts, event_id FROM events)
 SELECT artist_key, count(*) FILTER (signal = 'like') AS likes, count(*) FILTER (signal = 'repeat') AS repeats, count(*) FILTER (signal = 'skip') AS skips, 0 AS dislikes, arg_max(signal, (ts, event_id)) AS last_signal FROM e GROUP BY 1""",
     "x6_upserts": "SELECT user_id, event_id, event_type, round(value, 4) AS value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
+    "u5_inbox": "SELECT o_custkey, min(o_orderkey % 3) AS part FROM orders GROUP BY 1",
+    "k11_arrays": "SELECT greatest(coalesce(len(candidate_item_ids), -1), 0) AS n, CAST(coalesce(list_sum(labels), 0) AS BIGINT) AS targets, count(*) AS queries FROM track_reranking_split GROUP BY 1, 2",
+    "s7_manifests": "SELECT 'run-' || c_custkey AS run_id, c_mktsegment AS profile, '2026' AS year, c_custkey * 10 AS data_records, '[\"a\",\"b\"]' AS deep_models_json, CASE WHEN c_acctbal > 0 THEN 'pass' ELSE 'fail' END AS champion_gate_status, c_acctbal > 5000 AS champion_gate_promoted, round(c_acctbal / 10000, 9) AS score FROM customer WHERE c_custkey % 50 > 0",
+    "s11_actions": "SELECT CAST(s_nationkey AS VARCHAR) AS generated_at, 'r1' AS selected_run_id, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_name) AS action_order, CASE WHEN s_acctbal > 5000 THEN 'high' ELSE 'low' END AS priority, s_name AS title, 'a|b' AS inspect_targets FROM supplier",
+    "a9_status": """WITH l AS (SELECT 'r' || o_orderkey AS anchor_run_id, o_orderpriority AS anchor_profile FROM orders ORDER BY o_orderdate DESC, 'r' || o_orderkey DESC LIMIT 1), s AS (SELECT 'b' || p_partkey AS strongest_benchmark_id, round(p_retailprice, 4) AS strongest_benchmark_score FROM part WHERE p_partkey % 4 > 0 ORDER BY p_retailprice DESC, 'b' || p_partkey LIMIT 1),
+c AS (SELECT count(*) AS claim_total_count, count(*) FILTER (c_acctbal < 0) AS claim_blocked_count, count(*) FILTER (c_custkey % 5 = 0) AS claim_ready_count, count(*) FILTER (c_acctbal < 0 AND c_custkey % 3 = 0) AS blocked_live_signal_count, count(*) FILTER (c_acctbal < 0 AND c_custkey % 2 = 1) AS blocked_benchmark_gap_count FROM customer)
+SELECT l.*, c.*, (SELECT count(*) FROM part WHERE p_size > 25) AS comparison_ready_benchmark_count, s.* FROM l, c, s""",
+    "a10_branches": """WITH q AS (SELECT s_nationkey AS branch_key, CAST(CAST(round(s_acctbal) AS BIGINT) AS VARCHAR) || '.0' AS queue_rank, s_name AS next_initiative, 'run ' || s_suppkey AS next_command FROM supplier QUALIFY row_number() OVER (PARTITION BY s_nationkey ORDER BY round(s_acctbal), s_name) = 1)
+SELECT n_nationkey AS branch_key, CASE WHEN n_regionkey <> 1 THEN n_nationkey / 4.0::DOUBLE END AS risk_score, queue_rank, next_initiative, next_command, (SELECT min(c_name) FROM customer WHERE c_acctbal > 9000 AND c_nationkey = n_nationkey) AS development_mode FROM nation LEFT JOIN q ON q.branch_key = n_nationkey""",
     "x2_versions": "SELECT CAST(user_id AS VARCHAR) AS session_id, count(*) AS applied, count(*) AS replayed, count(*) AS version FROM events GROUP BY 1",
 }
