@@ -52,7 +52,7 @@ def test_features_use_earlier_rows_only(spark):
 def test_time_join_ties_and_ends(spark):
     rows = spark.createDataFrame([("m", 1, 100), ("m", 2, 50), ("d", 3, 100)], "k string, id long, t long")
     src = spark.createDataFrame([("m", 100, 1, 1.0), ("m", 100, 2, 2.0), ("m", 40, 0, 4.0), ("m", 101, 3, 8.0)], "k string, time_us long, seq long, v double")
-    found = augment(rows, {"s": src}, ["k"], "id", "t", latest={"last": ("s", "v")}, sums={"sum": ("s", "v", 60)})
+    found = augment(rows, {"s": src}, ["k"], "id", "t", latest={"last": ("s", "v")}, sums={"sum": ("s", "v", 60)}, default=None)
     assert sorted((r["id"], r["last"], r["sum"]) for r in found.collect()) == [(1, 2.0, 7.0), (2, 4.0, 4.0), (3, None, 0.0)]
 
 
