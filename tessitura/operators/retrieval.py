@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 from typing import Protocol
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessitura.operators import stripes
-from tessitura.operators.graph import dot
+from tessitura.operators.graph import dot, top_neighbours
 from tessitura.operators.relations import in_order, until_stable
 from tessitura.session import materialize
 
@@ -175,24 +177,61 @@ def sign_codes(vectors: DataFrame, ident: str, vector: str, dims: int, bits: int
 
 
 def sign_tables(vectors: DataFrame, ident: str, vector: str, dims: int, bits: int, tables: int, seed: int = 0) -> DataFrame:
-    """(id, table, code): codes as of sign_codes in several hash tables, table t with the planes of seed + t."""
-    planes = [(t, np.random.default_rng(seed + t).standard_normal((bits, dims)).tolist()) for t in range(tables)]
-    sets = vectors.sparkSession.createDataFrame(planes, "table int, _p array<array<double>>")
-    powers = F.array(*(F.lit(1 << b).cast("long") for b in range(bits)))
-    side = lambda p, power: F.when(dot(p, F.col(vector)) > 0, power).otherwise(F.lit(0).cast("long"))
-    code = F.aggregate(F.zip_with("_p", powers, side), F.lit(0).cast("long"), lambda s, x: s + x)
-    return vectors.select(ident, vector).crossJoin(F.broadcast(sets)).select(ident, "table", code.alias("code"))
+    """(id, table, code): codes as of sign_codes in several hash tables, table t with the planes of seed + t. One matrix product a batch; null ids and vectors have no code."""
+    planes = np.vstack([np.random.default_rng(seed + t).standard_normal((bits, dims)) for t in range(tables)])
+    powers = 1 << np.arange(bits, dtype=np.int64)
 
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                sides = np.stack(batch["v"].to_numpy(zero_copy_only=False)) @ planes.T > 0
+                code = sides.reshape(-1, bits) @ powers
+                ids = batch["i"].take(pa.array(np.repeat(np.arange(batch.num_rows), tables)))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(np.tile(np.arange(tables, dtype=np.int32), batch.num_rows)), pa.array(code)], [ident, "table", "code"])
 
-def lsh_candidates(codes: DataFrame, ident: str, queries: DataFrame, bits: int) -> DataFrame:
+    rows = vectors.select(F.col(ident).alias("i"), F.col(vector).cast("array<double>").alias("v")).where("i is not null and v is not null")
+    return rows.mapInArrow(coded, f"`{ident}` {dict(vectors.dtypes)[ident]}, table int, code long")
+
+
+def hash_index(vectors: DataFrame, ident: str, vector: str, dims: int, asked: DataFrame, k: int, *, target: float = 0.9, most_asked: int = 50, seed: int = 0) -> tuple[int, int, float]:
+    """(bits, tables, recall): the cheapest hash index that finds `target` of the k nearest rows, measured against brute force.
+
+    Codes start with as many bits as leave about eight rows a bucket, so that candidates grow with the rows and not with
+    their square; 16 to 64 tables are tried, then two bits less, down to 8 (below which a query probes most rows anyway:
+    the last try is taken, whatever its recall, which is told). Recall is measured on at most most_asked of the rows asked,
+    by a hash of their id, against all rows; this bound is a parameter and only fits the index, which then holds every row.
+    """
+    n = vectors.count()
+    sample = materialize(asked.orderBy(F.xxhash64(ident, F.lit(5)), ident).limit(most_asked), "asked")
+    near = materialize(top_neighbours(vectors, ident, vector, sample, k).select("query", F.col("neighbour").alias("candidate")), "near")
+    truth = near.count()
+    bits, found = max(8, int(math.log2(max(n, 1))) - 3), (8, 32, 1.0)
+    while truth:
+        codes = materialize(sign_tables(vectors, ident, vector, dims, bits, 64, seed), "codes")
+        probes = lsh_candidates(codes, ident, codes.join(sample.select(ident), ident, "left_semi"), bits, first_table=True)
+        met = near.join(probes, ["query", "candidate"], "left").agg(*(F.avg((F.coalesce("table", F.lit(64)) < t).cast("int")).alias(str(t)) for t in (16, 32, 64))).first()
+        for tables in (16, 32, 64):
+            found = bits, tables, met[str(tables)]
+            if found[2] >= target:
+                return found
+        if bits <= 8:
+            break
+        bits = max(8, bits - 2)
+    return found
+
+
+def lsh_candidates(codes: DataFrame, ident: str, queries: DataFrame, bits: int, first_table: bool = False) -> DataFrame:
     """(query, candidate): rows whose code differs from the query's in one bit at most: each query probes its bucket and those one bit away.
 
-    With codes of several tables, rows that are found in any of them.
+    With codes of several tables, rows that are found in any of them; on request with the first such table.
     """
     keys = ["table", "code"] if "table" in codes.columns else ["code"]
     flips = F.array(F.lit(0).cast("long"), *(F.lit(1 << b).cast("long") for b in range(bits)))
     probes = queries.select(F.col(ident).alias("query"), *keys[:-1], F.explode(F.transform(flips, lambda f: F.col("code").bitwiseXOR(f))).alias("code"))
-    return probes.join(codes.select(F.col(ident).alias("candidate"), *keys), keys).where("query <> candidate").select("query", "candidate").distinct()
+    met = probes.join(codes.select(F.col(ident).alias("candidate"), *keys), keys).where("query <> candidate")
+    if first_table:
+        return met.groupBy("query", "candidate").agg(F.min("table").alias("table"))
+    return met.select("query", "candidate").distinct()
 
 
 def ranked_candidates(candidates: DataFrame, vectors: DataFrame, ident: str, vector: str, queries: DataFrame, least: int) -> DataFrame:

@@ -37,7 +37,7 @@ def trailing_trend(daily: DataFrame, keys: Sequence[str], day: str, value: str,
     made = {}
     for n in periods:
         frame = w.rangeBetween(1 - n, 0)
-        made[f"{value}_mean_{n}d"], made[f"{value}_std_{n}d"] = F.round(F.avg(value).over(frame), 9), F.round(F.stddev_pop(value).over(frame), 9)
+        made[f"{value}_mean_{n}d"], made[f"{value}_std_{n}d"] = F.round(F.avg(value).over(frame), 12), F.round(F.stddev_pop(value).over(frame), 12)
     for n in lags:
         made[f"{value}_delta_{n}d"] = F.round(F.col(value) - F.max(value).over(w.rangeBetween(-n, -n)), 9)
     return rows.withColumns(made).drop("_d")
@@ -88,4 +88,4 @@ def regime_shifts(monthly: DataFrame, month: str, label: str, n: str) -> DataFra
     old = grid.where("_before is not null").join(share.select(F.col(month).alias("_before"), label, (-F.col("_s")).alias("d")), "_before")
     change = now.select(month, label, "d").unionByName(old.select(month, label, "d")).groupBy(month, label).agg(F.round(F.sum("d"), 9).alias("d"))
     pick = lambda sign: F.min(F.struct((F.lit(-sign) * F.col("d")).alias("k"), F.col(label).alias("l")))["l"]
-    return change.groupBy(month).agg(F.round(0.5 * F.sum(F.abs("d")), 9).alias("shift"), pick(1).alias("gain"), pick(-1).alias("loss"))
+    return change.groupBy(month).agg(F.round(0.5 * F.sum(F.abs("d")), 10).alias("shift"), pick(1).alias("gain"), pick(-1).alias("loss"))

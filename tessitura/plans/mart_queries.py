@@ -225,8 +225,8 @@ SELECT CAST(day AS VARCHAR) AS day, global, global_shared, united_states, united
   CASE WHEN greatest(global, united_states) >= 0.5 THEN 'strong' WHEN greatest(global, united_states) >= 0.25 THEN 'moderate' WHEN greatest(global, united_states) >= 0.1 THEN 'light' ELSE 'distinct' END AS label, closer,
   CASE WHEN closer = 'tie' THEN 0 ELSE row_number() OVER (PARTITION BY closer, island ORDER BY day) END AS streak FROM i""",
     "w23_w24_trends": _D
-    + """SELECT CAST(a.day AS VARCHAR) AS day, any_value(a.global) AS global, round(avg(b.global) FILTER (b.day > a.day - 7), 9) AS global_mean_7d, round(stddev_pop(b.global) FILTER (b.day > a.day - 7), 9) AS global_std_7d,
-  round(avg(b.global) FILTER (b.day > a.day - 30), 9) AS global_mean_30d, round(stddev_pop(b.global) FILTER (b.day > a.day - 30), 9) AS global_std_30d, round(any_value(a.global) - max(b.global) FILTER (b.day = a.day - 1), 9) AS global_delta_1d,
+    + """SELECT CAST(a.day AS VARCHAR) AS day, any_value(a.global) AS global, round(avg(b.global) FILTER (b.day > a.day - 7), 12) AS global_mean_7d, round(stddev_pop(b.global) FILTER (b.day > a.day - 7), 12) AS global_std_7d,
+  round(avg(b.global) FILTER (b.day > a.day - 30), 12) AS global_mean_30d, round(stddev_pop(b.global) FILTER (b.day > a.day - 30), 12) AS global_std_30d, round(any_value(a.global) - max(b.global) FILTER (b.day = a.day - 1), 9) AS global_delta_1d,
   round(any_value(a.global) - max(b.global) FILTER (b.day = a.day - 7), 9) AS global_delta_7d, round(any_value(a.global) - max(b.global) FILTER (b.day = a.day - 30), 9) AS global_delta_30d FROM y a JOIN y b ON b.day BETWEEN a.day - 30 AND a.day GROUP BY a.day""",
     "w26_anomalies": """
 WITH d AS (SELECT o_orderpriority, CAST(o_orderdate AS DATE) AS day, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY ALL),
@@ -250,7 +250,7 @@ UNION ALL SELECT 'ms_played', m, round(m::DOUBLE / n, 9), m::DOUBLE / n <= 0.5 F
     + """, m AS (SELECT strftime(ts, '%Y-%m') AS month, platform, count(*) AS n FROM h WHERE platform IS NOT NULL GROUP BY ALL), s AS (SELECT month, platform, n::DOUBLE / sum(n) OVER (PARTITION BY month) AS s FROM m),
 g AS (SELECT month, lag(month) OVER (ORDER BY month) AS before FROM (SELECT DISTINCT month FROM m)), c AS (SELECT g.month, p.platform, round(coalesce(a.s, 0) - coalesce(b.s, 0), 9) AS d FROM g CROSS JOIN (SELECT DISTINCT platform FROM m) p
   LEFT JOIN s a ON a.month = g.month AND a.platform = p.platform LEFT JOIN s b ON b.month = g.before AND b.platform = p.platform WHERE g.before IS NOT NULL AND (a.s IS NOT NULL OR b.s IS NOT NULL))
-SELECT month, round(0.5 * sum(abs(d)), 9) AS shift, arg_min(platform, (-d, platform)) AS gain, arg_min(platform, (d, platform)) AS loss FROM c GROUP BY month""",
+SELECT month, round(0.5 * sum(abs(d)), 10) AS shift, arg_min(platform, (-d, platform)) AS gain, arg_min(platform, (d, platform)) AS loss FROM c GROUP BY month""",
     "a50_mean_spread": "SELECT c_mktsegment, c_nationkey, count(c_acctbal) AS n, round(avg(c_acctbal), 6) AS mean, round(coalesce(stddev_samp(c_acctbal), 0), 6) AS std, round(1.96 * coalesce(stddev_samp(c_acctbal), 0) / sqrt(count(c_acctbal)), 6) AS ci95 FROM customer GROUP BY ALL",
     "w20_rank_present": f"WITH {_C}, s AS (SELECT *, CASE WHEN isnan(opportunity_score) THEN NULL ELSE opportunity_score END AS v FROM c) SELECT opportunity_id, CASE WHEN v IS NOT NULL THEN dense_rank() OVER (PARTITION BY report_family_id ORDER BY v DESC NULLS LAST) ELSE 0 END AS place FROM s",
     "w21_top_one": "SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) = 1",

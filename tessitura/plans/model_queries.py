@@ -121,11 +121,13 @@ def m21_m22_fusion_recall(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def m24_lsh(spark: SparkSession, folder: str) -> DataFrame:
-    """Candidates of every row divisible by 50, among all, from 32 hash tables and ranked by cosine."""
+    """The five nearest of the candidates of every row divisible by 50, among all, from hash tables fitted to find nine of ten."""
     e = table(spark, folder, "embeddings")
-    codes, asked = retrieval.sign_tables(e, "vec_id", "embedding", 64, 8, 32), e.where("vec_id % 50 = 0")
-    found = retrieval.lsh_candidates(codes, "vec_id", codes.where("vec_id % 50 = 0"), 8)
-    return retrieval.ranked_candidates(found, e, "vec_id", "embedding", asked, 5)
+    asked = e.where("vec_id % 50 = 0")
+    bits, tables, _ = retrieval.hash_index(e, "vec_id", "embedding", 64, asked, 5)
+    codes = retrieval.sign_tables(e, "vec_id", "embedding", 64, bits, tables)
+    found = retrieval.lsh_candidates(codes, "vec_id", codes.where("vec_id % 50 = 0"), bits)
+    return retrieval.ranked_candidates(found, e, "vec_id", "embedding", asked, 5).where("place <= 5")
 
 
 def m24_recall(spark: SparkSession, folder: str) -> DataFrame:

@@ -81,7 +81,7 @@ def w32_split(spark: SparkSession, folder: str) -> DataFrame:
 
 def w33_examples(spark: SparkSession, folder: str) -> DataFrame:
     found = q.example_histories(sessions(spark, folder), STREAM, 4)
-    return found.select("event_id", F.concat_ws("|", "history").alias("history"), F.round(F.aggregate("history_gaps", F.lit(0.0), lambda a, x: a + x), 5).alias("gap_sum"), "repeat", "session_end")
+    return found.select("event_id", F.concat_ws("|", "history").alias("history"), F.round(F.aggregate("history_gaps", F.lit(0.0), lambda a, x: a + x), 6).alias("gap_sum"), "repeat", "session_end")
 
 
 def j8_j10_time_joins(spark: SparkSession, folder: str) -> DataFrame:
@@ -160,7 +160,7 @@ SELECT event_id, CASE WHEN i < coalesce(a, r.n) THEN 'train' WHEN i < greatest(c
     "w33_examples": _S
     + """, x AS (SELECT *, list(artist) OVER f AS hist, list(time_diff) OVER f AS gaps, lead(event_id) OVER (PARTITION BY user_id, session_id ORDER BY us, event_id) IS NULL AS session_end FROM s
   WINDOW f AS (PARTITION BY user_id, session_id ORDER BY us, event_id ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING))
-SELECT event_id, array_to_string(hist, '|') AS history, round(list_sum(gaps) - gaps[1], 5) AS gap_sum, list_contains(hist, artist) AS repeat, session_end FROM x WHERE session_position > 0""",
+SELECT event_id, array_to_string(hist, '|') AS history, round(list_sum(gaps) - gaps[1], 6) AS gap_sum, list_contains(hist, artist) AS repeat, session_end FROM x WHERE session_position > 0""",
     "j8_j10_time_joins": _H
     + f""", f AS (SELECT *, {_FAMILY} AS family FROM h), p AS (SELECT * FROM f WHERE media_type = 'podcast'), m AS (SELECT * FROM f WHERE media_type = 'music'),
 a AS (SELECT p.event_id, arg_max(m.ms, (m.us, m.event_id))::DOUBLE AS last_skip_ms FROM p JOIN m ON m.user_id = p.user_id AND m.family = p.family AND m.skip AND m.us <= p.us GROUP BY 1),
