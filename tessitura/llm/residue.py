@@ -505,6 +505,9 @@ def train_residue_model(docs: DataFrame, ident: str, text: str, host: str, *, mo
     share = F.lit(min(1.0, most_documents / max(count, 1)))
     sample = docs.where(F.col(text).isNotNull()).where(F.pmod(F.xxhash64(F.col(ident), F.lit(8)), F.lit(1_000_003)) < share * 1_000_003).select(F.col(text).cast("string").alias("text"), F.pmod(F.xxhash64(F.coalesce(F.col(host), F.lit(""))), F.lit(5)).alias("fold"))
 
+    # few files hold the sample, if the corpus is small: its labelling is spread over all cores
+    sample = sample.repartition(docs.sparkSession.sparkContext.defaultParallelism)
+
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, folds = batch["text"].to_pylist(), batch["fold"].to_pylist()
