@@ -366,11 +366,11 @@ def stretches(made: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _features(made: Tokens, at: np.ndarray, to: np.ndarray, more: list[list[int]]) -> list[np.ndarray]:
     """Buckets of all features of each stretch."""
-    out = []
+    out, flat = [], [(reach, g.astype(np.int32)) for reach, group in enumerate(made.grams) for g in group]
+    more = [np.array(x, np.int32) for x in more]
     for a, b, extra in zip(at.tolist(), to.tolist(), more):
-        found = [g[a : max(b - reach, a)] for reach, group in enumerate(made.grams) for g in group]
-        found = np.concatenate([*found, extra])
-        out.append(found[found >= 0].astype(np.int32))
+        found = np.concatenate([*(g[a : max(b - reach, a)] for reach, g in flat), extra])
+        out.append(found[found >= 0])
     return out
 
 
@@ -441,8 +441,8 @@ def _fit(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, *, pen
     return w.astype(np.float32), bias
 
 
-def _cases(docs: list[list[str]], folds: list[int]) -> dict[tuple[int, int, int], list]:
-    """Labelled stretches of documents: (hash, fold, label) -> [features, times]. Windows of a sentence that tells of residue
+def _cases(docs: list[list[str]], folds: list[int]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Labelled stretches of documents: rows of hash, fold and label, their features, and how often they are there. Windows of a sentence that tells of residue
     tell as well; of an ordinary one every third is taken; of residue those that are residue by themselves."""
     parts = [s for d in docs for s in d]
     kinds = {s: weak_label(s) for s in dict.fromkeys(parts)}
@@ -465,23 +465,14 @@ def _cases(docs: list[list[str]], folds: list[int]) -> dict[tuple[int, int, int]
         inside = words[max(a, 0) : min(b, len(words))]
         keep[i] = bool(inside) and weak_label(parts[s][inside[0].start() : inside[-1].end()]) == 1
     chosen = np.flatnonzero(keep)
-    hashes = made.hashes(at[chosen], to[chosen])
-    extra = _extras(of, at, to, whole, place)
-    out: dict[tuple[int, int, int], list] = {}
-    fresh = []
-    for i, h in zip(chosen.tolist(), hashes.tolist()):
-        s = int(of[i])
-        key = ((h ^ hash(tuple(extra[i]))) & 0x7FFFFFFFFFFFFFFF, fold[s], int(label[i]))
-        row = out.get(key)
-        if row is None:
-            fresh.append((i, key))
-            out[key] = [None, 1]
-        else:
-            row[1] += 1
-    index = np.array([i for i, _ in fresh], np.int64)
-    for (_, key), ids in zip(fresh, _features(made, at[index], to[index], [extra[i] for i in index.tolist()])):
-        out[key][0] = ids
-    return out
+    at, to, of = at[chosen], to[chosen], of[chosen]
+    extra = _extras(of, at, to, int(np.searchsorted(chosen, whole)), place)
+    # stretches that are the same, in like places, of one fold and label, are one case
+    hashes = made.hashes(at, to) ^ np.array([hash(tuple(x)) for x in extra], np.int64)  # hashes of numbers are the same everywhere
+    keys = np.column_stack([hashes, np.array(fold)[of] if len(of) else of, label[chosen]]).astype(np.int64)
+    unique, first, times = np.unique(keys, axis=0, return_index=True, return_counts=True)
+    features = _features(made, at[first], to[first], [extra[i] for i in first.tolist()])
+    return unique, features, times
 
 
 def _stretches_of(listed: list[str], windows: bool) -> list[np.ndarray]:
@@ -512,10 +503,10 @@ def train_residue_model(docs: DataFrame, ident: str, text: str, host: str, *, mo
         for batch in batches:
             texts, folds = batch["text"].to_pylist(), batch["fold"].to_pylist()
             for begin in range(0, len(texts), 500):
-                found = _cases([sentences(x) for x in texts[begin : begin + 500]], folds[begin : begin + 500])
+                keys, found, times = _cases([sentences(x) for x in texts[begin : begin + 500]], folds[begin : begin + 500])
                 if found:
-                    keys, rows = zip(*found.keys()), list(found.values())
-                    yield pa.RecordBatch.from_arrays([*(pa.array(k, pa.int64()) for k in keys), pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.int64())], ["form", "fold", "label", "features", "times"])
+                    lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]).astype(np.int32)), pa.array(np.concatenate(found)))
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, keys.T), lists, pa.array(times.astype(np.int64))], ["form", "fold", "label", "features", "times"])
 
     labelled = sample.mapInArrow(label, "form long, fold long, label long, features array<int>, times long")
     alike = labelled.groupBy("form", (F.col("fold") == 0).alias("held"), "label").agg(F.any_value("features").alias("features"), F.sum("times").alias("times"))
