@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessitura.functions.scalars import listed, number, truth
-from tessitura.operators.relations import mode_of, rank_present, scaled, top_one
+from tessitura.operators.relations import mode_of, rank_present, scaled
 
 PRIORITY, WATCH = "priority_now", "watchlist"
 
@@ -67,6 +67,27 @@ def model_registry(summary: DataFrame) -> DataFrame:
     return total.join(last, keys).join(mode_of(summary, keys, "model_family", "model_family"), keys, "left")
 
 
+def run_registry(manifests: DataFrame, artifacts: DataFrame, wanted: Sequence[str]) -> DataFrame:
+    """Per run: which of the wanted artifacts it has, their share, and its stage: complete, partial or bare. artifacts: (run_id, name), names of files without their ending.
+
+    Runs without an artifact are bare; artifacts of unknown runs and other names are left out, repeated ones count once.
+    """
+    held = artifacts.where(F.col("name").isin(*wanted)).groupBy("run_id").agg(F.collect_set("name").alias("_h"))
+    rows = manifests.where("run_id is not null").join(held, "run_id", "left").withColumn("_h", F.coalesce("_h", F.array().cast("array<string>")))
+    share = F.size("_h") / F.lit(len(wanted))
+    flags = {f"has_{n}": F.array_contains("_h", n) for n in wanted}
+    return rows.withColumns(flags | {"artifact_share": share, "stage": F.when(share == 1, "complete").when(share > 0, "partial").otherwise("bare")}).drop("_h")
+
+
+def claim_registry(claims: DataFrame, registry: DataFrame) -> DataFrame:
+    """Claims with the run that they rest on: ready if that is complete and the claim has support, blocked otherwise, and what is missing. claims: (claim_key, run_id, support)."""
+    rows = claims.join(registry.select("run_id", "stage"), "run_id", "left")
+    supported = F.coalesce(_value("support"), F.lit(0.0)) > 0
+    complete = F.coalesce(F.col("stage") == "complete", F.lit(False))
+    missing = F.concat_ws("|", F.when(F.col("stage").isNull(), "run"), F.when(F.col("stage").isNotNull() & ~complete, "artifacts"), F.when(~supported, "support"))
+    return rows.select("claim_key", "run_id", F.when(complete & supported, "ready").otherwise("blocked").alias("status"), missing.alias("missing"))
+
+
 def leaderboard(history: DataFrame, metric: str, most: int) -> DataFrame:
     """The models with the highest mean of a metric: mean, best and number of runs; blank names and missing values are left out."""
     rows = history.withColumns({"model_name": F.trim("model_name"), "_v": _value(metric)}).where("model_name <> '' and _v is not null")
@@ -242,17 +263,8 @@ def rising(rollup: DataFrame, family: str, order: str, keys: Sequence[str], valu
     ends = rollup.groupBy(*keys).agg(F.count_distinct(family).alias("family_count"), F.count(F.lit(1)).alias("repeat_count"), *(f(F.struct(F.col(family).alias("f"), F.coalesce(value, F.lit(0.0)).alias("v")), at).alias(n) for n, f in (("a", F.min_by), ("b", F.max_by))))
     delta = F.col("b.v") - F.col("a.v")
     rows = ends.where((F.col("family_count") >= 2) & (delta > 0)).select(*keys, "family_count", "repeat_count", F.col("a.f").alias("first_family"), F.col("b.f").alias("latest_family"), F.col("a.v").alias("first_value"), F.col("b.v").alias("latest_value"), delta.alias("delta_value"))
-    rows = rows.withColumn("severity", F.when(delta_of(rows) >= high, "high").when(delta_of(rows) >= medium, "medium").otherwise("low"))
+    rows = rows.withColumn("severity", F.when(F.col("delta_value") >= high, "high").when(F.col("delta_value") >= medium, "medium").otherwise("low"))
     top = rows.orderBy(F.desc("delta_value"), *keys).limit(most)
     order_ = F.struct((-F.col("delta_value")).alias("d"), *keys)
     ranks = top.agg(F.array_sort(F.collect_list(order_)).alias("all"))
     return top.join(F.broadcast(ranks)).withColumn("category_rank", F.array_position("all", order_)).drop("all")
-
-
-def delta_of(rows: DataFrame) -> Column:
-    return rows["delta_value"]
-
-
-def first_rows(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
-    """The first row of each key."""
-    return top_one(df, keys, *order)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessitura.operators import graph, learning, metrics, retrieval, sequence
+from tessitura.operators import graph, learning, media, metrics, retrieval, sequence
 from tessitura.plans.history import SQL, history
 from tessitura.plans.sequence_queries import STREAM, sessions
 from tessitura.session import materialize
@@ -146,9 +146,23 @@ def m29_space(spark: SparkSession, folder: str) -> DataFrame:
     return learning.vector_space(table(spark, folder, "embeddings"), "embedding", 8).select("vec_id", "space")
 
 
+FEATURES = ["log_streams", "log_hours", "exploration_ratio", "skip_rate", "shuffle_rate", "offline_rate", "track_stream_share"]
+
+
 def m30_clusters(spark: SparkSession, folder: str) -> DataFrame:
-    days = history(spark, folder, "user_id", "ms", "skip", "artist").groupBy("user_id").agg(F.avg("ms").alias("ms"), F.avg(F.col("skip").cast("int")).alias("skip"), F.count_distinct("artist").cast("double").alias("artists"))
-    return learning.clusters(days, ["ms", "skip", "artists"], 4).select("user_id", "cluster")
+    """Clusters of days by seven features; 3 to 5 of them by the number of days."""
+    h = history(spark, folder, "user_id", "day", "ms", "skip", "shuffle", "offline", "track_uri", "artist")
+    days = media.day_features(h, ["user_id", "day"]).withColumns({"log_streams": F.log1p("total_streams"), "log_hours": F.log1p("engagement_hours")})
+    days = materialize(days, "days")
+    k = min(5, max(3, days.count() // 180))
+    return learning.clusters(days, FEATURES, k).select("user_id", F.col("day").cast("string").alias("day"), "cluster", "total_streams", "engagement_hours", *FEATURES[2:], "repeat_intensity")
+
+
+def m30_archetypes(spark: SparkSession, folder: str) -> DataFrame:
+    """Each cluster's days, means and archetype, by the quartiles over the clusters."""
+    found = m30_clusters(spark, folder)
+    means = [c for c in found.columns if c not in ("user_id", "day", "cluster")]
+    return media.archetypes(materialize(found.groupBy("cluster").agg(F.count(F.lit(1)).alias("days"), *(F.avg(c).alias(c) for c in means)), "clusters"))
 
 
 def _friction(spark: SparkSession, folder: str) -> DataFrame:

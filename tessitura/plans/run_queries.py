@@ -66,6 +66,23 @@ def a51_backtest_summary(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(runs.backtest_summary(backtests(spark, folder)))
 
 
+WANTED = ["m0", "m1", "m2", "m3"]
+
+
+def _registry(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs with the models of their results as artifacts."""
+    return runs.run_registry(manifests(spark, folder).select("run_id", "profile"), results(spark, folder).select("run_id", F.col("model_name").alias("name")), WANTED)
+
+
+def a53_run_registry(spark: SparkSession, folder: str) -> DataFrame:
+    return _rounded(_registry(spark, folder))
+
+
+def a53_claim_registry(spark: SparkSession, folder: str) -> DataFrame:
+    claims = table(spark, folder, "supplier").selectExpr("s_name claim_key", "case when s_suppkey % 10 = 0 then 'run-none' else concat('run-', s_suppkey * 3) end run_id", "case when s_acctbal > 1000 then '2' when s_acctbal > 0 then 'n/a' end support")
+    return runs.claim_registry(claims, _registry(spark, folder))
+
+
 def _review(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """A snapshot, a history and review actions: of the nations the first, the suppliers and the parts."""
     snapshot = table(spark, folder, "nation").where("n_nationkey = 0").select(F.col("n_name").alias("selected_run_id"), F.lit("healthy").alias("ops_health_status"))
@@ -152,7 +169,7 @@ def _view(name: str, *tables: str):
 QUERIES = {
     f.__name__: f
     for f in (
-        a5_run_summary, a6_review_snapshot, a7_family_summary, a8_scene_market, a11_run_quality, a12_model_registry, a13_review_overview, a14_artist_opportunities, a15_scene_pressure, a35_lane_atlas, a35_whitespace, a35_seed_bridges, a37_rising_scenes, a38_leaderboard, a39_weekly_areas, a44_freshness, a51_backtest_summary,
+        a5_run_summary, a6_review_snapshot, a7_family_summary, a8_scene_market, a11_run_quality, a12_model_registry, a13_review_overview, a14_artist_opportunities, a15_scene_pressure, a35_lane_atlas, a35_whitespace, a35_seed_bridges, a37_rising_scenes, a38_leaderboard, a39_weekly_areas, a44_freshness, a51_backtest_summary, a53_run_registry, a53_claim_registry,
     )
 } | {
     "a20_latest_run_results": _view("latest_run_results", "run_manifests", "run_results"),
@@ -169,6 +186,14 @@ f AS (SELECT run_id, model_name, avg(top1) AS mean_backtest_top1, count(top1) AS
 s AS (SELECT r.*, m.* EXCLUDE (run_id), mean_backtest_top1, backtest_folds, CASE WHEN val_top1 IS NOT NULL THEN dense_rank() OVER (PARTITION BY r.run_id ORDER BY val_top1 DESC NULLS LAST) END AS val_rank_within_run,
   dense_rank() OVER (PARTITION BY r.run_id ORDER BY test_top1 DESC) AS test_rank_within_run, coalesce(r.model_name = champion_alias_model_name, false) AS is_serving_alias FROM r LEFT JOIN m USING (run_id) LEFT JOIN f ON f.run_id = r.run_id AND f.model_name = r.model_name)
 """
+_REGISTRY = (
+    _R
+    + ", a AS (SELECT run_id, "
+    + ", ".join(f"max((model_name = '{w}')::INT) AS h{i}" for i, w in enumerate(WANTED))
+    + " FROM r GROUP BY 1), g AS (SELECT m.run_id, profile, "
+    + ", ".join(f"coalesce(h{i}, 0) = 1 AS has_{w}" for i, w in enumerate(WANTED))
+    + ", coalesce(h0 + h1 + h2 + h3, 0) / 4.0::DOUBLE AS artifact_share, CASE coalesce(h0 + h1 + h2 + h3, 0) WHEN 4 THEN 'complete' WHEN 0 THEN 'bare' ELSE 'partial' END AS stage FROM m LEFT JOIN a ON a.run_id = m.run_id) "
+)
 _H = """WITH h AS (SELECT CASE WHEN s_suppkey % 9 > 0 THEN CAST(date '2024-01-01' + CAST(s_suppkey AS INTEGER) AS DATE) END AS day_, 'fast-' || s_suppkey % 3 AS fast, 'full-' || s_suppkey % 4 AS full_, s_acctbal, s_nationkey FROM supplier),
 a AS (SELECT count(*) AS review_action_count, count(*) FILTER (p_size < 10) AS high_priority_actions, count(*) FILTER (p_size >= 10 AND p_size < 30) AS medium_priority_actions FROM part),
 p AS (SELECT count(*) AS history_points, arg_max(fast, day_) AS latest_fast_cadence_status, arg_max(full_, day_) AS latest_full_cadence_status FROM h),
@@ -228,6 +253,10 @@ SELECT * FROM g JOIN l USING (model_name, model_type) JOIN k USING (model_name,
     "a38_leaderboard": _R
     + """SELECT model_name, model_type, round(avg(val_top1), 10) AS mean_metric, max(val_top1) AS best_metric, count(DISTINCT run_id) AS run_count FROM r WHERE val_top1 IS NOT NULL GROUP BY ALL ORDER BY avg(val_top1) DESC, best_metric DESC, run_count DESC, model_name, model_type LIMIT 8""",
     "a51_backtest_summary": _R + "SELECT model_name, 'top1' AS metric_name, round(avg(top1), 10) AS mean, round(coalesce(stddev_samp(top1), 0), 10) AS std, count(*) AS count FROM b GROUP BY 1",
+    "a53_run_registry": _REGISTRY + "SELECT * FROM g",
+    "a53_claim_registry": _REGISTRY
+    + """, c AS (SELECT s_name AS claim_key, CASE WHEN s_suppkey % 10 = 0 THEN 'run-none' ELSE 'run-' || s_suppkey * 3 END AS run_id, s_acctbal > 1000 AS ok FROM supplier)
+SELECT claim_key, c.run_id, CASE WHEN stage = 'complete' AND ok THEN 'ready' ELSE 'blocked' END AS status, array_to_string(list_filter([CASE WHEN stage IS NULL THEN 'run' END, CASE WHEN stage <> 'complete' THEN 'artifacts' END, CASE WHEN NOT ok THEN 'support' END], lambda x: x IS NOT NULL), '|') AS missing FROM c LEFT JOIN g ON g.run_id = c.run_id""",
     "a39_weekly_areas": "WITH a AS (SELECT p_partkey, p_brand AS area FROM part UNION SELECT p_partkey, p_type FROM part) SELECT area, count(*) AS n FROM a GROUP BY 1 HAVING count(*) >= 5",
     "a44_freshness": """WITH r AS (SELECT c_nationkey AS branch, CASE WHEN c_custkey % 53 = 0 THEN 'missing' WHEN c_acctbal < -900 THEN 'stale' WHEN c_custkey % 17 = 0 THEN 'empty' ELSE 'fresh' END AS s, c_custkey % 365 AS age FROM customer),
 g AS (SELECT branch, count(*) AS sources, count(*) FILTER (s = 'missing') AS missing, count(*) FILTER (s = 'stale') AS stale, count(*) FILTER (s = 'fresh') AS fresh, count(*) FILTER (s = 'empty') AS empty, max(age) AS oldest_days FROM r GROUP BY 1)

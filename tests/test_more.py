@@ -261,3 +261,12 @@ def test_command_line(capsys):
     assert main(["--list"]) == 0 and "p3_found" in capsys.readouterr().out
     with pytest.raises(SystemExit):
         main(["nothing"])
+
+
+def test_registries(spark):
+    m = spark.createDataFrame([("r1",), ("r2",), ("r3",), (None,)], "run_id string")
+    a = spark.createDataFrame([("r1", "x"), ("r1", "x"), ("r1", "y"), ("r2", "y"), ("r2", "other"), ("r9", "x"), (None, "x")], "run_id string, name string")
+    found = runs.run_registry(m, a, ["x", "y"])
+    assert sorted((r["run_id"], r["has_x"], r["artifact_share"], r["stage"]) for r in found.collect()) == [("r1", True, 1.0, "complete"), ("r2", False, 0.5, "partial"), ("r3", False, 0.0, "bare")]
+    claims = spark.createDataFrame([("a", "r1", "2"), ("b", "r2", None), ("c", None, "1"), ("d", "r1", "x")], "claim_key string, run_id string, support string")
+    assert sorted((r["claim_key"], r["status"], r["missing"]) for r in runs.claim_registry(claims, found).collect()) == [("a", "ready", ""), ("b", "blocked", "artifacts|support"), ("c", "blocked", "run"), ("d", "blocked", "support")]
