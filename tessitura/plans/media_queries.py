@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessitura.operators import features, media, sequence
 from tessitura.plans.history import SQL, history
 from tessitura.plans.sequence_queries import _S, STREAM, sessions
+from tessitura.session import materialize
 from tessitura.sources.technical import COLUMNS, technical_features
 from tessitura.tables import table
 
@@ -85,9 +86,8 @@ def m25_session_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("session", *(F.round(F.element_at("vector", i + 1), 9).alias(f"v{i}") for i in range(8)))
 
 
-def _logs(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """Technical logs: of the history, plays as connection reports, shuffled ones as settings, and ends of tracks as errors, stutter and tracks not played."""
-    h = history(spark, folder, "ts", "platform", "conn_country", "shuffle", "offline", "reason_end", "ms_played")
+def _logs(h: DataFrame) -> dict[str, DataFrame]:
+    """Technical logs: of the history h, plays as connection reports, shuffled ones as settings, and ends of tracks as errors, stutter and tracks not played."""
     h = h.withColumns({"context_time": F.unix_millis("ts"), "context_os_name": F.col("platform")})
     reach = F.when(F.col("conn_country") == "US", "wlan").when(F.col("conn_country").isNull(), "none").otherwise("4g")
     return {
@@ -101,8 +101,9 @@ def _logs(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
 
 
 def j10_technical_features(spark: SparkSession, folder: str) -> DataFrame:
-    plays = history(spark, folder, "ts", "platform", "media_type").where("media_type = 'podcast'")
-    return technical_features(plays, "event_id", "ts", "platform", _logs(spark, folder)).select("event_id", *(F.round(c, 6).alias(c) for c in COLUMNS))
+    h = materialize(history(spark, folder, "ts", "platform", "media_type", "conn_country", "shuffle", "offline", "reason_end", "ms_played"), "plays")
+    plays = h.select("event_id", "ts", "platform", "media_type").where("media_type = 'podcast'")
+    return technical_features(plays, "event_id", "ts", "platform", _logs(h)).select("event_id", *(F.round(c, 6).alias(c) for c in COLUMNS))
 
 
 QUERIES = {f.__name__: f for f in (p11_p12_media_events, w28_media_transitions, a48_seasons, w27_archetype_steps, w34_session_split, m28_sequence_features, m22_context, m23_candidates, m26_pairs, m25_session_vectors, j10_technical_features)}

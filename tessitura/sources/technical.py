@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessitura.functions.scalars import device_family, epoch_ms, number, truth
-from tessitura.operators.timejoin import augment
+from tessitura.operators.timejoin import augment_in_blocks
 from tessitura.sources.history import TECHNICAL_FILES, find_technical_files, read_json_records
 
 HOUR_US, DAY_US = 3_600_000_000, 86_400_000_000
@@ -30,7 +30,8 @@ def read_technical_logs(spark: SparkSession, root: str) -> dict[str, DataFrame]:
 def _events(log: DataFrame, values: Mapping[str, Column], family: bool = True) -> DataFrame:
     """Time, family and values of the records that have a time; of equal times the later record is last."""
     get = lambda *names: F.coalesce(*(F.col(n).cast("string") for n in names if n in log.columns), F.lit(None).cast("string"))
-    ms = epoch_ms(get("context_time", "timestamp_utc", *([] if family else ["message_client_timestamp"])))
+    times = [n for n in ("context_time", "timestamp_utc", *([] if family else ["message_client_timestamp"])) if n in log.columns]
+    ms = epoch_ms(F.col(times[0]) if len(times) == 1 and dict(log.dtypes)[times[0]] in ("int", "bigint") else get(*times))
     device = device_family(F.lower(get("context_device_type", "context_os_name", "context_device_model"))) if family else F.lit("all")
     seq = F.col("event_id").cast("long") if "event_id" in log.columns else F.monotonically_increasing_id()
     return log.select((ms * 1000).alias("time_us"), device.alias("family"), seq.alias("seq"), *(v.alias(n) for n, v in values.items())).where("time_us is not null")
@@ -40,7 +41,8 @@ def technical_features(plays: DataFrame, ident: str, time: str, platform: str, l
     """plays with the sixteen COLUMNS: counts of events of the device's family in the hour or day before a play, ends included, and the
     latest reports at or before it; of cloud statistics regardless of the family. A log that is missing gives 0.
 
-    All logs by family are joined in one union and one shuffle, the cloud statistics in another.
+    All logs by family are joined in one union, the cloud statistics in another, both by family and day: tasks grow with the days,
+    not with a family. Connection and settings reports, and plays, are read twice.
     """
     flag = lambda log, c: F.coalesce(truth(F.col(c)).cast("double"), F.lit(0.0)) if c in log.columns else F.lit(0.0)
     value = lambda log, *cs: F.coalesce(*(number(F.col(c)) for c in cs if c in log.columns), F.lit(0.0))
@@ -70,9 +72,9 @@ def technical_features(plays: DataFrame, ident: str, time: str, platform: str, l
                 sums["tech_playback_fatal_errors_24h"] = (key, "fatal", DAY_US)
     rows = plays.withColumns({"_us": F.floor(F.unix_micros(F.col(time).cast("timestamp")) / 1000).cast("long") * 1000, "family": device_family(F.lower(F.col(platform))), "_all": F.lit("all")})
     if sources:
-        rows = augment(rows, sources, ["family"], ident, "_us", latest=latest, sums=sums)
+        rows = augment_in_blocks(rows, sources, ["family"], ident, "_us", latest=latest, sums=sums)
     cloud = logs.get("CloudPlaybackPlaybackStats.json")
     if cloud is not None:
         events = _events(cloud, one | {"stalls": value(cloud, "message_num_stalls")}, family=False).withColumnRenamed("family", "_all")
-        rows = augment(rows, {"cloud": events}, ["_all"], ident, "_us", latest={}, sums={"tech_cloud_stats_events_24h": ("cloud", "n", DAY_US), "tech_cloud_stalls_24h": ("cloud", "stalls", DAY_US)})
+        rows = augment_in_blocks(rows, {"cloud": events}, ["_all"], ident, "_us", latest={}, sums={"tech_cloud_stats_events_24h": ("cloud", "n", DAY_US), "tech_cloud_stalls_24h": ("cloud", "stalls", DAY_US)})
     return rows.withColumns({c: F.lit(0.0) for c in COLUMNS if c not in rows.columns}).drop("_us", "_all")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from contextlib import contextmanager
 from datetime import UTC, datetime, timedelta
 from types import SimpleNamespace
@@ -12,8 +13,9 @@ from pyspark.sql import functions as F
 from tessitura import session
 from tessitura.operators import metrics, relations, retrieval, sequence
 from tessitura.operators.rolling import daily_totals
-from tessitura.operators.timejoin import augment
+from tessitura.operators.timejoin import augment, augment_in_blocks
 from tessitura.sources import files
+from tessitura.sources.technical import technical_features
 
 
 @contextmanager
@@ -91,6 +93,28 @@ def test_as_of_join_takes_the_latest_event_even_if_it_holds_nothing(spark):
     assert [(r["other"], r["last"], r["sum"]) for r in found] == [("x", 7.0, 12.0), ("y", None, 0.0), ("z", 0.0, 0.0), ("n", 0.0, 0.0)]
 
 
+@pytest.mark.parametrize("short, long", [(15, 60), (50, 70), (1, 0), (7, 7)])
+def test_time_join_in_blocks_is_the_time_join(spark, short, long):
+    draw, off = random.Random(short), 10**15 if short == 15 else -300
+    event = lambda i: (draw.choice(["a", "b", "c", None]), off + draw.randrange(600), i, draw.choice([None, 0.0, 0.1, float(i), 1e300, float("inf")]))
+    rows = spark.createDataFrame([(draw.choice(["a", "b", None]), i, draw.choice([None] + [off + draw.randrange(600) for _ in range(9)])) for i in range(90)], "k string, id long, t long")
+    sources = {n: spark.createDataFrame([event(i) for i in range(size)], "k string, time_us long, seq long, v double") for n, size in (("a", 200), ("b", 9))}
+    how = {"latest": {"x": ("a", "v"), "seen": ("a", "seq"), "y": ("b", "v")}, "sums": {"n": ("a", "v", short), "m": ("a", "seq", long), "o": ("b", "v", long)}, "default": None}
+    want, found = ([tuple(-1 if v is None else v for v in r) for r in f(rows, sources, ["k"], "id", "t", **how).orderBy("id").collect()] for f in (augment, augment_in_blocks))
+    assert len(found) == 90 and all(a[:1] == b[:1] and a[1:] == pytest.approx(b[1:], rel=1e-12) for a, b in zip(want, found))
+
+
+def test_technical_features_share_a_family_among_tasks_and_add_no_window_up_for_each_row(spark):
+    at = spark.range(3_000).select(F.col("id").alias("event_id"), F.timestamp_millis(1_700_000_000_000 + F.col("id") * 3_600_000).alias("ts"), F.lit("ios").alias("platform"))
+    log = at.select("event_id", F.unix_millis("ts").alias("context_time"), F.col("platform").alias("context_os_name"), F.lit("wlan").alias("message_reachability_type"))
+    with settings(spark, spark_sql_adaptive_enabled="false", spark_sql_shuffle_partitions="16"):
+        found = technical_features(at, "event_id", "ts", "platform", {"ConnectionInfo.json": log, "CloudPlaybackPlaybackStats.json": log})
+        assert "RangeFrame" not in found._jdf.queryExecution().executedPlan().toString()
+        rows = found.select("event_id", "tech_connection_events_1h", "tech_cloud_stats_events_24h", "tech_last_reachability_wifi", F.spark_partition_id().alias("part")).collect()
+    assert len({r["part"] for r in rows}) > 8
+    assert {tuple(r)[:4] for r in rows} == {(i, min(i, 1) + 1.0, min(i, 24) + 1.0, 1.0) for i in range(3_000)}
+
+
 def test_no_private_folder_on_a_cluster(spark, tmp_path):
     context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
     with pytest.raises(ValueError, match="checkpoint"):
